@@ -157,5 +157,5 @@ def document_status_counts(documents: DataFrame) -> DataFrame:
 
 def document_status_table(documents: DataFrame) -> DataFrame:
     """One row per account, one column per status; absent statuses count 0."""
-    wide = documents.groupBy("userId").pivot("status", UPLOAD_STATUSES).agg(F.count("*"))
+    wide = documents.groupBy("userId").pivot("status", UPLOAD_STATUSES).agg(F.count("status"))
     return wide.na.fill(0, UPLOAD_STATUSES)

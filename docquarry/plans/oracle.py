@@ -180,15 +180,15 @@ WITH cut AS (
 df AS (
   SELECT bucket, count(*) AS n FROM (SELECT unnest(list_distinct({_buckets("text", 65536)})) AS bucket FROM documents)
   GROUP BY bucket),
-sentences AS (SELECT doc_id, unnest(cut) AS sentence, unnest(range(1, len(cut) + 1)) AS at FROM cut),
-hits AS (SELECT doc_id, at, unnest({_buckets("sentence", 65536)}) AS bucket FROM sentences),
+sentences AS (SELECT doc_id, unnest(cut) AS sentence, unnest(range(1, len(cut) + 1)) AS pos FROM cut),
+hits AS (SELECT doc_id, pos, unnest({_buckets("sentence", 65536)}) AS bucket FROM sentences),
 scores AS (
-  SELECT doc_id, at, round(sum(ln(((SELECT count(*) FROM documents) + 1) / (n + 1))) / sqrt(count(*)), 6) AS score
+  SELECT doc_id, pos, round(sum(ln(((SELECT count(*) FROM documents) + 1) / (n + 1))) / sqrt(count(*)), 6) AS score
   FROM hits JOIN df USING (bucket) GROUP BY ALL),
 best AS (
-  SELECT doc_id, at, sentence FROM sentences LEFT JOIN scores USING (doc_id, at)
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(score, 0) DESC, at) <= 3)
-SELECT doc_id, string_agg(sentence, ' ' ORDER BY at) AS summary, string_agg(CAST(at AS VARCHAR), ',' ORDER BY at) AS positions
+  SELECT doc_id, pos, sentence FROM sentences LEFT JOIN scores USING (doc_id, pos)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(score, 0) DESC, pos) <= 3)
+SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS summary, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions
 FROM best GROUP BY doc_id"""
 
 QUOTA = """

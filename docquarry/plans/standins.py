@@ -24,8 +24,10 @@ def events(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf: str, files_per_batch: int = 100) -> DataFrame:
+    """The events as a stream of files. The pattern lets the table be one file as well as a folder."""
     schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf}/events.parquet")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{sf}/{{events}}.parquet")
 
 
 def _text(name: str) -> Column:
