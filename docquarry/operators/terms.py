@@ -51,8 +51,9 @@ def term_search(
         idf = F.log(1 + (F.col("totals.documents") - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (k1 + 1) / (tf + k1 * norm)
     hit = F.greatest(F.lit(0), *[F.col(f"tf{i}") for i in range(len(words))]) > 0
-    ranked = counted.where(hit).select(key, F.round(score, 6).alias("score"))
-    return ranked.orderBy(F.desc("score"), key).limit(k)
+    ranked = counted.select(key, F.round(score, 6).alias("score"), hit.alias("hit"))
+    # Filtering after the top k, not before: a filter would move down and split each text once more.
+    return ranked.orderBy(F.desc("hit"), F.desc("score"), key).limit(k).where("hit").select(key, "score")
 
 
 def extractive_summaries(
@@ -64,7 +65,7 @@ def extractive_summaries(
 ) -> DataFrame:
     """The ``n`` most informative sentences of each document, in text order, as ``summary``.
 
-    A sentence scores the sum of its term weights over the square root of its number of terms; the
+    A document without sentences has an empty summary. A sentence scores the sum of its term weights over the square root of its number of terms; the
     earlier one wins a tie. Weights are hashed and fitted on ``documents`` unless given, which keeps
     them one array of fixed size; with it, scoring and picking stay inside the row.
     """
@@ -88,14 +89,10 @@ def extractive_summaries(
     buckets = F.transform("cut", lambda s: term_buckets(s, len(idf)))
     scored = cut.withColumn("scores", score(buckets))
     ranked = F.array_sort(
-        F.transform(
-            F.arrays_zip("scores", F.sequence(F.lit(0), F.size("cut") - 1).alias("at")),
-            lambda s: F.struct((-s["scores"]).alias("rank"), s["at"].alias("at")),
-        )
+        F.transform("scores", lambda score, at: F.struct((-score).alias("rank"), at.alias("at")))
     )
     best = F.array_sort(F.transform(F.slice(ranked, 1, n), lambda s: s["at"]))
-    picked = scored.where(F.size("cut") > 0).withColumn("best", best)
-    return picked.select(
+    return scored.withColumn("best", best).select(
         key,
         F.transform("best", lambda at: F.col("cut")[at]).alias("summary"),
         F.transform("best", lambda at: at + 1).alias("positions"),

@@ -46,6 +46,23 @@ outcomes AS (
               WHEN s."expiresAt" < {NOW} THEN 'expired' ELSE 'valid' END AS outcome
   FROM asked a LEFT JOIN sessions s ON s.token = a.token)"""
 
+SIGNUPS = f"""{ACCOUNTS},
+signups AS (
+  SELECT event_id AS "requestId", c_name AS name,
+         CASE WHEN value < 20 THEN {EMAIL} WHEN value < 90 THEN 'new.' || user_id || '@example.com'
+              ELSE 'new.' || user_id || '@example.com@' END AS email,
+         't' || event_id AS token, ts AS "requestedAt", value
+  FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'signup'),
+granted AS (
+  SELECT * FROM signups WHERE value >= 20 AND value < 90
+  QUALIFY row_number() OVER (PARTITION BY email ORDER BY "requestedAt", "requestId") = 1)"""
+
+LOGINS = f"""attempts AS (
+  SELECT event_id AS "attemptId", CASE WHEN value < 5 THEN '' WHEN value < 40 THEN {EMAIL}
+         WHEN value < 80 THEN 'nobody@example.com' END AS email, CAST(user_id AS VARCHAR) AS "userId",
+         value >= 5 AND value < 40 AS known, 't' || event_id AS token, ts AS "attemptedAt"
+  FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'click')"""
+
 UPLOADS = """uploads AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS "requestId", CAST(o_custkey AS VARCHAR) AS "userId", o_custkey, o_orderkey,
          repeat(o_orderpriority, CAST(trunc(o_totalprice / 10000) AS BIGINT)) AS "fileName",
@@ -188,8 +205,9 @@ scores AS (
 best AS (
   SELECT doc_id, pos, sentence FROM sentences LEFT JOIN scores USING (doc_id, pos)
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(score, 0) DESC, pos) <= 3)
-SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS summary, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions
-FROM best GROUP BY doc_id"""
+SELECT doc_id, coalesce(string_agg(sentence, ' ' ORDER BY pos), '') AS summary,
+       coalesce(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos), '') AS positions
+FROM documents LEFT JOIN best USING (doc_id) GROUP BY doc_id"""
 
 QUOTA = """
 SELECT event_id, user_id, ts, date_trunc('month', ts)::TIMESTAMP AS month,
@@ -260,12 +278,17 @@ WITH {DOCS} SELECT id, status, "uploadId", "createdAt" FROM docs WHERE status IN
     "lookup_by_key": f"""
 WITH {ACCOUNTS} SELECT id, email FROM accounts WHERE id IN (SELECT CAST(user_id AS VARCHAR) FROM events)""",
     "new_accounts": f"""
-WITH {ACCOUNTS}, incoming AS (
-  SELECT event_id AS id, c_name AS name,
-         CASE WHEN value < 20 THEN {EMAIL} ELSE 'new.' || user_id || '@example.com' END AS email, ts AS "createdAt"
-  FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'signup')
-SELECT * FROM incoming WHERE email NOT IN (SELECT email FROM accounts)
-QUALIFY row_number() OVER (PARTITION BY email ORDER BY "createdAt", id) = 1""",
+WITH {SIGNUPS}
+SELECT "requestId", name, email, token, "requestedAt" FROM signups WHERE email NOT IN (SELECT email FROM accounts)
+QUALIFY row_number() OVER (PARTITION BY email ORDER BY "requestedAt", "requestId") = 1""",
+    "sign_up_outcomes": f"""
+WITH {SIGNUPS}
+SELECT "requestId", CASE WHEN value >= 90 THEN 'invalid' WHEN "requestId" IN (SELECT "requestId" FROM granted) THEN 'created'
+       ELSE 'exists' END AS outcome FROM signups""",
+    "sign_up_rows": f"""
+WITH {SIGNUPS}
+SELECT sha256(email) AS "userId", name, email, FALSE AS "emailVerified", token,
+       "requestedAt" + INTERVAL 7 DAY AS "expiresAt", "requestedAt" AS "createdAt" FROM granted""",
     "account_documents": f"""
 WITH {ACCOUNTS}, {DOCS}
 SELECT d.id, d."fileName", d.status, d."userId", a.name AS "userName", a.email AS "userEmail"
@@ -313,12 +336,17 @@ WITH {REFRESH}
 SELECT * FROM sessions
 WHERE "expiresAt" >= {NOW} AND token NOT IN (SELECT token FROM asked WHERE token IS NOT NULL)""",
     "login_lookup": f"""
-WITH attempts AS (
-  SELECT event_id AS "attemptId", CASE WHEN value < 5 THEN '' WHEN value < 40 THEN {EMAIL}
-         WHEN value < 80 THEN 'nobody@example.com' END AS email, user_id, value
-  FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'click')
-SELECT "attemptId", email, CASE WHEN value >= 5 AND value < 40 THEN CAST(user_id AS VARCHAR) END AS "userId",
-       CASE WHEN value >= 5 AND value < 40 THEN 'account' ELSE 'no_account' END AS outcome FROM attempts""",
+WITH {LOGINS}
+SELECT "attemptId", email, CASE WHEN known THEN "userId" END AS "userId",
+       CASE WHEN known THEN 'account' ELSE 'no_account' END AS outcome FROM attempts""",
+    "log_in_sessions": f"""
+WITH {SESSIONS}, {LOGINS},
+granted AS (SELECT * FROM attempts WHERE known),
+held AS (
+  SELECT token, "userId", "expiresAt", "createdAt" FROM sessions
+  UNION ALL SELECT token, "userId", "attemptedAt" + INTERVAL 7 DAY, "attemptedAt" FROM granted),
+lasts AS (SELECT "userId", max("attemptedAt") AS last FROM granted GROUP BY 1)
+SELECT held.* FROM held LEFT JOIN lasts USING ("userId") WHERE last IS NULL OR "expiresAt" >= last""",
     "plan_parts": """
 SELECT doc_id AS id, (n_chars + 999) // 1000 AS "totalParts", CAST(p AS INTEGER) AS "partNumber", (p - 1) * 1000 AS "byteOffset",
        least(1000, n_chars - (p - 1) * 1000) AS "byteLength"
@@ -344,7 +372,7 @@ FROM newest JOIN documents ON id = CAST(doc_id AS VARCHAR)""",
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, passage
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS passage,
              unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents)
-WHERE trim(passage) <> ''""",
+WHERE regexp_matches(passage, '\S')""",
     "term_search": _bm25(),
     "extractive_summaries": SUMMARIES,
     "embed_chunks": f"""

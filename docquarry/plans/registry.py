@@ -11,6 +11,7 @@ from docquarry.functions.uploads import object_key, row_id
 from docquarry.operators import answers, catalog, parts, passages, retrieval, sessions, terms, threads, usage, validation
 from docquarry.operators.vectors import embed_chunks as embed
 from docquarry.plans import standins as given
+from docquarry.plans.accounts import log_in, sign_up
 from docquarry.plans.ask import answer_questions as answer
 from docquarry.plans.ask import find_passages
 from docquarry.plans.intake import initialize_uploads as initialize
@@ -174,19 +175,21 @@ def lookup_by_key(spark, sf):
 
 @query
 def new_accounts(spark, sf):
-    """Sign-ups with the email of a customer, or a new one that comes again and again."""
-    signups = given.events(spark, sf, "signup").join(
-        given.table(spark, sf, "customer"), F.col("user_id") == F.col("c_custkey")
-    )
-    known = given.account_email(F.col("c_name"), F.col("c_mktsegment"))
-    fresh = F.concat(F.lit("new."), F.col("user_id").cast("string"), F.lit("@example.com"))
-    incoming = signups.select(
-        F.col("event_id").alias("id"),
-        F.col("c_name").alias("name"),
-        F.when(F.col("value") < 20, known).otherwise(fresh).alias("email"),
-        F.col("ts").alias("createdAt"),
-    )
-    return catalog.new_accounts(incoming, given.accounts(spark, sf), "createdAt", "id")
+    requests = given.signup_requests(spark, sf)
+    return catalog.new_accounts(requests, given.accounts(spark, sf), "requestedAt", "requestId")
+
+
+@query
+def sign_up_outcomes(spark, sf):
+    return sign_up(given.signup_requests(spark, sf), given.accounts(spark, sf))[2]
+
+
+@query
+def sign_up_rows(spark, sf):
+    """The new accounts, each with its first session."""
+    accounts, first, _ = sign_up(given.signup_requests(spark, sf), given.accounts(spark, sf))
+    owners = accounts.select(F.col("id").alias("userId"), "name", "email", "emailVerified")
+    return owners.join(first.drop("id"), "userId")
 
 
 @query
@@ -282,18 +285,15 @@ def delete_sessions(spark, sf):
 
 @query
 def login_lookup(spark, sf):
-    """Clicks as login attempts: known emails, a wrong one that many use, or none."""
-    clicks = given.events(spark, sf, "click").join(
-        given.table(spark, sf, "customer"), F.col("user_id") == F.col("c_custkey")
-    )
-    known = given.account_email(F.col("c_name"), F.col("c_mktsegment"))
-    attempts = clicks.select(
-        F.col("event_id").alias("attemptId"),
-        F.when(F.col("value") < 5, "").when(F.col("value") < 40, known).when(F.col("value") < 80, "nobody@example.com").alias("email"),
-    )
+    attempts = given.login_attempts(spark, sf).select("attemptId", "email")
     return sessions.login_lookup(attempts, given.accounts(spark, sf))
 
 
+@query
+def log_in_sessions(spark, sf):
+    return log_in(given.login_attempts(spark, sf), given.accounts(spark, sf), given.sessions(spark, sf)).drop("id")
+
+
 # -- parts -------------------------------------------------------------------------------------------
 
 @query

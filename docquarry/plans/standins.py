@@ -119,6 +119,36 @@ def refresh_requests(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _with_customer(rows: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    return rows.join(table(spark, sf, "customer"), F.col("user_id") == F.col("c_custkey"))
+
+
+def signup_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Sign-ups with the email of a customer, a new one that comes again and again, or a broken one."""
+    known = account_email(F.col("c_name"), F.col("c_mktsegment"))
+    fresh = F.concat(F.lit("new."), _text("user_id"), F.lit("@example.com"))
+    email = F.when(F.col("value") < 20, known).when(F.col("value") < 90, fresh).otherwise(F.concat(fresh, F.lit("@")))
+    return _with_customer(events(spark, sf, "signup"), spark, sf).select(
+        F.col("event_id").alias("requestId"),
+        F.col("c_name").alias("name"),
+        email.alias("email"),
+        F.concat(F.lit("t"), _text("event_id")).alias("token"),
+        F.col("ts").alias("requestedAt"),
+    )
+
+
+def login_attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """Clicks as login attempts: known emails, a wrong one that many use, or none."""
+    known, value = account_email(F.col("c_name"), F.col("c_mktsegment")), F.col("value")
+    email = F.when(value < 5, "").when(value < 40, known).when(value < 80, "nobody@example.com")
+    return _with_customer(events(spark, sf, "click"), spark, sf).select(
+        F.col("event_id").alias("attemptId"),
+        email.alias("email"),
+        F.concat(F.lit("t"), _text("event_id")).alias("token"),
+        F.col("ts").alias("attemptedAt"),
+    )
+
+
 def uploads(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as upload requests with names, sizes and types of every kind, good and bad."""
     size = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(F.floor("o_totalprice").cast("double"))
