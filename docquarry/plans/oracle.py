@@ -140,15 +140,15 @@ scores AS (
   FROM qn CROSS JOIN cn LEFT JOIN dots USING (question_id, doc_id, chunk_no)),
 hits AS (
   SELECT question_id, doc_id, chunk_no, score,
-         row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id, chunk_no) AS rank
+         CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id, chunk_no) AS INTEGER) AS rank
   FROM scores QUALIFY rank <= {k})"""
 
 
 ANSWERS = f"""{_retrieval("SELECT item_id AS question_id, text FROM benchmark", 5)},
 firsts AS (SELECT *, min(rank) OVER (PARTITION BY question_id, doc_id) AS first FROM hits),
 cited AS (
-  SELECT question_id, rank, dense_rank() OVER (PARTITION BY question_id ORDER BY first) AS citation, doc_id, chunk_no,
-         d.source AS title, start, score, substring(passage, 1, 160) AS snippet, passage
+  SELECT question_id, rank, CAST(dense_rank() OVER (PARTITION BY question_id ORDER BY first) AS INTEGER) AS citation,
+         doc_id, chunk_no, d.source AS title, start, score, substring(passage, 1, 160) AS snippet, passage
   FROM firsts JOIN chunks USING (doc_id, chunk_no) JOIN documents d USING (doc_id))"""
 
 NEIGHBOURS = """
@@ -156,7 +156,7 @@ SELECT q.vec_id AS question_id, p.vec_id,
        round(list_inner_product(q.embedding::DOUBLE[], p.embedding::DOUBLE[])
              / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])
                     * list_inner_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[])), 6) AS score,
-       row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, p.vec_id) AS rank
+       CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, p.vec_id) AS INTEGER) AS rank
 FROM embeddings q JOIN embeddings p ON {condition}
 QUALIFY rank <= 5"""
 

@@ -16,7 +16,8 @@ def key_part(path: Column, part: int) -> Column:
 def scan_document_files(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     """One row per stored object. An upload is at most 100 MiB, so an object fits a row.
 
-    Without ``content`` the bytes are not read at all.
+    Without ``content`` the bytes are not read at all. Spark does not list empty files; the checks on
+    uploads let none through.
     """
     files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{OBJECT_ROOT}/*/*")
     columns = [
