@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 SNIPPET = 160
 
 
@@ -24,6 +24,20 @@ def number_sources(hits: DataFrame, question_key: str = "question_id", doc_key:
     return hits.withColumn("best_rank", best).withColumn("citation", numbered).drop("best_rank")
 
 
+def _cited(rows: DataFrame, question_key: str, keys: Sequence[str]) -> DataFrame:
+    return rows.select(
+        question_key,
+        "rank",
+        "citation",
+        *keys,
+        "title",
+        "start",
+        "score",
+        F.substring("passage", 1, SNIPPET).alias("snippet"),
+        "passage",
+    )
+
+
 def cite_sources(
     hits: DataFrame,
     chunks: DataFrame,
@@ -35,25 +49,37 @@ def cite_sources(
 ) -> DataFrame:
     """Hits with citation number, document title, character offset, passage and snippet.
 
-    ``max_hits`` is a proven bound on the rows of ``hits`` (questions times k). Below the broadcast
-    limit the hits travel and the passages stay where they are.
+    For stored passages. ``max_hits`` is a proven bound on the rows of ``hits`` (questions times k):
+    below the broadcast limit the hits travel and the passages stay where they are.
     """
     doc_key = keys[0]
     numbered = number_sources(hits, question_key, doc_key)
-    passages = chunks.select(*keys, "start", "passage")
-    cited = passages.join(_small(numbered, max_hits), list(keys))
+    cited = chunks.select(*keys, "start", "passage").join(_small(numbered, max_hits), list(keys))
     titles = documents.select(doc_key, F.col(title).alias("title"))
-    return titles.join(_small(cited, max_hits), doc_key).select(
-        question_key,
-        "rank",
-        "citation",
-        *keys,
-        "title",
-        "start",
-        "score",
-        F.substring("passage", 1, SNIPPET).alias("snippet"),
-        "passage",
-    )
+    return _cited(titles.join(_small(cited, max_hits), doc_key), question_key, keys)
+
+
+def cite_texts(
+    hits: DataFrame,
+    documents: DataFrame,
+    title: str,
+    size: int,
+    overlap: int,
+    keys: Sequence[str] = ("doc_id", "chunk_no"),
+    question_key: str = "question_id",
+    max_hits: int | None = None,
+    text: str = "text",
+) -> DataFrame:
+    """``cite_sources`` where passages are not stored: each is cut out of its document's text again.
+
+    One join, and only cited documents are cut. ``size`` and ``overlap`` are those of the passages.
+    """
+    doc_key, chunk_key = keys
+    start = F.col(chunk_key) * (size - overlap)
+    numbered = number_sources(hits, question_key, doc_key)
+    texts = documents.select(doc_key, F.col(title).alias("title"), F.col(text).alias("_text"))
+    found = texts.join(_small(numbered, max_hits), doc_key).withColumn("start", start)
+    return _cited(found.withColumn("passage", F.substring("_text", start + 1, F.lit(size))), question_key, keys)
 
 
 def question_context(cited: DataFrame, budget: int, question_key: str = "question_id") -> DataFrame:

@@ -57,15 +57,18 @@ def refresh_outcomes(
     )
 
 
-def rotate_sessions(sessions: DataFrame, rotations: DataFrame) -> DataFrame:
+def rotate_sessions(sessions: DataFrame, rotations: DataFrame, now: str | dt.datetime | None = None) -> DataFrame:
     """Gives sessions a new token and a new end; id, account and creation time stay.
 
     ``rotations`` has ``token``, ``newToken`` and ``rotatedAt``. Of several for one token the first
-    counts: after it, the old token is unknown.
+    counts: after it, the old token is unknown. With ``now``, a session past its time that is asked for
+    is deleted instead. One join does both.
     """
     first = F.min_by(F.struct("newToken", "rotatedAt"), F.struct("rotatedAt", "newToken")).alias("turn")
     turns = rotations.where(F.col("token").isNotNull()).groupBy("token").agg(first)
     turned = sessions.join(turns, "token", "left")
+    if now is not None:
+        turned = turned.where(F.col("turn").isNull() | (F.col("expiresAt") >= instant(now)))
     return turned.select(
         "id",
         F.coalesce("turn.newToken", "token").alias("token"),

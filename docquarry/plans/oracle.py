@@ -83,6 +83,13 @@ errors AS (
 
 CHECKED = UPLOADS.format(max_bytes=300000)
 
+INTAKE = f"""{UPLOADS.format(max_bytes=104857600)},
+fresh AS (
+  SELECT sha256("userId" || chr(31) || "requestId") AS id, "userId", CAST("fileSize" AS BIGINT) AS "fileSize",
+         "fileName", "mimeType"
+  FROM uploads WHERE "requestId" NOT IN (SELECT "requestId" FROM errors)
+  AND "requestId" IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'O'))"""
+
 MANIFEST = """manifest AS (
   SELECT lang, source, doc_id, n_chars,
          '{"fileName":' || CASE WHEN lang = 'es' THEN CAST(doc_id AS VARCHAR) ELSE '"doc-' || doc_id || '.txt"' END
@@ -256,13 +263,14 @@ SELECT id, 'email', CASE WHEN email IS NULL THEN 'invalid_type' ELSE 'invalid_fo
 WHERE email IS NULL OR email LIKE '.%' OR email LIKE '%..%'
    OR NOT regexp_full_match(email, '[A-Za-z0-9_''+.-]*[A-Za-z0-9_+-]@([A-Za-z0-9][A-Za-z0-9-]*[.])+[A-Za-z]{{2,}}')""",
     "initialize_uploads": f"""
-WITH {UPLOADS.format(max_bytes=104857600)},
-fresh AS (
-  SELECT sha256("userId" || chr(31) || "requestId") AS id, "userId", CAST("fileSize" AS BIGINT) AS "fileSize"
-  FROM uploads WHERE "requestId" NOT IN (SELECT "requestId" FROM errors)
-  AND "requestId" IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'O'))
-SELECT id, 'documents/' || "userId" || '/' || id AS "r2Key", 'PENDING_UPLOAD' AS status, "userId", {NOW} AS "createdAt",
-       "fileSize", ("fileSize" + 65535) // 65536 AS parts, "fileSize" AS bytes FROM fresh""",
+WITH {INTAKE}
+SELECT id, "fileName", "fileSize", "mimeType", 'documents/' || "userId" || '/' || id AS "r2Key", 'PENDING_UPLOAD' AS status,
+       "userId", {NOW} AS "createdAt" FROM fresh""",
+    "initialize_upload_parts": f"""
+WITH {INTAKE}
+SELECT id, ("fileSize" + 65535) // 65536 AS "totalParts", CAST(p AS INTEGER) AS "partNumber", (p - 1) * 65536 AS "byteOffset",
+       least(65536, "fileSize" - (p - 1) * 65536) AS "byteLength"
+FROM (SELECT id, "fileSize", unnest(range(1, ("fileSize" + 65535) // 65536 + 1)) AS p FROM fresh)""",
     "search_documents_by_name": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'mall r')",
     "public_accounts": f"WITH {ACCOUNTS} SELECT id, name, email FROM accounts",
     "document_cards": f"""

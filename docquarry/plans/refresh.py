@@ -1,4 +1,4 @@
-"""A batch of session refreshes: outcomes, sweep of the expired, rotation of the valid."""
+"""A batch of session refreshes."""
 
 from __future__ import annotations
 
@@ -7,19 +7,16 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.operators.catalog import delete_rows
 from docquarry.operators.sessions import refresh_outcomes, rotate_sessions
 
 
 def refresh_sessions(
     requests: DataFrame, sessions: DataFrame, now: str | dt.datetime, request_key: str = "requestId"
-) -> DataFrame:
-    """Sessions after the batch. ``requests`` has ``token``, ``newToken`` and ``requestedAt``.
+) -> tuple[DataFrame, DataFrame]:
+    """Sessions after the batch, and the outcome of each request.
 
-    An expired session that was asked for is deleted; a valid one gets its new token and end.
+    ``requests`` has ``token``, ``newToken`` and ``requestedAt``. An expired session that was asked for
+    is deleted; a valid one gets its new token and end.
     """
-    outcomes = refresh_outcomes(requests, sessions, now, request_key)
-    expired = outcomes.where(F.col("outcome") == "expired")
-    valid = outcomes.where(F.col("outcome") == "valid")
-    kept = delete_rows(sessions, expired.select("token"), "token")
-    return rotate_sessions(kept, valid.select("token", "newToken", F.col("requestedAt").alias("rotatedAt")))
+    asked = requests.select("token", "newToken", F.col("requestedAt").alias("rotatedAt"))
+    return rotate_sessions(sessions, asked, now), refresh_outcomes(requests, sessions, now, request_key)

@@ -118,15 +118,23 @@ def validate_accounts(spark, sf):
     return validation.error_rows(validation.validate_accounts(requests), "id")
 
 
-@query
-def initialize_uploads(spark, sf):
-    """Orders as requests, some of them stored before: ids, keys and parts of the new."""
-    requests = given.uploads(spark, sf)
+def _intake(spark, sf):
+    """Orders as requests, some of them stored before."""
     known = catalog.documents_in_status(given.documents(spark, sf), ["COMPLETED", "PROCESSING"])
     existing = known.select(row_id(F.col("userId"), F.col("id")).alias("id"))
-    fresh, planned, _ = initialize(requests, existing, NOW, part_size=65_536)
-    totals = planned.groupBy("id").agg(F.count("*").alias("parts"), F.sum("byteLength").alias("bytes"))
-    return fresh.join(totals, "id").select("id", "r2Key", "status", "userId", "createdAt", "fileSize", "parts", "bytes")
+    return initialize(given.uploads(spark, sf), existing, NOW, part_size=65_536)
+
+
+@query
+def initialize_uploads(spark, sf):
+    """Catalog rows of the new uploads."""
+    return _intake(spark, sf)[0].drop("uploadId", "failureReason", "errorMessage", "updatedAt")
+
+
+@query
+def initialize_upload_parts(spark, sf):
+    """The parts to send for them."""
+    return _intake(spark, sf)[1]
 
 
 # -- catalog -----------------------------------------------------------------------------------------
@@ -273,7 +281,7 @@ def rotate_sessions(spark, sf):
 
 @query
 def refresh_sessions(spark, sf):
-    return refresh(given.refresh_requests(spark, sf), given.sessions(spark, sf), NOW)
+    return refresh(given.refresh_requests(spark, sf), given.sessions(spark, sf), NOW)[0]
 
 
 @query
