@@ -48,7 +48,7 @@ def validate_uploads(
         _check(
             "fileName",
             (name.isNull(), "invalid_type"),
-            (utf16_length(name) < 1, "too_small"),
+            (name == "", "too_small"),
             (utf16_length(name) > MAX_FILE_NAME, "too_big"),
         ),
         _check("fileSize", *size_rules),

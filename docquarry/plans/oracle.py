@@ -239,6 +239,9 @@ SELECT CASE WHEN source <> 'src0' AND lang <> 'es' THEN 'doc-' || doc_id || '.tx
        CASE WHEN source = 'src0' OR lang = 'fr' THEN NULL WHEN lang = 'de' THEN n_chars + 0.5::DOUBLE
             ELSE n_chars::DOUBLE END AS "fileSize",
        CASE WHEN source <> 'src0' THEN 'text/plain' END AS "mimeType", source = 'src0' AS malformed, line FROM manifest""",
+    "scan_document_files": """
+SELECT 'source=' || source AS "userId", CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes
+FROM documents GROUP BY 1""",
     "append_documents": f"""
 WITH {DOCS} SELECT id, "fileName", "fileSize", "mimeType", "r2Key", "uploadId", status, "userId", "createdAt" FROM docs""",
     "validate_uploads": f"WITH {CHECKED} SELECT * FROM errors",

@@ -19,6 +19,7 @@ from docquarry.plans.refresh import refresh_sessions as refresh
 from docquarry.plans.standins import NOW
 from docquarry.session import shared_path
 from docquarry.sources.files import key_part
+from docquarry.sources.files import scan_document_files as scan
 from docquarry.sources.manifests import read_upload_manifest as read_manifest
 from docquarry.sources.tables import append_documents as append
 from docquarry.sources.tables import read_tables as read_stored
@@ -66,6 +67,15 @@ def read_upload_manifest(spark, sf):
     return read_manifest(spark, path)
 
 
+@query
+def scan_document_files(spark, sf):
+    """Texts stored as files, one folder per source; bytes found per folder, contents unread."""
+    path = shared_path(spark, "store")
+    stored = given.table(spark, sf, "documents").select("source", F.col("text").alias("value"))
+    stored.write.partitionBy("source").text(f"{path}/documents")
+    return scan(spark, path, content=False).groupBy("userId").agg(F.sum("fileSize").alias("bytes"))
+
+
 @query
 def append_documents(spark, sf):
     """Appends the catalog twice; the second time only what is new, which is nothing."""
@@ -316,19 +326,11 @@ def oversized_uploads(spark, sf):
     return parts.oversized_uploads(files, 40)
 
 
-def _manifest(spark, sf):
-    received = given.table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("documentId"),
-        F.col("l_linenumber").alias("partNumber"),
-        F.md5(F.col("l_partkey").cast("string")).alias("etag"),
-    )
-    return parts.part_manifest(received)
-
-
 @query
 def part_manifest(spark, sf):
     listed = F.transform("parts", lambda p: F.concat_ws(":", p["partNumber"], p["etag"]))
-    return _manifest(spark, sf).withColumn("parts", F.array_join(listed, ","))
+    manifest = parts.part_manifest(given.received_parts(spark, sf))
+    return manifest.withColumn("parts", F.array_join(listed, ","))
 
 
 # -- texts -------------------------------------------------------------------------------------------

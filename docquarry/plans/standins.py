@@ -159,7 +159,7 @@ def uploads(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("o_orderpriority") == "3-MEDIUM", "text/csv")
         .otherwise(TEXT)
     )
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders"), "o_orderkey").select(
         _text("o_orderkey").alias("requestId"),
         _text("o_custkey").alias("userId"),
         F.expr("repeat(o_orderpriority, cast(o_totalprice / 10000 AS INT))").alias("fileName"),
@@ -191,6 +191,15 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents"), "doc_id")
 
 
+def received_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as uploaded parts; many are sent more than once."""
+    return spread(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber").select(
+        F.col("l_orderkey").alias("documentId"),
+        F.col("l_linenumber").alias("partNumber"),
+        F.md5(_text("l_partkey")).alias("etag"),
+    )
+
+
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_documents(texts(spark, sf).select("doc_id", "source", "text"))
 

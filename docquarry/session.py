@@ -28,6 +28,24 @@ def build_session(app_name: str = "docquarry", master: str | None = None, **sett
     return builder.getOrCreate()
 
 
+PARTITION_BYTES = 256 * 1024 * 1024
+MAX_PARTITIONS = 100_000
+
+
+def settings_for(input_bytes: int) -> dict[str, str]:
+    """Partition settings for an input of this size, to pass to ``build_session``.
+
+    Shuffles start from partitions of about 256 MB and AQE joins the small ones, so only the upper end
+    has to be right: 200, the default, would make partitions of 500 GB out of 100 TB.
+    """
+    partitions = min(MAX_PARTITIONS, max(200, -(-input_bytes // PARTITION_BYTES)))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(PARTITION_BYTES),
+    }
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new, unused path for ``name`` in the folder all executors share.
 
