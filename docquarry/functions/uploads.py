@@ -32,6 +32,16 @@ def instant(moment: str | dt.datetime) -> Column:
     return F.to_timestamp_ntz(F.lit(text))
 
 
+def epoch_seconds(moment: Column) -> Column:
+    """Seconds since 1970 with their fraction, read off the clock fields: no zone comes into it."""
+    clock = F.hour(moment) * 3600 + F.minute(moment) * 60 + F.extract(F.lit("SECOND"), moment)
+    return F.unix_date(F.to_date(moment)).cast("bigint") * 86_400 + clock
+
+
+def month_start(moment: Column) -> Column:
+    return F.trunc(F.to_date(moment), "MM").cast("timestamp_ntz")
+
+
 def checked_part_size(part_size: float) -> int:
     """Part size in whole bytes; anything else is refused here, before a job starts."""
     if not math.isfinite(part_size) or part_size <= 0 or part_size != int(part_size):
@@ -93,7 +103,7 @@ def email_is_valid(email: Column) -> Column:
 
 def relative_age(moment: Column, now: str | dt.datetime) -> Column:
     """"2 days ago", "1 hour ago", "15 minutes ago": whole units, the largest that fits."""
-    seconds = F.timestamp_diff("SECOND", moment, instant(now))
+    seconds = F.floor(epoch_seconds(instant(now)) - epoch_seconds(moment))
     age = F.lit("just now")
     for unit, size in reversed(_UNIT_SECONDS):
         n = F.floor(seconds / size)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docquarry.functions.uploads import epoch_seconds, month_start
+
 
 def monthly_quota(
     events: DataFrame, limit: int, account: str = "userId", moment: str = "createdAt", key: str = "id",
@@ -14,28 +16,27 @@ def monthly_quota(
     """Each event with the account's use in its month so far (``used``) and ``overLimit``.
 
     A running count over (account, month) would put all events of a busy account into one task.
-    Instead a month is cut into minutes: events are numbered within their minute, and the counts of
-    the minutes before are added. Those counts are formed before the shuffle, and a month has at most
-    44,640 of them however busy the account. ``used_before`` (account, month, ``used``) carries over
+    Instead a month is cut into seconds: events are numbered within their second, and the counts of
+    the seconds before are added. Those counts are formed before the shuffle, and a month has at most
+    2,678,400 of them however busy the account. ``used_before`` (account, month, ``used``) carries over
     counts from earlier batches of a stream.
     """
-    events = events.withColumn("month", F.date_trunc("MONTH", moment).cast("timestamp_ntz")).withColumn(
-        "minute", F.date_trunc("MINUTE", moment).cast("timestamp_ntz")
-    )
-    minute = [account, "month", "minute"]
-    earlier = W.partitionBy(account, "month").orderBy("minute").rowsBetween(W.unboundedPreceding, -1)
-    counts = events.groupBy(*minute).agg(F.count("*").alias("n"))
+    at = F.col(moment)
+    events = events.withColumn("month", month_start(at)).withColumn("second", F.floor(epoch_seconds(at)))
+    second = [account, "month", "second"]
+    earlier = W.partitionBy(account, "month").orderBy("second").rowsBetween(W.unboundedPreceding, -1)
+    counts = events.groupBy(*second).agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     if used_before is not None:
         carried = used_before.select(account, "month", F.col("used").alias("carried"))
         before = before.join(carried, [account, "month"], "left").select(
-            *minute, (F.col("before") + F.coalesce("carried", F.lit(0))).alias("before")
+            *second, (F.col("before") + F.coalesce("carried", F.lit(0))).alias("before")
         )
-    within = F.row_number().over(W.partitionBy(*minute).orderBy(moment, key))
-    numbered = events.withColumn("within", within).join(before, minute)
+    within = F.row_number().over(W.partitionBy(*second).orderBy(moment, key))
+    numbered = events.withColumn("within", within).join(before, second)
     used = (F.col("before") + F.col("within")).cast("bigint")
     return numbered.withColumn("used", used).withColumn("overLimit", F.col("used") > limit).drop(
-        "minute", "within", "before"
+        "second", "within", "before"
     )
 
 

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docquarry.functions.uploads import month_start
 from docquarry.operators.usage import monthly_quota
 from docquarry.streaming.run import batch_path, drain, last_written, write_batch, written_batches
 
 
 def _months(events: DataFrame, account: str, moment: str) -> DataFrame:
-    month = F.date_trunc("MONTH", moment).cast("timestamp_ntz").alias("month")
-    return events.select(account, month).groupBy(account, "month").agg(F.count("*").alias("used"))
+    return events.select(account, month_start(F.col(moment)).alias("month")).groupBy(account, "month").agg(F.count("*").alias("used"))
 
 
 def stream_quota(
