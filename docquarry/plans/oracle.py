@@ -124,6 +124,14 @@ def _vectors(name: str, source: str, key: str, text: str) -> str:
   WHERE norm > 0)"""
 
 
+def _dense(name: str, source: str, key: str) -> str:
+    """The vectors of ``source`` as lists ``v``."""
+    return f"""{name} AS (
+  SELECT {key}, list(coalesce(w, 0) ORDER BY bucket) AS v
+  FROM (SELECT DISTINCT {key} FROM {source}) CROSS JOIN (SELECT unnest(range(0, 256)) AS bucket)
+  LEFT JOIN {source} USING ({key}, bucket) GROUP BY ALL)"""
+
+
 WEIGHTS = f"""weights AS (
   SELECT bucket, ln(((SELECT count(*) FROM chunks) + 1) / (coalesce(n, 0) + 1)) AS idf
   FROM (SELECT unnest(range(0, 256)) AS bucket)
@@ -139,16 +147,18 @@ def _retrieval(questions: str, k: int) -> str:
 {_vectors("cv", "chunks", "doc_id, chunk_no", "passage")},
 questions AS ({questions}),
 {_vectors("qv", "questions", "question_id", "text")},
-cn AS (SELECT doc_id, chunk_no, sqrt(sum(w * w)) AS n FROM cv GROUP BY ALL),
-qn AS (SELECT question_id, sqrt(sum(w * w)) AS n FROM qv GROUP BY ALL),
-dots AS (SELECT question_id, doc_id, chunk_no, sum(q.w * c.w) AS dot FROM qv q JOIN cv c USING (bucket) GROUP BY ALL),
+{_dense("cd", "cv", "doc_id, chunk_no")},
+{_dense("qd", "qv", "question_id")},
 scores AS (
-  SELECT question_id, doc_id, chunk_no, round(coalesce(dot, 0) / (qn.n * cn.n), 6) AS score
-  FROM qn CROSS JOIN cn LEFT JOIN dots USING (question_id, doc_id, chunk_no)),
+  SELECT question_id, doc_id, chunk_no,
+         round(list_inner_product(q.v, c.v)
+               / sqrt(list_inner_product(q.v, q.v) * list_inner_product(c.v, c.v)), 6) AS score
+  FROM qd q, cd c),
+best AS (
+  SELECT question_id, unnest(min({{'s': -score, 'd': doc_id, 'c': chunk_no}}, {k})) AS h FROM scores GROUP BY question_id),
 hits AS (
-  SELECT question_id, doc_id, chunk_no, score,
-         CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id, chunk_no) AS INTEGER) AS rank
-  FROM scores QUALIFY rank <= {k})"""
+  SELECT question_id, h.d AS doc_id, h.c AS chunk_no, -h.s AS score,
+         CAST(row_number() OVER (PARTITION BY question_id ORDER BY h) AS INTEGER) AS rank FROM best)"""
 
 
 ANSWERS = f"""{_retrieval("SELECT item_id AS question_id, text FROM benchmark", 5)},

@@ -15,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def oracle_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
-    connection = duckdb.connect()
+    connection = duckdb.connect(config={"memory_limit": "12GB", "max_temp_directory_size": "2GB"})
     for name in TABLES.split():
         if glob.glob(os.path.join(sf_dir, f"{name}.parquet")):
             connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
