@@ -65,9 +65,10 @@ def extractive_summaries(
 ) -> DataFrame:
     """The ``n`` most informative sentences of each document, in text order, as ``summary``.
 
-    A document without sentences has an empty summary. A sentence scores the sum of its term weights over the square root of its number of terms; the
-    earlier one wins a tie. Weights are hashed and fitted on ``documents`` unless given, which keeps
-    them one array of fixed size; with it, scoring and picking stay inside the row.
+    A document without sentences has an empty summary. A sentence scores the sum of its term weights
+    over the square root of its number of terms; the earlier one wins a tie. Weights are hashed, and
+    fitted on ``documents`` unless given: an array of fixed size, with which scoring and picking stay
+    inside the row.
     """
     weights = weights if weights is not None else fit_bucket_weights(documents, text, SUMMARY_DIMS)
     idf = np.asarray(weights, dtype=np.float64)
@@ -83,7 +84,8 @@ def extractive_summaries(
         sizes = np.maximum(np.diff(bounds), 1)
         scores = np.round(sums / np.sqrt(sizes), 6)
         offsets = buckets.offsets.to_numpy()
-        return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(scores))
+        starts = pa.array((offsets - offsets[0]).astype(np.int32))
+        return pa.ListArray.from_arrays(starts, pa.array(scores))
 
     cut = documents.where(F.col(text).isNotNull()).select(key, sentences(F.col(text)).alias("cut"))
     buckets = F.transform("cut", lambda s: term_buckets(s, len(idf)))

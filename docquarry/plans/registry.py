@@ -393,7 +393,11 @@ def term_search(spark, sf):
 @query
 def extractive_summaries(spark, sf):
     found = terms.extractive_summaries(given.texts(spark, sf), n=3)
-    return found.select("doc_id", F.array_join("summary", " ").alias("summary"), F.concat_ws(",", F.col("positions").cast("array<string>")).alias("positions"))
+    return found.select(
+        "doc_id",
+        F.array_join("summary", " ").alias("summary"),
+        F.concat_ws(",", F.col("positions").cast("array<string>")).alias("positions"),
+    )
 
 
 # -- vectors and answers -----------------------------------------------------------------------------

@@ -30,33 +30,38 @@ def stream_quota(
 
 def stream_quota_events(
     events: DataFrame, limit: int, path: str, checkpoint: str,
-    account: str = "userId", moment: str = "createdAt", key: str = "id",
+    account: str = "userId", moment: str = "createdAt", key: str = "id", compact_every: int = 10,
 ) -> DataFrame:
     """Each event with the use of its month so far: the batch operator, carried over micro-batches.
 
-    Micro-batch n reads the counts that n-1 left and leaves its own, so no event waits in state and a
-    busy account is split over tasks as in the batch operator. Events count in order of arrival.
+    No event waits in state, and a busy account is split over tasks as in the batch operator. Each
+    micro-batch leaves its own counts, and every ``compact_every``-th the counts of all before it too,
+    so that at most so many folders are read. Events count in order of arrival.
     """
     spark = events.sparkSession
     counts_path, events_path = f"{path}/counts", f"{path}/events"
-    kind = events.schema[account].dataType
     counts_schema = T.StructType([
-        T.StructField(account, kind),
+        events.schema[account],
         T.StructField("month", T.TimestampNTZType()),
         T.StructField("used", T.LongType()),
     ])
     numbered_schema: list[T.StructType] = []
 
+    def total(counts: DataFrame) -> DataFrame:
+        return counts.groupBy(account, "month").agg(F.sum("used").alias("used"))
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         before = None
         if batch_id > 0:
-            before = spark.read.schema(counts_schema).parquet(batch_path(counts_path, batch_id - 1))
+            compacted = (batch_id - 1) // compact_every * compact_every
+            folders = [batch_path(counts_path, n) for n in range(compacted, batch_id)]
+            before = total(spark.read.schema(counts_schema).parquet(*folders))
         numbered = monthly_quota(batch, limit, account, moment, key, used_before=before)
         numbered_schema[:] = [numbered.schema]
         write_batch(numbered, events_path, batch_id)
         counts = _months(batch, account, moment)
-        if before is not None:
-            counts = before.unionByName(counts).groupBy(account, "month").agg(F.sum("used").alias("used"))
+        if before is not None and batch_id % compact_every == 0:
+            counts = total(before.unionByName(counts))
         write_batch(counts, counts_path, batch_id)
 
     drain(events, handle, checkpoint)

@@ -49,8 +49,12 @@ def test_quota_counts(spark, sf, staged):
     assert bag(found) == bag(batch.withColumn("overLimit", F.col("used") > 50))
 
 
-def test_quota_events(spark, sf, staged):
-    found = stream_quota_events(stream(spark, staged).select("event_id", "user_id", "ts"), 5, *places(spark), account="user_id", moment="ts", key="event_id")
+@pytest.mark.parametrize("compact_every", [1, 2, 10])
+def test_quota_events(spark, sf, staged, compact_every):
+    events = stream(spark, staged).select("event_id", "user_id", "ts")
+    found = stream_quota_events(
+        events, 5, *places(spark), account="user_id", moment="ts", key="event_id", compact_every=compact_every
+    )
     batch = monthly_quota(standins.events(spark, sf).select("event_id", "user_id", "ts"), 5, "user_id", "ts", "event_id")
     assert bag(found) == bag(batch)
 
