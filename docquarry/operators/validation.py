@@ -36,6 +36,11 @@ def validate_uploads(
     With ``part_size``, an upload that would need more than 10,000 parts is an error too.
     """
     name, size, mime = F.col("fileName"), F.col("fileSize"), F.col("mimeType")
+    # Characters count one or two units, so only names in between need their units counted.
+    characters = F.length(name)
+    too_long = (characters > MAX_FILE_NAME) | (
+        (characters > MAX_FILE_NAME // 2) & (utf16_length(name) > MAX_FILE_NAME)
+    )
     size_rules = [
         (size.isNull() | F.isnan(size.cast("double")) | (size != F.floor(size)), "invalid_type"),
         (size <= 0, "too_small"),
@@ -49,7 +54,7 @@ def validate_uploads(
             "fileName",
             (name.isNull(), "invalid_type"),
             (name == "", "too_small"),
-            (utf16_length(name) > MAX_FILE_NAME, "too_big"),
+            (too_long, "too_big"),
         ),
         _check("fileSize", *size_rules),
         _check("mimeType", (mime.isNull() | ~mime.isin(*allowed_mime), "invalid_value")),

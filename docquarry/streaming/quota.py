@@ -45,7 +45,12 @@ def stream_quota_events(
         T.StructField("month", T.TimestampNTZType()),
         T.StructField("used", T.LongType()),
     ])
-    numbered_schema: list[T.StructType] = []
+    numbered_schema = T.StructType([
+        *events.schema.fields,
+        T.StructField("month", T.TimestampNTZType()),
+        T.StructField("used", T.LongType()),
+        T.StructField("overLimit", T.BooleanType()),
+    ])
 
     def total(counts: DataFrame) -> DataFrame:
         return counts.groupBy(account, "month").agg(F.sum("used").alias("used"))
@@ -57,7 +62,6 @@ def stream_quota_events(
             folders = [batch_path(counts_path, n) for n in range(compacted, batch_id)]
             before = total(spark.read.schema(counts_schema).parquet(*folders))
         numbered = monthly_quota(batch, limit, account, moment, key, used_before=before)
-        numbered_schema[:] = [numbered.schema]
         write_batch(numbered, events_path, batch_id)
         counts = _months(batch, account, moment)
         if before is not None and batch_id % compact_every == 0:
@@ -65,6 +69,4 @@ def stream_quota_events(
         write_batch(counts, counts_path, batch_id)
 
     drain(events, handle, checkpoint)
-    if not numbered_schema:
-        raise ValueError("the stream held no data")
-    return written_batches(spark, events_path, numbered_schema[0]).drop("batch_id")
+    return written_batches(spark, events_path, numbered_schema).drop("batch_id")
