@@ -427,14 +427,23 @@ def semantic_top_k_blocks(spark, sf):
     return _neighbours(spark, sf, max_questions=0)
 
 
+def _neighbours_in_scope(spark, sf, **options):
+    vectors = given.vectors(spark, sf).withColumnRenamed("label", "workspace")
+    place = F.when(F.col("workspace") != 0, F.col("workspace")).alias("workspace")
+    asked = vectors.select(F.col("vec_id").alias("question_id"), "vector", place)
+    return retrieval.scoped_search(asked, vectors, 5, "workspace", keys=["vec_id"], **options)
+
+
 @query
 def scoped_search(spark, sf):
     """For every vector, its five nearest with its own label; label 0 searches all."""
-    vectors = given.vectors(spark, sf).withColumnRenamed("label", "workspace")
-    asked = vectors.select(
-        F.col("vec_id").alias("question_id"), "vector", F.when(F.col("workspace") != 0, F.col("workspace")).alias("workspace")
-    )
-    return retrieval.scoped_search(asked, vectors, 5, "workspace", keys=["vec_id"])
+    return _neighbours_in_scope(spark, sf)
+
+
+@query
+def scoped_search_blocks(spark, sf):
+    """The same by the way taken when there are too many questions to send to the tasks."""
+    return _neighbours_in_scope(spark, sf, max_questions=0)
 
 
 def _answers(spark, sf):
