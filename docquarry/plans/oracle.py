@@ -403,7 +403,7 @@ SELECT doc_id, chunk_no, CAST(bucket AS INTEGER) AS bucket, round(w, 4) AS weigh
     "semantic_top_k_blocks": NEIGHBOURS.format(condition="TRUE"),
     "scoped_search": NEIGHBOURS.format(condition="q.label = 0 OR q.label = p.label"),
     "scoped_search_blocks": NEIGHBOURS.format(condition="q.label = 0 OR q.label = p.label"),
-    "answer_questions": f"WITH {ANSWERS} SELECT * EXCLUDE (passage) FROM cited",
+    "answer_questions": f"WITH {ANSWERS} SELECT * FROM cited",
     "question_context": f"""
 WITH {ANSWERS},
 kept AS (

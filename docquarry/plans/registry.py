@@ -447,13 +447,13 @@ def scoped_search_blocks(spark, sf):
 
 
 def _answers(spark, sf):
-    return answer(given.benchmark_questions(spark, sf), given.texts(spark, sf), k=5, title="source")
+    return answer(given.benchmark_questions(spark, sf), given.table(spark, sf, "documents"), k=5, title="source")
 
 
 @query
 def answer_questions(spark, sf):
     """Every benchmark text as a question to all documents: best passages, numbered sources."""
-    return _answers(spark, sf).drop("passage")
+    return _answers(spark, sf)
 
 
 @query
