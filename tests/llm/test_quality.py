@@ -1,0 +1,58 @@
+import re
+from collections import Counter
+
+from docquarry.llm.quality import POLICIES, RULES, ablations, keep_good, ledger, mask, op8_quality_rules
+from tests.llm.data import odd, store, table, with_extra
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def measure(text):
+    w = WORD.findall(text)
+    windows = Counter(zip(w, w[1:], w[2:]))
+    covered = {i + k for i, x in enumerate(zip(w, w[1:], w[2:])) if windows[x] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered))
+
+
+def test_measurements(spark, tmp_path):
+    df = odd(spark)
+    got = op8_quality_rules(spark, store(with_extra(df), tmp_path)).collect()
+    want = sorted(measure(r["text"] or "") for r in df.collect())
+    assert sorted(tuple(r)[1:6] for r in got) == want
+    for r in got:
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+        assert r["kept"] == (r["failed"] == 0) and not (r["kept"] and r["base_failed"])
+
+
+def test_each_rule_fails_its_text(spark):
+    plain = " ".join(f"word{i}" for i in range(60))
+    texts = [
+        plain, "few words", "a b c " * 30, "x " + " ".join(f"{'q' * 30}{i}" for i in range(60)),
+        " ".join(f"word{i} #" for i in range(60)), (plain + "\n") * 4, plain.upper(),
+    ]
+    failed = {r["doc_id"]: r["_quality"]["failed"] for r in ledger(table(spark, texts)).collect()}
+    assert failed[0] == 0
+    for i, (name, _) in enumerate(RULES):
+        if name != "repeated_lines":
+            assert failed[i + 1 if i < 4 else i + 1] & mask((name,)), name
+    assert failed[5] & mask(("repeated_lines",))
+
+
+def test_policies_and_ablations(spark):
+    plain = " ".join(f"word{i}" for i in range(60))
+    rows = ledger(table(spark, [plain, plain.upper(), "few", "FEW", None]))
+    found = {r["rule"]: r for r in ablations(rows, ("standard", 1)).collect()}
+    assert set(found) == set(POLICIES["standard", 1])
+    assert (found["few_words"]["failing"], found["few_words"]["only"], found["few_words"]["kept_without"]) == (3, 2, 3)
+    assert (found["capitals"]["failing"], found["capitals"]["only"], found["capitals"]["kept_without"]) == (2, 1, 2)
+    none = ablations(ledger(table(spark, [])), ("base", 1)).collect()
+    assert [(r["failing"], r["only"], r["kept_without"]) for r in none] == [(0, 0, 0)] * 2
+
+
+def test_keep_good_keeps_columns_and_rows(spark):
+    plain = " ".join(f"word{i}" for i in range(60))
+    df = with_extra(table(spark, [plain, plain, None, "few"], [1, 1, None, 2]))
+    kept = keep_good(df)
+    assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == [1, 1]
+    assert keep_good(table(spark, [])).count() == 0
