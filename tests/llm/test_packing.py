@@ -1,0 +1,90 @@
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from docquarry.llm.common import stage
+from docquarry.llm.packing import cut_pieces, first_fit_decreasing, op9_first_fit_packing, pack_pieces, token_bytes
+from tests.llm.data import odd, odd_texts, store, table, with_extra
+
+FILE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def library():
+    t = Tokenizer.from_file(FILE)
+    t.encode_special_tokens = True
+    return t
+
+
+def test_ids_equal_the_library():
+    t, encode = library(), token_bytes(FILE, 2)
+    random.seed(6)
+    alphabet = [" ", " ", "\n", "\x0b", "\x1c", "\x85", " ", " ", "a", "The", "é", "é", "́", "Σ", "İ", "ﬁ", "漢", "😀", "'s", "'", "1", "12", "-", "<|endoftext|>", "\x00"]
+    texts = ["".join(random.choice(alphabet) for _ in range(random.randrange(0, 25))) for _ in range(2000)]
+    for x in texts + [x for x in odd_texts() if x is not None]:
+        assert np.frombuffer(encode(x), "<u4").tolist() == [*t.encode(x, add_special_tokens=False).ids, 2], repr(x)
+
+
+def test_first_fit_against_plain_loop():
+    random.seed(7)
+    for n in (0, 1, 2, 5, 200):
+        lengths = np.array([random.randrange(1, 101) for _ in range(n)], dtype=np.int64)
+        bins, offsets = first_fit_decreasing(lengths, 100)
+        room, want = [], {}
+        for i in sorted(range(n), key=lambda i: -lengths[i]):
+            b = next((b for b, r in enumerate(room) if r >= lengths[i]), len(room))
+            if b == len(room):
+                room.append(100)
+            want[i] = (b, 100 - room[b])
+            room[b] -= lengths[i]
+        assert [(b, o) for b, o in zip(bins, offsets)] == [want[i] for i in range(n)]
+
+
+def check(docs, found, room=4096):
+    t = library()
+    want = defaultdict(int)
+    for doc_id, text in docs:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        for at in range(0, len(ids), room):
+            piece = ids[at: at + room]
+            want[doc_id, at, len(piece), zlib.crc32(np.array(piece, "<u4").tobytes()), len(ids)] += 1
+    got, sequences = defaultdict(int), defaultdict(list)
+    for r in found:
+        got[tuple(r)[:5]] += 1
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert got == want
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= room
+    return len(sequences)
+
+
+def test_query(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    found = op9_first_fit_packing(spark, sf).collect()
+    n = check(docs, found)
+    assert sum(r["length"] for r in found) > 0.95 * 4096 * (n - 1)
+
+
+def test_odd_rows(spark, tmp_path):
+    df = odd(spark)
+    check(df.select("doc_id", "text").collect(), op9_first_fit_packing(spark, store(with_extra(df), tmp_path / "a")).collect())
+    assert op9_first_fit_packing(spark, store(table(spark, []), tmp_path / "b")).count() == 0
+
+
+def test_groups_are_small_whatever_is_frequent(spark):
+    df = table(spark, ["same words here"] * 300 + [f"t {i}" for i in range(300)], [None] * 300 + list(range(300)))
+    pieces = stage(cut_pieces(df, FILE, 16, 2, with_ids=True), "pieces")
+    packed = pack_pieces(pieces, 16, group=50).collect()
+    assert len(packed) == 600
+    groups = defaultdict(int)
+    for r in packed:
+        groups[r["sequence_id"] >> 32] += 1
+        assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+    assert len(groups) == 12 and max(groups.values()) < 100
