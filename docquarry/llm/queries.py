@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from docquarry.llm import fingerprints, packing, pieces, private, quality, secrets, sharding
+from docquarry.llm import chat, fingerprints, packing, pieces, private, quality, secrets, sharding
 
 QUERIES = {
     "op1_pseudonyms": private.op1_pseudonyms,
     "op2_simhash": fingerprints.op2_simhash,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_feistel_shards": sharding.op4_feistel_shards,
+    "op5_reply_trees": chat.op5_reply_trees,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_first_fit_packing": packing.op9_first_fit_packing,
 }
-ORACLE = {"op8_quality_rules": quality.ORACLE}
+ORACLE = {"op5_reply_trees": chat.ORACLE, "op8_quality_rules": quality.ORACLE}

@@ -1,0 +1,99 @@
+import hashlib
+import random
+
+from pyspark.sql import functions as F
+
+from docquarry.llm.chat import (
+    CONTROL, branch_paths, escape, escape_role, format_paths, op5_reply_trees, read_loss, read_turns, unescape, unescape_role,
+)
+from tests.llm.data import odd_texts
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def test_escapes_are_reversible(spark):
+    random.seed(9)
+    parts = [*CONTROL, "\\", "\\\\", "n", "<", "|", "\n", "/", "I", "é", "<\\", "im_end|>", "[", "$1"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randrange(0, 9))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select("t", escape(F.col("t")).alias("e"), escape_role(F.col("t")).alias("r")).select(
+        "*", unescape(F.col("e")).alias("e2"), unescape_role(F.col("r")).alias("r2")).collect()
+    for r in found:
+        assert r["e2"] == r["t"] == r["r2"]
+        assert not any(c in r["e"] for c in CONTROL) and "\n" not in r["r"]
+
+
+def trees():
+    random.seed(10)
+    nodes, parent = [], {}
+    for root in (1000, 2000, 3000):
+        for i in range(60):
+            parent[root + i] = None if i == 0 else root + random.randrange(max(0, i - 3), i)
+    for n, p in parent.items():
+        nodes.append((n, p, random.choice([None, 0.5, 1.0, random.random()])))
+    return nodes + [(5000, None, 1.0), (6000, 777, 0.1)], parent
+
+
+def test_paths_against_plain_walk(spark):
+    nodes, parent = trees()
+    parent = {**parent, 5000: None, 6000: None}
+    score = {n: s for n, _, s in nodes}
+    df = spark.createDataFrame(nodes, "node long, parent long, score double")
+    leaves = set(parent) - {p for p in parent.values() if p is not None}
+
+    def walk(leaf):
+        path = [leaf]
+        while parent[path[-1]] is not None:
+            path.append(parent[path[-1]])
+        return path
+
+    found = branch_paths(df, None).collect()
+    assert sorted(map(tuple, found)) == sorted((leaf, n, i) for leaf in leaves for i, n in enumerate(walk(leaf)))
+    by_root = {}
+    for leaf in leaves:
+        by_root.setdefault(walk(leaf)[-1], []).append(leaf)
+    best = {leaf for group in by_root.values() for leaf in sorted(group, key=lambda x: (score[x] is None, -(score[x] or 0), x))[:2]}
+    assert {r["leaf"] for r in branch_paths(df, 2).collect()} == best
+
+
+def test_formatted_branch(spark):
+    nodes = spark.createDataFrame([(0, None, 0.0), (1, 0, 0.2), (2, 0, 0.9), (3, 2, None)], "node long, parent long, score double")
+    turns = spark.createDataFrame([(0, "user", "hi <|im_end|>"), (1, "assistant", "no"), (2, "assistant", "yes \\ é"), (3, None, None)], "node long, role string, text string")
+    rows = format_paths(branch_paths(nodes, 1), turns).collect()
+    assert len(rows) == 1 and rows[0]["leaf"] == 1  # the other leaf has no score
+    both = format_paths(branch_paths(nodes, None), turns)
+    read = both.select("leaf", read_turns(F.col("formatted")).alias("t"), read_loss(F.col("formatted"), F.col("loss")).alias("l"), "formatted").collect()
+    three = next(r for r in read if r["leaf"] == 3)
+    assert [tuple(t) for t in three["t"]] == [("user", "hi <|im_end|>"), ("assistant", "yes \\ é"), ("", "")]
+    assert three["l"] == "yes \\ é" and three["formatted"].count("<|im_end|>") == 3
+
+
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def check(rows, found):
+    convs = {}
+    for c, t, r, x in [*rows, (-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]:
+        convs.setdefault(c, []).append((t, r, x))
+    want = []
+    none_first = lambda r: [(v is not None, v) for v in r]
+    for c, turns in convs.items():
+        turns.sort(key=none_first)
+        loss = "".join(x or "" for _, r, x in turns if r == "assistant")
+        want.append((c, len(turns), digest("".join(f"{r or ''}\n{x or ''}\n" for _, r, x in turns)), len(loss), digest(loss)))
+    assert sorted([tuple(r)[:5] for r in found], key=none_first) == sorted(want, key=none_first)
+
+
+def store(spark, rows, path):
+    spark.createDataFrame(rows, TURNS).withColumn("node", F.lit("clash")).withColumn("leaf", F.lit(1)).write.parquet(f"{path}/conversations.parquet")
+    return str(path)
+
+
+def test_odd_rows(spark, tmp_path):
+    rows = [(7, i, random.choice(["user", "assistant", "sys\ntem", None, ""]), t) for i, t in enumerate(odd_texts())]
+    rows += [(8, 0, "user", "a"), (8, 0, "user", "a"), (8, None, "assistant", None), (8, 5, "assistant", "x"), (8, 5, "assistant", "b")]
+    rows += [(None, 0, "user", "n"), (None, 1, "assistant", "m"), (9, 3, "assistant", "only")]
+    rows += [(10, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(130)]
+    check(rows, op5_reply_trees(spark, store(spark, rows, tmp_path / "a")).collect())
+    assert [r["conv_id"] for r in op5_reply_trees(spark, store(spark, [], tmp_path / "b")).collect()] == [-1]
