@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquarry.llm import chat, fingerprints, packing, pieces, private, quality, secrets, sharding
+from docquarry.llm import chat, fingerprints, lm, packing, pieces, private, quality, secrets, sharding
 
 QUERIES = {
     "op1_pseudonyms": private.op1_pseudonyms,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_first_fit_packing": packing.op9_first_fit_packing,
+    "op10_kneser_ney": lm.op10_kneser_ney,
 }
 ORACLE = {"op5_reply_trees": chat.ORACLE, "op8_quality_rules": quality.ORACLE}
