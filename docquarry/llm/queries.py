@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquarry.llm import chat, fingerprints, lm, packing, pieces, private, quality, secrets, sharding
+from docquarry.llm import chat, fingerprints, lm, packing, pieces, private, quality, secrets, sharding, similarity
 
 QUERIES = {
     "op1_pseudonyms": private.op1_pseudonyms,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_feistel_shards": sharding.op4_feistel_shards,
     "op5_reply_trees": chat.op5_reply_trees,
+    "op6_jaccard_join": similarity.op6_jaccard_join,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_first_fit_packing": packing.op9_first_fit_packing,
