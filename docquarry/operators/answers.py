@@ -85,17 +85,18 @@ def cite_texts(
 def question_context(cited: DataFrame, budget: int, question_key: str = "question_id") -> DataFrame:
     """The best passages of each question, in rank order, up to ``budget`` characters in all.
 
-    A passage has a character at least, so only the first ``budget`` ranks can fit: filtering on them
-    first changes nothing and bounds what is gathered for a question.
+    A question whose best passage is longer than the budget stays, with no passages and an empty
+    context. A passage that fits has a character at least, so only the first ``budget`` ranks can fit:
+    filtering on them first changes nothing and bounds what is gathered for a question.
     """
-    size = F.length("passage")
-    fitting = cited.where((size > 0) & (F.col("rank") <= budget))
+    size = F.coalesce(F.length("passage"), F.lit(0))
     so_far = F.sum(size).over(W.partitionBy(question_key).orderBy("rank"))
-    kept = fitting.withColumn("so_far", so_far).where(F.col("so_far") <= budget)
-    entries = F.array_sort(F.collect_list(F.struct("rank", "citation", "passage")))
+    ranked = cited.where(F.col("rank") <= max(budget, 1)).withColumn("so_far", so_far)
+    kept = (size > 0) & (F.col("so_far") <= budget)
+    entries = F.array_sort(F.collect_list(F.when(kept, F.struct("rank", "citation", "passage"))))
     text = F.transform("entries", lambda e: F.concat(F.lit("["), e["citation"].cast("string"), F.lit("] "), e["passage"]))
     return (
-        kept.groupBy(question_key)
-        .agg(entries.alias("entries"), F.max("so_far").alias("characters"))
+        ranked.groupBy(question_key)
+        .agg(entries.alias("entries"), F.coalesce(F.max(F.when(kept, F.col("so_far"))), F.lit(0)).alias("characters"))
         .select(question_key, F.size("entries").alias("passages"), "characters", F.array_join(text, "\n").alias("context"))
     )

@@ -75,7 +75,8 @@ def lookup_by_key(requests: DataFrame, base: DataFrame, key: str) -> DataFrame:
 def new_rows(incoming: DataFrame, existing: DataFrame, key: str, *order: str) -> DataFrame:
     """First row of each key in ``incoming``, by ``order``, unless the key already exists.
 
-    The first row is found by a min that combines before the shuffle, not by a window.
+    The first row is found by a min that combines before the shuffle, not by a window. Rows without a
+    key cannot be told apart and are not taken in; ``keyless_rows`` gives them.
     """
     rest = [c for c in incoming.columns if c != key]
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("row")
@@ -84,6 +85,11 @@ def new_rows(incoming: DataFrame, existing: DataFrame, key: str, *order: str) ->
     return fresh.select(key, "row.*").select(*incoming.columns)
 
 
+def keyless_rows(incoming: DataFrame, key: str) -> DataFrame:
+    """The rows of ``incoming`` that ``new_rows`` leaves out because they have no key."""
+    return incoming.where(F.col(key).isNull())
+
+
 def new_accounts(incoming: DataFrame, accounts: DataFrame, *order: str) -> DataFrame:
     """Sign-ups to create: emails not yet known, compared as written, one per email."""
     return new_rows(incoming, accounts, "email", *order)
@@ -132,12 +138,15 @@ def delete_where(base: DataFrame, condition: Column) -> DataFrame:
 def upsert_rows(base: DataFrame, changes: DataFrame, key: str, *order: str) -> DataFrame:
     """``base`` with the last change of each key, by ``order``, put in or added.
 
-    Write the result to a new path and switch readers over; ``base`` may be a table on disk.
+    One join, each side read once. Rows without a key meet nothing: those of ``base`` stay, and the
+    last change without a key is added. Write the result to a new path and switch readers over;
+    ``base`` may be a table on disk.
     """
     columns = [F.col(c) for c in base.columns if c != key]
     last = F.max_by(F.struct(*columns), F.struct(*order)).alias("row")
-    latest = changes.groupBy(key).agg(last).select(key, "row.*").select(*base.columns)
-    return delete_rows(base, latest, key).unionByName(latest)
+    held = base.select(key, F.struct(*columns).alias("held"))
+    joined = held.join(changes.groupBy(key).agg(last), key, "full_outer")
+    return joined.select(key, F.coalesce("row", "held").alias("row")).select(key, "row.*").select(*base.columns)
 
 
 # -- state and counts ----------------------------------------------------------------------------

@@ -33,17 +33,24 @@ def _spread(value: Column, by: Column) -> Column:
 
 
 def refresh_outcomes(
-    requests: DataFrame, sessions: DataFrame, now: str | dt.datetime, request_key: str = "requestId"
+    requests: DataFrame, sessions: DataFrame, now: str | dt.datetime, request_key: str = "requestId",
+    moment: str = "requestedAt",
 ) -> DataFrame:
     """What became of each refresh request: ``missing``, ``unknown``, ``expired`` or ``valid``.
 
-    Tokens are unique among sessions, so a request meets at most one session.
+    Tokens are unique among sessions, so a request meets at most one session. The first request of a
+    token, by moment, then key, finds it; it is rotated or deleted then, so to later ones the token is
+    ``unknown``. The first is a min that combines before the shuffle.
     """
-    known = sessions.select(F.col("token").alias("match"), F.col("id").alias("sessionId"), "userId", "expiresAt")
+    turn = F.struct(F.col(moment), F.col(request_key))
+    firsts = requests.where(~_absent(F.col("token"))).groupBy("token").agg(F.min(turn).alias("first"))
+    known = sessions.select("token", F.col("id").alias("sessionId"), "userId", "expiresAt").join(firsts, "token")
+    known = known.withColumnRenamed("token", "match")
     asked = requests.withColumn("match", _spread(F.col("token"), F.col(request_key)))
+    earliest = F.col(moment).eqNullSafe(F.col(f"first.{moment}")) & F.col(request_key).eqNullSafe(F.col(f"first.{request_key}"))
     outcome = (
         F.when(_absent(F.col("token")), "missing")
-        .when(F.col("sessionId").isNull(), "unknown")
+        .when(F.col("sessionId").isNull() | ~earliest, "unknown")
         .when(F.col("expiresAt") < instant(now), "expired")
         .otherwise("valid")
     )
@@ -57,15 +64,17 @@ def refresh_outcomes(
     )
 
 
-def rotate_sessions(sessions: DataFrame, rotations: DataFrame, now: str | dt.datetime | None = None) -> DataFrame:
+def rotate_sessions(
+    sessions: DataFrame, rotations: DataFrame, now: str | dt.datetime | None = None, order: str = "newToken"
+) -> DataFrame:
     """Gives sessions a new token and a new end; id, account and creation time stay.
 
     ``rotations`` has ``token``, ``newToken`` and ``rotatedAt``. Of several for one token the first
-    counts: after it, the old token is unknown. With ``now``, a session past its time that is asked for
-    is deleted instead. One join does both.
+    counts, by ``rotatedAt``, then ``order``: after it, the old token is unknown. With ``now``, a session
+    past its time that is asked for is deleted instead. One join does both.
     """
-    first = F.min_by(F.struct("newToken", "rotatedAt"), F.struct("rotatedAt", "newToken")).alias("turn")
-    turns = rotations.where(F.col("token").isNotNull()).groupBy("token").agg(first)
+    first = F.min_by(F.struct("newToken", "rotatedAt"), F.struct("rotatedAt", order)).alias("turn")
+    turns = rotations.where(~_absent(F.col("token"))).groupBy("token").agg(first)
     turned = sessions.join(turns, "token", "left")
     if now is not None:
         turned = turned.where(F.col("turn").isNull() | (F.col("expiresAt") >= instant(now)))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docquarry.functions.uploads import epoch_seconds, month_start
+from docquarry.functions.uploads import month_start
+from docquarry.session import running_number
 
 
 def monthly_quota(
@@ -15,29 +15,18 @@ def monthly_quota(
 ) -> DataFrame:
     """Each event with the account's use in its month so far (``used``) and ``overLimit``.
 
-    A running count over (account, month) would put all events of a busy account into one task.
-    Instead a month is cut into seconds: events are numbered within their second, and the counts of
-    the seconds before are added. Those counts are formed before the shuffle, and a month has at most
-    2,678,400 of them however busy the account. ``used_before`` (account, month, ``used``) carries over
-    counts from earlier batches of a stream.
+    A running count in one window would put all events of a busy account into one task; here the
+    events are numbered by range (see running_number), so even a second of one account may hold most
+    of them. Events without an account, or without a moment, count among themselves. ``used_before``
+    (account, month, ``used``) carries over counts from earlier batches of a stream.
     """
-    at = F.col(moment)
-    events = events.withColumn("month", month_start(at)).withColumn("second", F.floor(epoch_seconds(at)))
-    second = [account, "month", "second"]
-    earlier = W.partitionBy(account, "month").orderBy("second").rowsBetween(W.unboundedPreceding, -1)
-    counts = events.groupBy(*second).agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    rows = events.withColumn("month", month_start(F.col(moment)))
+    numbered = running_number(rows, [account, "month"], [moment, key], "used")
     if used_before is not None:
-        carried = used_before.select(account, "month", F.col("used").alias("carried"))
-        before = before.join(carried, [account, "month"], "left").select(
-            *second, (F.col("before") + F.coalesce("carried", F.lit(0))).alias("before")
-        )
-    within = F.row_number().over(W.partitionBy(*second).orderBy(moment, key))
-    numbered = events.withColumn("within", within).join(before, second)
-    used = (F.col("before") + F.col("within")).cast("bigint")
-    return numbered.withColumn("used", used).withColumn("overLimit", F.col("used") > limit).drop(
-        "second", "within", "before"
-    )
+        carried = used_before.select(F.col(account).alias("_account"), F.col("month").alias("_month"), F.col("used").alias("_carried"))
+        same = F.col(account).eqNullSafe(F.col("_account")) & F.col("month").eqNullSafe(F.col("_month"))
+        numbered = numbered.join(carried, same, "left").withColumn("used", F.col("used") + F.coalesce("_carried", F.lit(0)))
+    return numbered.select(*rows.columns, "used", (F.col("used") > limit).alias("overLimit"))
 
 
 def product_totals(

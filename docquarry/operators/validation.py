@@ -41,8 +41,9 @@ def validate_uploads(
     too_long = (characters > MAX_FILE_NAME) | (
         (characters > MAX_FILE_NAME // 2) & (utf16_length(name) > MAX_FILE_NAME)
     )
+    real = size.cast("double")
     size_rules = [
-        (size.isNull() | F.isnan(size.cast("double")) | (size != F.floor(size)), "invalid_type"),
+        (size.isNull() | F.isnan(real) | (F.abs(real) == float("inf")) | (size % 1 != 0), "invalid_type"),
         (size <= 0, "too_small"),
         (size > max_bytes, "too_big"),
     ]

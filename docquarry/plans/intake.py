@@ -40,4 +40,4 @@ def initialize_uploads(
     checked = validate_uploads(requests, part_size=part_size)
     rows = catalog_rows(accepted_rows(checked), now, request_key)
     fresh = new_rows(rows, existing, "id", "fileName", "fileSize", "mimeType")
-    return fresh, plan_parts(fresh, part_size), checked.where(F.size("errors") > 0)
+    return fresh, plan_parts(fresh, part_size).drop("error"), checked.where(F.size("errors") > 0)

@@ -38,13 +38,14 @@ SESSIONS = """sessions AS (
 
 REFRESH = f"""{SESSIONS},
 asked AS (
-  SELECT CAST(event_id AS VARCHAR) AS "requestId", CASE WHEN value >= 2 THEN CAST(event_id - 1 AS VARCHAR) END AS token,
+  SELECT CAST(event_id AS VARCHAR) AS "requestId", CASE WHEN value >= 2 THEN CAST(event_id - 1 - event_id % 3 AS VARCHAR) END AS token,
          'new-' || event_id AS "newToken", ts AS "requestedAt" FROM events WHERE event_type = 'click'),
 outcomes AS (
   SELECT a."requestId", a.token, a."newToken", a."requestedAt", s.id AS "sessionId", s."userId",
          CASE WHEN a.token IS NULL THEN 'missing' WHEN s.id IS NULL THEN 'unknown'
               WHEN s."expiresAt" < {NOW} THEN 'expired' ELSE 'valid' END AS outcome
-  FROM asked a LEFT JOIN sessions s ON s.token = a.token)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY "requestedAt", "requestId") AS turn FROM asked) a
+  LEFT JOIN sessions s ON s.token = a.token AND a.turn = 1)"""
 
 SIGNUPS = f"""{ACCOUNTS},
 signups AS (
@@ -92,10 +93,10 @@ fresh AS (
 
 MANIFEST = """manifest AS (
   SELECT lang, source, doc_id, n_chars,
-         '{"fileName":' || CASE WHEN lang = 'es' THEN CAST(doc_id AS VARCHAR) ELSE '"doc-' || doc_id || '.txt"' END
+         '{"fileName":' || CASE lang WHEN 'es' THEN CAST(doc_id AS VARCHAR) WHEN 'en' THEN '0' ELSE '"doc-' || doc_id || '.txt"' END
          || ',"fileSize":' || CASE lang WHEN 'fr' THEN '"' || n_chars || '"' WHEN 'de' THEN n_chars || '.5'
                                    ELSE CAST(n_chars AS VARCHAR) END
-         || ',"mimeType":"text/plain"' || CASE WHEN source = 'src0' THEN '' ELSE '}' END AS line FROM documents)"""
+         || CASE WHEN lang = 'en' THEN ',"fileName":"doc-' || doc_id || '.txt"' ELSE '' END || ',"mimeType":"text/plain"' || CASE WHEN source = 'src0' THEN '' ELSE '}' END AS line FROM documents)"""
 
 CHUNKS = """chunks AS (
   SELECT doc_id, source, CAST(i AS INTEGER) AS chunk_no, CAST(i * 700 AS INTEGER) AS start,
@@ -226,11 +227,16 @@ SELECT doc_id, coalesce(string_agg(sentence, ' ' ORDER BY pos), '') AS summary,
        coalesce(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos), '') AS positions
 FROM documents LEFT JOIN best USING (doc_id) GROUP BY doc_id"""
 
-QUOTA = """
+KEYLESS = """keyless AS (
+  SELECT event_id, CASE WHEN event_type <> 'purchase' OR value >= 10 THEN user_id END AS user_id,
+         CASE WHEN event_type <> 'click' OR value >= 5 THEN ts END AS ts, event_type, value, props FROM events)"""
+
+QUOTA = f"""
+WITH {KEYLESS}
 SELECT event_id, user_id, ts, date_trunc('month', ts)::TIMESTAMP AS month,
        count(*) OVER (PARTITION BY user_id, date_trunc('month', ts) ORDER BY ts, event_id
                       ROWS UNBOUNDED PRECEDING) AS used, used > 50 AS "overLimit"
-FROM events"""
+FROM keyless"""
 
 MANIFEST_ERRORS = """
 CASE WHEN source = 'src0' THEN 'fileName,fileSize,mimeType' ELSE
@@ -240,9 +246,10 @@ CASE WHEN source = 'src0' THEN 'fileName,fileSize,mimeType' ELSE
 ORACLE: dict[str, str] = {
     "read_tables": f"""
 WITH {ACCOUNTS}, {SESSIONS}, {DOCS}
-SELECT 'accounts' AS stored, count(*) AS n, max("createdAt") AS newest FROM accounts
-UNION ALL SELECT 'sessions', count(*), max("createdAt") FROM sessions
-UNION ALL SELECT 'documents', count(*), max("createdAt") FROM docs""",
+SELECT 'accounts' AS stored, id, concat_ws('|', name, email, "emailVerified") AS content, "createdAt" FROM accounts
+UNION ALL SELECT 'sessions', id, concat_ws('|', token, "userId", strftime("expiresAt", '%Y-%m-%d %H:%M:%S')), "createdAt" FROM sessions
+UNION ALL SELECT 'documents', id, concat_ws('|', "fileName", "fileSize", "mimeType", "r2Key", coalesce("uploadId", '-'), status, "userId"), "createdAt"
+FROM docs""",
     "read_upload_manifest": f"""
 WITH {MANIFEST}
 SELECT CASE WHEN source <> 'src0' AND lang <> 'es' THEN 'doc-' || doc_id || '.txt' END AS "fileName",
@@ -250,8 +257,8 @@ SELECT CASE WHEN source <> 'src0' AND lang <> 'es' THEN 'doc-' || doc_id || '.tx
             ELSE n_chars::DOUBLE END AS "fileSize",
        CASE WHEN source <> 'src0' THEN 'text/plain' END AS "mimeType", source = 'src0' AS malformed, line FROM manifest""",
     "scan_document_files": """
-SELECT 'source=' || source AS "userId", CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes
-FROM documents GROUP BY 1""",
+SELECT 'doc_id=' || doc_id AS "userId", octet_length(encode(text)) + 1 AS "fileSize", sha256(text || chr(10)) AS hash
+FROM documents""",
     "append_documents": f"""
 WITH {DOCS} SELECT id, "fileName", "fileSize", "mimeType", "r2Key", "uploadId", status, "userId", "createdAt" FROM docs""",
     "validate_uploads": f"WITH {CHECKED} SELECT * FROM errors",
@@ -346,12 +353,17 @@ SELECT "requestId", outcome, "sessionId", "userId" FROM outcomes""",
 WITH {REFRESH}
 SELECT s.id, coalesce(a."newToken", s.token) AS token, s."userId",
        coalesce(a."requestedAt" + INTERVAL 7 DAY, s."expiresAt") AS "expiresAt", s."createdAt"
-FROM sessions s LEFT JOIN asked a ON a.token = s.token""",
+FROM sessions s LEFT JOIN (
+  SELECT * FROM asked QUALIFY row_number() OVER (PARTITION BY token ORDER BY "requestedAt", "newToken") = 1) a
+ON a.token = s.token""",
     "refresh_sessions": f"""
 WITH {REFRESH}
 SELECT s.id, coalesce(o."newToken", s.token) AS token, s."userId",
        coalesce(o."requestedAt" + INTERVAL 7 DAY, s."expiresAt") AS "expiresAt", s."createdAt"
-FROM sessions s LEFT JOIN outcomes o ON o.token = s.token WHERE o.outcome IS NULL OR o.outcome = 'valid'""",
+FROM sessions s LEFT JOIN outcomes o ON o."sessionId" = s.id WHERE o.outcome IS NULL OR o.outcome = 'valid'""",
+    "refresh_sessions_outcomes": f"""
+WITH {REFRESH}
+SELECT "requestId", "newToken", outcome, "sessionId", "userId" FROM outcomes""",
     "delete_sessions": f"""
 WITH {REFRESH}
 SELECT * FROM sessions
@@ -369,15 +381,28 @@ held AS (
 lasts AS (SELECT "userId", max("attemptedAt") AS last FROM granted GROUP BY 1)
 SELECT held.* FROM held LEFT JOIN lasts USING ("userId") WHERE last IS NULL OR "expiresAt" >= last""",
     "plan_parts": """
-SELECT doc_id AS id, (n_chars + 999) // 1000 AS "totalParts", CAST(p AS INTEGER) AS "partNumber", (p - 1) * 1000 AS "byteOffset",
-       least(1000, n_chars - (p - 1) * 1000) AS "byteLength"
-FROM (SELECT doc_id, n_chars, unnest(range(1, (n_chars + 999) // 1000 + 1)) AS p FROM documents)""",
+WITH files AS (
+  SELECT doc_id AS id, CASE doc_id % 30 WHEN 0 THEN 0 WHEN 10 THEN n_chars * 10000000 WHEN 20 THEN NULL ELSE n_chars END AS size
+  FROM documents),
+planned AS (
+  SELECT *, (size + 999) // 1000 AS "totalParts",
+         CASE WHEN size IS NULL THEN 'no_size' WHEN size = 0 THEN 'empty' WHEN size > 10000000 THEN 'too_many_parts' END AS error
+  FROM files)
+SELECT id, "totalParts", CAST(p AS INTEGER) AS "partNumber", (p - 1) * 1000 AS "byteOffset",
+       least(1000, size - (p - 1) * 1000) AS "byteLength", error
+FROM (SELECT *, unnest(range(1, "totalParts" + 1)) AS p FROM planned WHERE error IS NULL)
+UNION ALL SELECT id, "totalParts", NULL, NULL, NULL, error FROM planned WHERE error IS NOT NULL""",
     "oversized_uploads": f"""WITH {DOCS} SELECT id, "fileSize" FROM docs WHERE ("fileSize" + 39) // 40 > 10000""",
     "part_manifest": """
-WITH parts AS (SELECT l_orderkey, l_linenumber, max(md5(CAST(l_partkey AS VARCHAR))) AS etag FROM lineitem GROUP BY ALL)
-SELECT l_orderkey AS "documentId", string_agg(l_linenumber || ':' || etag, ',' ORDER BY l_linenumber) AS parts,
-       count(*) AS "receivedParts", CAST(0 AS BIGINT) AS "invalidParts", count(*) = max(l_linenumber) AS complete
-FROM parts GROUP BY l_orderkey""",
+WITH sent AS (
+  SELECT l_orderkey, CASE l_quantity WHEN 1 THEN l_linenumber + 10000 WHEN 2 THEN -l_linenumber WHEN 3 THEN NULL ELSE l_linenumber END AS n,
+         md5(CAST(l_partkey AS VARCHAR)) AS tag FROM lineitem),
+parts AS (SELECT l_orderkey, n, max(tag) AS etag FROM sent GROUP BY ALL),
+gathered AS (
+  SELECT l_orderkey, string_agg(coalesce(CAST(n AS VARCHAR), '-') || ':' || etag, ',' ORDER BY n NULLS FIRST) AS parts,
+         count(*) FILTER (n BETWEEN 1 AND 10000) AS good, count(*) AS total, max(n) AS last FROM parts GROUP BY l_orderkey)
+SELECT l_orderkey AS "documentId", parts, good AS "receivedParts", total - good AS "invalidParts",
+       CASE WHEN total > good THEN FALSE ELSE last = good END AS complete FROM gathered""",
     "extract_text": """
 SELECT source AS "userId", CAST(doc_id AS VARCHAR) AS "documentId",
        'f' || doc_id || CASE lang WHEN 'en' THEN '.txt' WHEN 'fr' THEN '.MD' WHEN 'de' THEN '.csv' ELSE '.pdf' END AS "fileName",
@@ -385,9 +410,9 @@ SELECT source AS "userId", CAST(doc_id AS VARCHAR) AS "documentId",
        CASE WHEN lang IN ('en', 'fr') THEN text END AS text FROM documents""",
     "classify_failures": f"""
 WITH {LOG}
-SELECT id, status, CASE WHEN status <> 'FAILED' OR source = 'src0' THEN NULL WHEN lang = 'es' THEN 'CORRUPTED_FILE'
+SELECT doc_id, status, CASE WHEN status IS NULL OR status <> 'FAILED' OR source = 'src0' THEN NULL WHEN lang = 'es' THEN 'CORRUPTED_FILE'
        WHEN lang = 'fr' THEN 'EMPTY_DOCUMENT' WHEN lang = 'de' THEN 'EMBEDDING_FAILED' ELSE 'PROCESSING_FAILED' END AS "failureReason"
-FROM newest JOIN documents ON id = CAST(doc_id AS VARCHAR)""",
+FROM documents LEFT JOIN newest ON id = CAST(doc_id % 150 AS VARCHAR)""",
     "chunk_documents": f"WITH {CHUNKS} SELECT * FROM chunks",
     "chunk_lines": r"""
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, passage
@@ -406,10 +431,11 @@ SELECT doc_id, chunk_no, CAST(bucket AS INTEGER) AS bucket, round(w, 4) AS weigh
     "answer_questions": f"WITH {ANSWERS} SELECT * FROM cited",
     "question_context": f"""
 WITH {ANSWERS},
-kept AS (
-  SELECT *, sum(length(passage)) OVER (PARTITION BY question_id ORDER BY rank) AS so_far FROM cited QUALIFY so_far <= 2000)
-SELECT question_id, CAST(count(*) AS INTEGER) AS passages, CAST(max(so_far) AS BIGINT) AS characters,
-       string_agg('[' || citation || '] ' || passage, chr(10) ORDER BY rank) AS context FROM kept GROUP BY question_id""",
+summed AS (SELECT *, sum(length(passage)) OVER (PARTITION BY question_id ORDER BY rank) AS so_far FROM cited)
+SELECT question_id, CAST(count(*) FILTER (so_far <= 700) AS INTEGER) AS passages,
+       CAST(coalesce(max(so_far) FILTER (so_far <= 700), 0) AS BIGINT) AS characters,
+       coalesce(string_agg('[' || citation || '] ' || passage, chr(10) ORDER BY rank) FILTER (so_far <= 700), '') AS context
+FROM summed GROUP BY question_id""",
     "conversation_threads": """
 SELECT conv_id, turn // 4 AS page, CAST(count(*) OVER (PARTITION BY conv_id, turn // 4) AS INTEGER) AS n_turns,
        turn, role, text FROM conversations""",
@@ -428,12 +454,21 @@ SELECT 'active_accounts' AS metric, count(DISTINCT user_id) AS value FROM events
 UNION ALL SELECT 'documents_processed', count(*) FROM orders WHERE o_orderstatus = 'F'
 UNION ALL SELECT 'questions_answered', count(*) FROM conversations WHERE role = 'user'""",
     "stream_validate_uploads": f"""
-WITH {MANIFEST}, failed AS (SELECT line, {MANIFEST_ERRORS} AS fields FROM manifest)
-SELECT line, CASE WHEN fields = '' THEN 'accepted' ELSE 'rejected' END AS outcome, fields FROM failed""",
-    "stream_latest_state": f"WITH {LOG} SELECT * FROM newest",
-    "stream_dedup_uploads": """
-SELECT DISTINCT 'documents/' || user_id || '/' || event_type AS "r2Key" FROM events""",
-    "stream_quota": """
-SELECT user_id, date_trunc('month', ts)::TIMESTAMP AS month, count(*) AS used, count(*) > 50 AS "overLimit" FROM events GROUP BY ALL""",
+WITH {MANIFEST},
+twice AS (SELECT *, 1 AS copy FROM manifest UNION ALL SELECT *, 2 FROM manifest WHERE lang <> 'es' AND doc_id % 3 = 0),
+failed AS (SELECT line, doc_id, copy, {MANIFEST_ERRORS} AS fields FROM twice)
+SELECT line, CASE WHEN fields <> '' THEN 'rejected' WHEN copy = 2 OR doc_id % 5 = 0 THEN 'repeated' ELSE 'accepted' END AS outcome,
+       fields FROM failed""",
+    "stream_latest_state": f"""
+WITH {KEYLESS}, {LOG.replace("FROM events", "FROM keyless WHERE user_id IS NOT NULL").replace('ORDER BY "updatedAt" DESC, seq DESC', 'ORDER BY "updatedAt" DESC NULLS LAST, seq DESC')}
+SELECT * FROM newest""",
+    "stream_dedup_uploads": f"""
+WITH {KEYLESS}
+SELECT DISTINCT 'documents/' || user_id || '/' || event_type AS "r2Key" FROM keyless WHERE user_id IS NOT NULL
+UNION ALL SELECT 'documents/' || user_id || '/late-' || event_id FROM keyless WHERE event_id % 10 = 0
+UNION ALL SELECT NULL FROM keyless WHERE user_id IS NULL""",
+    "stream_quota": f"""
+WITH {KEYLESS}
+SELECT user_id, date_trunc('month', ts)::TIMESTAMP AS month, count(*) AS used, count(*) > 50 AS "overLimit" FROM keyless GROUP BY ALL""",
     "stream_quota_events": QUOTA,
 }

@@ -16,7 +16,8 @@ def refresh_sessions(
     """Sessions after the batch, and the outcome of each request.
 
     ``requests`` has ``token``, ``newToken`` and ``requestedAt``. An expired session that was asked for
-    is deleted; a valid one gets its new token and end.
+    is deleted; a valid one gets its new token and end. Of several requests for one token the first, by
+    time, then key, does so, and the others' token is unknown by then.
     """
-    asked = requests.select("token", "newToken", F.col("requestedAt").alias("rotatedAt"))
-    return rotate_sessions(sessions, asked, now), refresh_outcomes(requests, sessions, now, request_key)
+    asked = requests.select("token", "newToken", F.col("requestedAt").alias("rotatedAt"), request_key)
+    return rotate_sessions(sessions, asked, now, request_key), refresh_outcomes(requests, sessions, now, request_key)

@@ -45,19 +45,26 @@ def query(function: Query) -> Query:
 
 @query
 def read_tables(spark, sf):
-    """Writes the three tables, reads them back with their declared schemas, and counts them."""
+    """Writes the three tables, reads them back with their declared schemas, and gives every row."""
     path = shared_path(spark, "tables")
     write_new_version(given.accounts(spark, sf), f"{path}/accounts")
     write_new_version(given.sessions(spark, sf), f"{path}/sessions")
     append(given.documents(spark, sf), f"{path}/documents")
     stored = read_stored(spark, path)
-    counts = [
-        table.agg(
-            F.lit(name).alias("stored"), F.count("id").alias("n"), F.max("createdAt").alias("newest")
-        )
+    shown = {
+        "accounts": ["name", "email", "emailVerified"],
+        "sessions": ["token", "userId", "expiresAt"],
+        "documents": ["fileName", "fileSize", "mimeType", "r2Key", "uploadId", "status", "userId"],
+    }
+
+    def spelt(c):
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c == "expiresAt" else F.coalesce(F.col(c).cast("string"), F.lit("-"))
+
+    rows = [
+        table.select(F.lit(name).alias("stored"), "id", F.concat_ws("|", *map(spelt, shown[name])).alias("content"), "createdAt")
         for name, table in stored.items()
     ]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query
@@ -69,11 +76,13 @@ def read_upload_manifest(spark, sf):
 
 @query
 def scan_document_files(spark, sf):
-    """Texts stored as files, one folder per source; bytes found per folder, contents unread."""
+    """Texts stored as files, a folder for each; every file with its size and the hash of its content."""
     path = shared_path(spark, "store")
-    stored = given.table(spark, sf, "documents").select("source", F.col("text").alias("value"))
-    stored.write.partitionBy("source").text(f"{path}/documents")
-    return scan(spark, path, content=False).groupBy("userId").agg(F.sum("fileSize").alias("bytes"))
+    stored = given.table(spark, sf, "documents").select("doc_id", F.col("text").alias("value"))
+    stored.write.partitionBy("doc_id").text(f"{path}/documents")
+    return scan(spark, path).where(F.col("userId").startswith("doc_id=")).select(
+        "userId", "fileSize", F.sha2("content", 256).alias("hash")
+    )
 
 
 @query
@@ -294,6 +303,13 @@ def refresh_sessions(spark, sf):
     return refresh(given.refresh_requests(spark, sf), given.sessions(spark, sf), NOW)[0]
 
 
+@query
+def refresh_sessions_outcomes(spark, sf):
+    """What the requests that made those sessions came to."""
+    outcomes = refresh(given.refresh_requests(spark, sf), given.sessions(spark, sf), NOW)[1]
+    return outcomes.select("requestId", "newToken", "outcome", "sessionId", "userId")
+
+
 @query
 def delete_sessions(spark, sf):
     """Log-outs by token, then the sweep of the expired."""
@@ -316,7 +332,12 @@ def log_in_sessions(spark, sf):
 
 @query
 def plan_parts(spark, sf):
-    files = given.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("fileSize"))
+    """Texts as files, every tenth without a size, empty, or far too long for its parts."""
+    number, size = F.col("doc_id"), F.col("n_chars")
+    files = given.table(spark, sf, "documents").select(
+        number.alias("id"),
+        F.when(number % 30 == 0, size * 0).when(number % 30 == 10, size * 10_000_000).when(number % 30 != 20, size).alias("fileSize"),
+    )
     return parts.plan_parts(files, PART_SIZE)
 
 
@@ -328,7 +349,7 @@ def oversized_uploads(spark, sf):
 
 @query
 def part_manifest(spark, sf):
-    listed = F.transform("parts", lambda p: F.concat_ws(":", p["partNumber"], p["etag"]))
+    listed = F.transform("parts", lambda p: F.concat_ws(":", F.coalesce(p["partNumber"].cast("string"), F.lit("-")), p["etag"]))
     manifest = parts.part_manifest(given.received_parts(spark, sf))
     return manifest.withColumn("parts", F.array_join(listed, ","))
 
@@ -362,17 +383,18 @@ def extract_text(spark, sf):
 
 @query
 def classify_failures(spark, sf):
-    """Failed documents of the change log with the text of the same number, some of it spoiled."""
+    """All texts, some spoiled, in the states of the change log, whose documents they take turns at."""
     newest = catalog.latest_document_state(given.log_columns(given.events(spark, sf)))
     lang = F.col("lang")
     spoiled = F.when(lang == "fr", " \n").when(lang == "de", "?!").when(lang == "en", F.col("text"))
     read = given.table(spark, sf, "documents").select(
-        F.col("doc_id").cast("string").alias("id"),
+        F.col("doc_id"),
+        (F.col("doc_id") % 150).cast("string").alias("id"),
         spoiled.alias("text"),
         F.when(F.col("source") != "src0", lang != "es").alias("decodable"),
     ).withColumn("text", F.when(F.col("decodable"), F.col("text")))
-    documents = newest.join(read, "id").withColumn("failureReason", F.lit(None).cast("string"))
-    return passages.classify_failures(documents).select("id", "status", "failureReason")
+    documents = read.join(newest, "id", "left").withColumn("failureReason", F.lit(None).cast("string"))
+    return passages.classify_failures(documents).select("doc_id", "status", "failureReason")
 
 
 @query
@@ -458,7 +480,8 @@ def answer_questions(spark, sf):
 
 @query
 def question_context(spark, sf):
-    return answers.question_context(_answers(spark, sf), budget=2_000)
+    """With a budget that some best passages exceed."""
+    return answers.question_context(_answers(spark, sf), budget=700)
 
 
 # -- conversations and usage -------------------------------------------------------------------------
@@ -491,7 +514,7 @@ def sources_per_conversation(spark, sf):
 
 @query
 def monthly_quota(spark, sf):
-    asked = given.events(spark, sf).select("event_id", "user_id", "ts")
+    asked = given.keyless_events(spark, sf).select("event_id", "user_id", "ts")
     return usage.monthly_quota(asked, LIMIT, "user_id", "ts", "event_id")
 
 
@@ -510,28 +533,31 @@ def _places(spark, name):
 
 @query
 def stream_validate_uploads(spark, sf):
-    """The manifest as a stream of files; failed checks per request, none shown as ``accepted``."""
+    """The manifest as a stream of files, some lines in it twice, some of their files known before."""
     incoming = shared_path(spark, "incoming")
-    given.manifest_lines(spark, sf).repartition(4).write.text(incoming)
-    requests = upload_streams.stream_upload_manifests(spark, incoming, files_per_batch=2)
-    checked = upload_streams.stream_validate_uploads(requests, *_places(spark, "checked-stream"))
+    lines = given.manifest_lines(spark, sf)
+    number = F.regexp_extract("value", r"doc-(\d+)", 1).try_cast("bigint")
+    lines.unionByName(lines.where(number % 3 == 0)).repartition(4).write.text(incoming)
+    known = given.table(spark, sf, "documents").where(F.col("doc_id") % 5 == 0)
+    known = known.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("fileName"))
+    requests = upload_streams.stream_upload_manifests(spark, incoming, files_per_batch=1)
+    checked = upload_streams.stream_validate_uploads(requests, *_places(spark, "checked-stream"), key="fileName", existing=known)
     return checked.select("line", "outcome", F.concat_ws(",", "errors.field").alias("fields"))
 
 
 @query
 def stream_latest_state(spark, sf):
-    log = given.log_columns(given.event_stream(spark, sf))
+    log = given.log_columns(given.event_stream(spark, sf)).where(F.col("id").isNotNull())
     return state.stream_latest_state(log, *_places(spark, "states"), "id", "updatedAt", "seq")
 
 
 @query
 def stream_dedup_uploads(spark, sf):
-    """Object keys of a stream in which each comes many times."""
-    uploads = given.event_stream(spark, sf).select(
+    """Object keys of a stream in which each comes many times, but for late ones that come once."""
+    uploads = given.event_stream(spark, sf, with_late=True).select(
         object_key(F.col("user_id"), F.col("event_type")).alias("r2Key"), F.col("ts").alias("createdAt")
     )
-    kept = upload_streams.stream_dedup_uploads(uploads, *_places(spark, "dedup"), delay="40 days")
-    return kept.select("r2Key")
+    return upload_streams.stream_dedup_uploads(uploads, *_places(spark, "dedup")).select("r2Key")
 
 
 @query

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.uploads import object_key, session_expires_at
 from docquarry.operators.passages import chunk_documents
+from docquarry.session import shared_path
 from docquarry.schemas import ACCOUNTS, ALLOWED_MIME_TYPES, DOCUMENTS, SESSIONS
-from docquarry.session import spread
 
 NOW = "2024-01-20 00:00:00"
 PDF, DOCX, TEXT = ALLOWED_MIME_TYPES
@@ -23,11 +23,42 @@ def events(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
     return rows.where(F.col("event_type").isin(*kinds)) if kinds else rows
 
 
-def event_stream(spark: SparkSession, sf: str, files_per_batch: int = 100) -> DataFrame:
-    """The events as a stream of files. The pattern lets the table be one file as well as a folder."""
-    schema = table(spark, sf, "events").schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(f"{sf}/{{events}}.parquet")
+def late(rows: DataFrame) -> DataFrame:
+    """Every tenth event once more, as the first of a kind of its own, two months behind."""
+    tenth = rows.where(F.col("event_id") % 10 == 0)
+    return tenth.withColumns({
+        "event_type": F.concat(F.lit("late-"), _text("event_id")), "ts": F.expr("ts - INTERVAL 60 DAYS"),
+    })
+
+
+def event_stream(spark: SparkSession, sf: str, batches: int = 4, with_late: bool = False) -> DataFrame:
+    """The events as a stream of files, in order of time, in micro-batches; late ones at the end.
+
+    Purchases of a value below ten have no user, and clicks below five no time: those come first.
+    """
+    rows = keyless_events(spark, sf)
+    path = shared_path(spark, "events")
+    moment = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = rows.select(F.percentile_approx(moment, [i / batches for i in range(1, batches)]).alias("c")).first()["c"] or []
+    part = F.lit(0)
+    for cut in cuts:
+        part = part + F.coalesce(moment > cut, F.lit(False)).cast("int")
+    files = 0
+    for i in range(batches):
+        rows.where(part == i).repartition(2, "event_id").write.mode("append").parquet(path)
+        files += 2
+    if with_late:
+        late(rows).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+def keyless_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The events, some without a user and some without a time."""
+    kind, value = F.col("event_type"), F.col("value")
+    return table(spark, sf, "events").withColumns({
+        "user_id": F.when(~((kind == "purchase") & (value < 10)), F.col("user_id")),
+        "ts": F.when(~((kind == "click") & (value < 5)), F.col("ts")),
+    })
 
 
 def _text(name: str) -> Column:
@@ -110,10 +141,10 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def refresh_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """Clicks, each asking for the session of the event before; cheap ones have no token."""
+    """Clicks asking for the session of an event before, up to three for the same one; cheap ones have no token."""
     return events(spark, sf, "click").select(
         _text("event_id").alias("requestId"),
-        F.when(F.col("value") >= 2, (F.col("event_id") - 1).cast("string")).alias("token"),
+        F.when(F.col("value") >= 2, (F.col("event_id") - 1 - F.col("event_id") % 3).cast("string")).alias("token"),
         F.concat(F.lit("new-"), _text("event_id")).alias("newToken"),
         F.col("ts").alias("requestedAt"),
     )
@@ -159,7 +190,7 @@ def uploads(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("o_orderpriority") == "3-MEDIUM", "text/csv")
         .otherwise(TEXT)
     )
-    return spread(table(spark, sf, "orders"), "o_orderkey").select(
+    return table(spark, sf, "orders").select(
         _text("o_orderkey").alias("requestId"),
         _text("o_custkey").alias("userId"),
         F.expr("repeat(o_orderpriority, cast(o_totalprice / 10000 AS INT))").alias("fileName"),
@@ -169,18 +200,19 @@ def uploads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def manifest_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts as lines of an upload manifest; each language breaks it in its own way."""
+    """Texts as lines of an upload manifest; each language breaks it in its own way, English ones repeat a field."""
     number, size = _text("doc_id"), _text("n_chars")
     name = F.concat(F.lit('"doc-'), number, F.lit('.txt"'))
     lang = F.col("lang")
     return table(spark, sf, "documents").select(
         F.concat(
             F.lit('{"fileName":'),
-            F.when(lang == "es", number).otherwise(name),
+            F.when(lang == "es", number).when(lang == "en", F.lit("0")).otherwise(name),
             F.lit(',"fileSize":'),
             F.when(lang == "fr", F.concat(F.lit('"'), size, F.lit('"')))
             .when(lang == "de", F.concat(size, F.lit(".5")))
             .otherwise(size),
+            F.when(lang == "en", F.concat(F.lit(',"fileName":'), name)).otherwise(""),
             F.lit(',"mimeType":"text/plain"'),
             F.when(F.col("source") == "src0", "").otherwise("}"),
         ).alias("value")
@@ -188,14 +220,16 @@ def manifest_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"), "doc_id")
+    """Dealt out by id, since the work on a text is heavy and a small table is one file."""
+    return table(spark, sf, "documents").repartition("doc_id")
 
 
 def received_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines as uploaded parts; many are sent more than once."""
-    return spread(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber").select(
+    """Order lines as uploaded parts; many are sent more than once, some with a number that cannot be or none."""
+    number, quantity = F.col("l_linenumber"), F.col("l_quantity")
+    return table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("documentId"),
-        F.col("l_linenumber").alias("partNumber"),
+        F.when(quantity == 1, number + 10_000).when(quantity == 2, -number).when(quantity != 3, number).alias("partNumber"),
         F.md5(_text("l_partkey")).alias("etag"),
     )
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,7 +29,6 @@ def build_session(app_name: str = "docquarry", master: str | None = None, **sett
 
 
 PARTITION_BYTES = 256 * 1024 * 1024
-MAX_PARTITIONS = 100_000
 
 
 def settings_for(input_bytes: int) -> dict[str, str]:
@@ -38,7 +37,7 @@ def settings_for(input_bytes: int) -> dict[str, str]:
     Shuffles start from partitions of about 256 MB and AQE joins the small ones, so only the upper end
     has to be right: 200, the default, would make partitions of 500 GB out of 100 TB.
     """
-    partitions = min(MAX_PARTITIONS, max(200, -(-input_bytes // PARTITION_BYTES)))
+    partitions = max(200, -(-input_bytes // PARTITION_BYTES))
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
@@ -47,25 +46,35 @@ def settings_for(input_bytes: int) -> dict[str, str]:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path for ``name`` in the folder all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session may do without it:
-    there, and only there, a temporary folder of this machine serves.
-    """
+    """A new, unused path for ``name`` in the folder all executors share, the session's ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="docquarry-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise RuntimeError("start the session with spark.checkpoint.dir, a folder that every executor can reach")
     return f"{root.rstrip('/')}/docquarry/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffles a scan that has fewer partitions than there are cores, for work that is heavy per row.
+def running_number(rows: DataFrame, group: list[str], order: list[str], column: str) -> DataFrame:
+    """The rows with ``column``, their number from 1 within their group, in the order given; nulls make groups too.
 
-    One small file is one partition. A large table has far more partitions than cores and is left as
-    it is.
+    The rows are dealt out by range of group and order and written, so that every later read sees the
+    same cut; they are numbered within their range, and the sizes of the group's parts in earlier
+    ranges are added. So a group may hold most of the rows, even at one moment: rows that are equal in
+    all of ``order`` are told apart by an id that the write fixes.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    path = shared_path(rows.sparkSession, "ranges")
+    ranged = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*group, *order, "_tie")
+    ranged = ranged.withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    written = rows.sparkSession.read.schema(ranged.schema).parquet(path)
+    within = F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order, "_tie"))
+    sizes = written.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(
+        F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
+    )
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    numbered = written.withColumn("_within", within).join(before, same)
+    return numbered.select(*rows.columns, (F.col("_before") + F.col("_within")).cast("bigint").alias(column))

@@ -16,10 +16,12 @@ def key_part(path: Column, part: int) -> Column:
 def scan_document_files(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     """One row per stored object. An upload is at most 100 MiB, so an object fits a row.
 
-    Without ``content`` the bytes are not read at all. Spark does not list empty files; the checks on
-    uploads let none through.
+    The folder is listed as a whole, by Spark, which spreads a large listing over tasks; the driver
+    expands no pattern. Files that are not at ``documents/{user}/{document}`` have neither id. Without
+    ``content`` the bytes are not read at all. Spark does not list empty files; the checks on uploads
+    let none through.
     """
-    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{OBJECT_ROOT}/*/*")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root.rstrip('/')}/{OBJECT_ROOT}")
     columns = [
         "path",
         F.nullif(key_part(F.col("path"), 1), F.lit("")).alias("userId"),

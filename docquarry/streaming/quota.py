@@ -8,24 +8,34 @@ from pyspark.sql import types as T
 
 from docquarry.functions.uploads import month_start
 from docquarry.operators.usage import monthly_quota
-from docquarry.streaming.run import batch_path, drain, last_written, write_batch, written_batches
+from docquarry.streaming.run import fold_batches, write_batch, written_batches
 
 
 def _months(events: DataFrame, account: str, moment: str) -> DataFrame:
     return events.select(account, month_start(F.col(moment)).alias("month")).groupBy(account, "month").agg(F.count("*").alias("used"))
 
 
+def _counts_schema(events: DataFrame, account: str) -> T.StructType:
+    return T.StructType([events.schema[account], T.StructField("month", T.TimestampNTZType()), T.StructField("used", T.LongType())])
+
+
+def _total(counts: DataFrame, account: str) -> DataFrame:
+    return counts.groupBy(account, "month").agg(F.sum("used").alias("used"))
+
+
 def stream_quota(
-    events: DataFrame, limit: int, path: str, checkpoint: str, account: str = "userId", moment: str = "createdAt"
+    events: DataFrame, limit: int, path: str, checkpoint: str, account: str = "userId", moment: str = "createdAt",
+    compact_every: int = 10,
 ) -> DataFrame:
-    """Use per account and month, with ``overLimit``. Counts combine per task before the shuffle."""
-    counts = _months(events, account, moment).withColumn("overLimit", F.col("used") > limit)
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, path, batch_id)
+    """Use per account and month, with ``overLimit``. Counts combine per task before the shuffle.
 
-    drain(counts, handle, checkpoint, mode="update")
-    return last_written(events.sparkSession, path, counts.schema, account, "month")
+    The counts lie in files: no month is held in memory, so none has to expire and no late event is lost.
+    """
+    totals = fold_batches(
+        events, path, checkpoint, _counts_schema(events, account),
+        lambda batch: _months(batch, account, moment), lambda rows: _total(rows, account), compact_every,
+    )
+    return totals.withColumn("overLimit", F.col("used") > limit)
 
 
 def stream_quota_events(
@@ -34,17 +44,10 @@ def stream_quota_events(
 ) -> DataFrame:
     """Each event with the use of its month so far: the batch operator, carried over micro-batches.
 
-    No event waits in state, and a busy account is split over tasks as in the batch operator. Each
-    micro-batch leaves its own counts, and every ``compact_every``-th the counts of all before it too,
-    so that at most so many folders are read. Events count in order of arrival.
+    No event waits in state, and a busy account is split over tasks as in the batch operator. Events
+    count in order of arrival: those of a micro-batch by time, after all of the batches before.
     """
-    spark = events.sparkSession
-    counts_path, events_path = f"{path}/counts", f"{path}/events"
-    counts_schema = T.StructType([
-        events.schema[account],
-        T.StructField("month", T.TimestampNTZType()),
-        T.StructField("used", T.LongType()),
-    ])
+    spark, events_path = events.sparkSession, f"{path}/events"
     numbered_schema = T.StructType([
         *events.schema.fields,
         T.StructField("month", T.TimestampNTZType()),
@@ -52,21 +55,11 @@ def stream_quota_events(
         T.StructField("overLimit", T.BooleanType()),
     ])
 
-    def total(counts: DataFrame) -> DataFrame:
-        return counts.groupBy(account, "month").agg(F.sum("used").alias("used"))
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        before = None
-        if batch_id > 0:
-            compacted = (batch_id - 1) // compact_every * compact_every
-            folders = [batch_path(counts_path, n) for n in range(compacted, batch_id)]
-            before = total(spark.read.schema(counts_schema).parquet(*folders))
-        numbered = monthly_quota(batch, limit, account, moment, key, used_before=before)
-        write_batch(numbered, events_path, batch_id)
-        counts = _months(batch, account, moment)
-        if before is not None and batch_id % compact_every == 0:
-            counts = total(before.unionByName(counts))
-        write_batch(counts, counts_path, batch_id)
-
-    drain(events, handle, checkpoint)
+    def see(batch: DataFrame, before: DataFrame | None, batch_id: int) -> None:
+        write_batch(monthly_quota(batch, limit, account, moment, key, used_before=before), events_path, batch_id)
+
+    fold_batches(
+        events, f"{path}/counts", checkpoint, _counts_schema(events, account),
+        lambda batch: _months(batch, account, moment), lambda rows: _total(rows, account), compact_every, see,
+    )
     return written_batches(spark, events_path, numbered_schema).drop("batch_id")

@@ -41,8 +41,36 @@ def written_batches(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
 
 
-def last_written(spark: SparkSession, path: str, schema: T.StructType, *keys: str) -> DataFrame:
-    """For each key the row of its last batch: what an update-mode stream has come to."""
-    rest = [c for c in schema.names if c not in keys]
-    newest = F.max_by(F.struct(*rest), "batch_id").alias("row")
-    return written_batches(spark, path, schema).groupBy(*keys).agg(newest).select(*keys, "row.*")
+def fold_batches(
+    stream: DataFrame, path: str, checkpoint: str, schema: T.StructType,
+    make: Callable[[DataFrame], DataFrame], fold: Callable[[DataFrame], DataFrame], compact_every: int = 10,
+    see: Callable[[DataFrame, DataFrame | None, int], None] | None = None,
+) -> DataFrame:
+    """What a stream has come to, kept in files instead of the state of a streaming operator.
+
+    Each micro-batch writes ``make(batch)``, and every ``compact_every``-th batch that folded with all
+    before it. So nothing has to be held in memory or to expire, and at most ``compact_every`` folders
+    are read, by a batch and in the end. ``see`` is called first, with the batch, what came before (None
+    for the first) and the batch's number.
+    """
+    spark = stream.sparkSession
+
+    def before(batch_id: int) -> DataFrame | None:
+        if not batch_id:
+            return None
+        first = (batch_id - 1) // compact_every * compact_every
+        return fold(spark.read.schema(schema).parquet(*[batch_path(path, n) for n in range(first, batch_id)]))
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        earlier = before(batch_id)
+        if see:
+            see(batch, earlier, batch_id)
+        own = make(batch)
+        if earlier is not None and batch_id % compact_every == 0:
+            own = fold(earlier.unionByName(own))
+        write_batch(own, path, batch_id)
+
+    drain(stream, handle, checkpoint)
+    last = written_batches(spark, path, schema).agg(F.max("batch_id")).first()[0]
+    rows = written_batches(spark, path, schema).where(F.col("batch_id") >= (last or 0) // compact_every * compact_every)
+    return fold(rows.drop("batch_id"))

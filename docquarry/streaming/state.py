@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from docquarry.operators.catalog import latest_document_state
-from docquarry.streaming.run import drain, last_written, write_batch
+from docquarry.streaming.run import fold_batches
 
 
-def stream_latest_state(log: DataFrame, path: str, checkpoint: str, key: str = "id", *order: str) -> DataFrame:
-    """The batch operator run as a stream: each micro-batch writes only the documents it touched.
+def stream_latest_state(log: DataFrame, path: str, checkpoint: str, key: str = "id", *order: str, compact_every: int = 10) -> DataFrame:
+    """The batch operator run as a stream: each micro-batch writes the documents it touched.
 
-    State holds one row per document for good: any document may change again.
+    Any document may change again, so none may be forgotten; their states lie in files, not in memory.
     """
-    states = latest_document_state(log, key, *order)
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, path, batch_id)
-
-    drain(states, handle, checkpoint, mode="update")
-    return last_written(log.sparkSession, path, states.schema, key)
+    newest = lambda rows: latest_document_state(rows, key, *order)
+    return fold_batches(log, path, checkpoint, log.schema, newest, newest, compact_every)

@@ -4,52 +4,73 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from docquarry.operators.catalog import keyless_rows, new_rows
 from docquarry.operators.validation import validate_uploads
 from docquarry.sources.manifests import parse_requests
 from docquarry.streaming.run import drain, write_batch, written_batches
 
-DEDUP_SALTS = 16
-
-
 def stream_upload_manifests(spark: SparkSession, path: str, files_per_batch: int = 1_000) -> DataFrame:
     """Typed upload requests from manifest files as they arrive."""
     return parse_requests(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path))
 
 
-def stream_validate_uploads(requests: DataFrame, path: str, checkpoint: str, **limits) -> DataFrame:
+def stream_validate_uploads(
+    requests: DataFrame, path: str, checkpoint: str, key: str | None = None, existing: DataFrame | None = None,
+    **limits,
+) -> DataFrame:
     """Checks a stream of requests and writes it by outcome; returns all rows, with ``outcome``.
 
-    One write per micro-batch, partitioned, so each request is checked once.
+    Outcomes are ``accepted`` and ``rejected``, and with ``key`` also ``repeated``: requests that pass
+    the checks, but whose key is in ``existing``, was accepted in an earlier micro-batch, or is that of
+    another request of the batch, of which the smallest row is accepted. A request without a key is
+    rejected as it is. One write per micro-batch, partitioned.
     """
     outcome = F.when(F.size("errors") == 0, "accepted").otherwise("rejected")
     checked = validate_uploads(requests, **limits).withColumn("outcome", outcome)
+    spark = requests.sparkSession
+
+    def known(batch_id: int) -> DataFrame | None:
+        earlier = None
+        if batch_id:
+            written = written_batches(spark, path, checked.schema)
+            earlier = written.where((F.col("batch_id") < batch_id) & (F.col("outcome") == "accepted")).select(key)
+        given = existing.select(key) if existing is not None else None
+        return earlier.unionByName(given) if earlier is not None and given is not None else given if earlier is None else earlier
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, path, batch_id, partition_by="outcome")
+        if key is None:
+            return write_batch(batch, path, batch_id, partition_by="outcome")
+        batch = batch.persist()
+        passed = batch.where((F.col("outcome") == "accepted") & F.col(key).isNotNull())
+        other = known(batch_id)
+        rest = [c for c in passed.columns if c != key]
+        first = new_rows(passed, other if other is not None else passed.limit(0), key, *rest)
+        repeated = passed.exceptAll(first).withColumn("outcome", F.lit("repeated"))
+        turned = batch.where((F.col("outcome") != "accepted") | F.col(key).isNull()).withColumn("outcome", F.lit("rejected"))
+        write_batch(first.unionByName(repeated).unionByName(turned), path, batch_id, partition_by="outcome")
+        batch.unpersist()
 
     drain(checked, handle, checkpoint)
-    return written_batches(requests.sparkSession, path, checked.schema).drop("batch_id")
+    return written_batches(spark, path, checked.schema).drop("batch_id")
 
 
 def stream_dedup_uploads(
     uploads: DataFrame, path: str, checkpoint: str, key: str = "r2Key", moment: str = "createdAt",
-    delay: str = "7 days",
 ) -> DataFrame:
-    """Keeps one row per object key among rows at most ``delay`` apart.
+    """Keeps the first row to arrive of each object key, however late; within a micro-batch the earliest.
 
-    Repeats are dropped twice: first per key and salt, so the repeats of a hot key are spread over
-    tasks, then per key, which then meets few. A repeat later than the delay gets through: the catalog
-    is still guarded by ``new_rows`` on write.
+    A micro-batch is compared with the keys of all batches before it, which lie in files, so no key is
+    forgotten and no first row is lost. Rows of a hot key combine in each task before the shuffle. Rows
+    without a key cannot be known to repeat and are all kept.
     """
-    timed = uploads.withColumn("seen_at", F.col(moment).cast(T.TimestampType())).withWatermark("seen_at", delay)
-    salted = timed.withColumn("salt", F.pmod(F.xxhash64("seen_at"), F.lit(DEDUP_SALTS)))
-    once = salted.dropDuplicatesWithinWatermark([key, "salt"]).dropDuplicatesWithinWatermark([key])
-    kept = once.drop("seen_at", "salt")
+    spark = uploads.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, path, batch_id)
+        written = written_batches(spark, path, uploads.schema).where(F.col("batch_id") < batch_id).select(key) if batch_id else batch.limit(0)
+        rest = [moment, *[c for c in uploads.columns if c not in (key, moment)]]
+        first = new_rows(batch, written, key, *rest)
+        write_batch(first.unionByName(keyless_rows(batch, key)), path, batch_id)
 
-    drain(kept, handle, checkpoint)
-    return written_batches(uploads.sparkSession, path, kept.schema).drop("batch_id")
+    drain(uploads, handle, checkpoint)
+    return written_batches(spark, path, uploads.schema).drop("batch_id")

@@ -14,6 +14,7 @@ from docquarry.functions.uploads import (
     session_expires_at,
     status_label,
 )
+from docquarry.plans.refresh import refresh_sessions
 from docquarry.operators import catalog, parts, sessions
 from docquarry.plans.intake import initialize_uploads
 from docquarry.schemas import DOCUMENTS, UPLOAD_STATUSES
@@ -98,7 +99,9 @@ def test_refresh_outcomes(spark):
         "id string, token string, userId string, expiresAt timestamp_ntz",
     )
     asked = spark.createDataFrame(
-        [("1", "t1"), ("2", "t2"), ("3", "t9"), ("42", None), ("5", ""), ("6", "t1")], "requestId string, token string"
+        [("1", "t1", T0), ("2", "t2", T0), ("3", "t9", T0), ("42", None, T0), ("5", "", T0), ("6", "t1", T0), ("7", "t2", T0 + dt.timedelta(1)),
+         ("8", "t9", T0)],
+        "requestId string, token string, requestedAt timestamp_ntz",
     )
     rows = sessions.refresh_outcomes(asked, store, T0).collect()
     assert {r.requestId: (r.outcome, r.sessionId, r.userId) for r in rows} == {
@@ -107,10 +110,38 @@ def test_refresh_outcomes(spark):
         "3": ("unknown", None, None),
         "42": ("missing", None, None),
         "5": ("missing", None, None),
-        "6": ("valid", "s1", "u"),
+        "6": ("unknown", None, None),
+        "7": ("unknown", None, None),
+        "8": ("unknown", None, None),
     }
 
 
+def test_sessions_and_outcomes_of_a_batch_agree(spark):
+    """Of requests at one moment the smaller key is first, whatever the new tokens are."""
+    store = spark.createDataFrame(
+        [("s1", "t1", "u", T0, T0)], "id string, token string, userId string, expiresAt timestamp_ntz, createdAt timestamp_ntz"
+    )
+    asked = spark.createDataFrame(
+        [("1", "t1", "z", T0), ("2", "t1", "a", T0), ("0", "t1", "b", T0 + dt.timedelta(1))],
+        "requestId string, token string, newToken string, requestedAt timestamp_ntz",
+    )
+    after, outcomes = refresh_sessions(asked, store, T0)
+    assert {r.requestId: r.outcome for r in outcomes.collect()} == {"1": "valid", "2": "unknown", "0": "unknown"}
+    assert [r.token for r in after.collect()] == ["z"]
+
+
+def test_upsert_keeps_rows_without_a_key(spark):
+    base = spark.createDataFrame([("a", 1), ("b", 1), (None, 1)], "id string, n int")
+    changes = spark.createDataFrame([("a", 2, 1), ("a", 3, 2), ("c", 9, 1), (None, 7, 1), ("b", None, 1)], "id string, n int, seq int")
+    got = catalog.upsert_rows(base, changes, "id", "seq").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [("a", 3), ("b", None), ("c", 9), (None, 1), (None, 7)]))
+
+
+def test_rows_without_a_key_are_reported(spark):
+    rows = spark.createDataFrame([("a", 1), (None, 2), ("a", 0), (None, 2)], "id string, n int")
+    assert catalog.new_rows(rows, rows.limit(0), "id", "n").count() + catalog.keyless_rows(rows, "id").count() == 3
+
+
 def test_rotation_replaces_token_and_end_only(spark):
     store = spark.createDataFrame(
         [("s1", "t1", "u", T0, T0), ("s2", "t2", "v", T0, T0)],
@@ -164,7 +195,7 @@ def test_part_size_is_checked_before_a_job(size):
 
 def test_parts_sum_to_the_file(spark):
     files = spark.createDataFrame(
-        [("a", 1), ("b", 10), ("c", 11), ("d", 100_000), ("e", 100_001), ("f", 0)], "id string, fileSize bigint"
+        [("a", 1), ("b", 10), ("c", 11), ("d", 100_000), ("e", 100_001), ("f", 0), ("g", None)], "id string, fileSize bigint"
     )
     plan = parts.plan_parts(files, 10)
     found = plan.groupBy("id").agg(F.count("*").alias("n"), F.sum("byteLength").alias("bytes"), F.max("partNumber").alias("last"))
@@ -173,6 +204,12 @@ def test_parts_sum_to_the_file(spark):
         "b": (1, 10, 1),
         "c": (2, 11, 2),
         "d": (10_000, 100_000, 10_000),
+        "e": (1, None, None),
+        "f": (1, None, None),
+        "g": (1, None, None),
+    }
+    assert {r.id: (r.error, r.totalParts) for r in plan.where("error is not null").collect()} == {
+        "e": ("too_many_parts", 10_001), "f": ("empty", 0), "g": ("no_size", None),
     }
     assert ids(parts.oversized_uploads(files, 10)) == ["e"]
 
@@ -185,9 +222,9 @@ def test_part_manifest(spark):
     rows = {r.documentId: ([tuple(p) for p in r.parts], r.receivedParts, r.invalidParts, r.complete) for r in parts.part_manifest(received).collect()}
     assert rows["a"] == ([(1, "x"), (2, "z")], 2, 0, True)
     assert rows["b"] == ([(2, "q")], 1, 0, False)
-    assert rows["c"] == ([(1, "r")], 1, 1, False)
-    assert rows["d"] == ([], 0, 1, False)
-    assert rows["e"][2:] == (1, False)
+    assert rows["c"] == ([(0, "q"), (1, "r")], 1, 1, False)
+    assert rows["d"] == ([(10_001, "q")], 0, 1, False)
+    assert rows["e"] == ([(None, "q")], 0, 1, False)
 
 
 def test_a_part_sent_very_often_stays_one(spark):

@@ -1,14 +1,19 @@
 """What the plans must and must not contain, whatever the size of the data."""
 
+import glob
+import os
 import re
+from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from docquarry.operators import catalog, sessions, threads
 from docquarry.plans import standins
 from docquarry.plans.registry import QUERIES
-from docquarry.session import MAX_PARTITIONS, settings_for, shared_path
+from docquarry.session import running_number, settings_for, shared_path
+from docquarry.sources.tables import append_documents
 
 
 def plan(df, final=False):
@@ -37,8 +42,8 @@ def test_questions_embed_once_and_move_no_passages(spark, sf):
     text = plan(QUERIES["answer_questions"](spark, sf))
     assert text.count("ArrowEvalPython") == 1 and text.count("MapInArrow") == 1
     assert "SortMergeJoin" not in text
-    # The only shuffles are of hits, and of the one-file fixture over the cores.
-    moved = [line for line in text.split("\n") if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" not in line]
+    # The only shuffles are of hits, and of the texts before they are cut.
+    moved = [line for line in text.split("\n") if "Exchange hashpartitioning" in line and "REPARTITION_BY" not in line]
     assert moved and all("question_id" in line for line in moved)
 
 
@@ -94,7 +99,7 @@ def test_pages_of_a_thread_are_bounded(spark):
 
 def test_partition_settings_follow_the_input():
     assert settings_for(1)["spark.sql.shuffle.partitions"] == "200"
-    assert settings_for(100 * 2**40)["spark.sql.shuffle.partitions"] == str(MAX_PARTITIONS)
+    assert settings_for(100 * 2**40)["spark.sql.shuffle.partitions"] == str(4 * 100 * 2**10)
     assert settings_for(2**40)["spark.sql.shuffle.partitions"] == "4096"
 
 
@@ -102,3 +107,36 @@ def test_shared_folder_follows_the_session(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert shared_path(spark, "x").startswith(f"{root}/docquarry/x-")
     assert shared_path(spark, "x") != shared_path(spark, "x")
+
+
+def test_a_third_of_all_rows_in_one_second_is_spread(spark, conf):
+    conf(spark__sql__adaptive__coalescePartitions__enabled="false")
+    rows = spark.range(30_000, numPartitions=4).select(
+        "id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("a"),
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("t"),
+    )
+    numbered = running_number(rows, ["a"], ["t"], "n").collect()
+    hot = sorted(r.n for r in numbered if r.a == 7)
+    assert len(numbered) == 30_000 and hot == list(range(1, len(hot) + 1)) and len(hot) >= 10_000
+    assert all(r.n == 1 for r in numbered if r.a != 7)
+    # the written ranges
+    root = spark.conf.get("spark.checkpoint.dir")
+    newest = max(glob.glob(f"{root}/docquarry/ranges-*"), key=os.path.getmtime)
+    sizes = Counter(r["_part"] for r in spark.read.parquet(newest).where("a = 7").select("_part").collect())
+    assert len(sizes) > 1
+
+
+def test_upsert_reads_each_side_once(spark, sf):
+    text = plan(QUERIES["upsert_accounts"](spark, sf))
+    assert text.count("FullOuter") == 1 and "LeftAnti" not in text
+
+
+def test_an_account_skips_row_groups(spark, sf):
+    path = shared_path(spark, "sorted")
+    append_documents(standins.documents(spark, sf), path)
+    stored = spark.read.parquet(path)
+    text = plan(catalog.documents_of_account(stored, "7"))
+    assert "PushedFilters: [IsNotNull(userId), EqualTo(userId,7)]" in text
+    for file in glob.glob(f"{path}/status=*/*.parquet"):
+        found = pq.read_table(file, columns=["userId"])["userId"].to_pylist()
+        assert found == sorted(found)

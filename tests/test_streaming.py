@@ -61,7 +61,7 @@ def test_quota_events(spark, sf, staged, compact_every):
 
 def test_dedup(spark, sf, staged):
     uploads = stream(spark, staged).select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("r2Key"), F.col("ts").alias("createdAt"))
-    keys = [r.r2Key for r in stream_dedup_uploads(uploads, *places(spark), delay="40 days").collect()]
+    keys = [r.r2Key for r in stream_dedup_uploads(uploads, *places(spark)).collect()]
     assert len(keys) == len(set(keys)) == standins.events(spark, sf).select("user_id").distinct().count()
 
 
@@ -80,3 +80,35 @@ def test_validation_stream_resumes_without_repeats(spark, tmp_path):
         rows = stream_validate_uploads(requests, path, checkpoint).collect()
         assert sum(r.outcome == "accepted" for r in rows) == sum(r.outcome == "rejected" for r in rows) == total
         assert all(len(r.errors) == 3 for r in rows if r.outcome == "rejected")
+
+
+def test_validation_stream_finds_repeats(spark, tmp_path):
+    source = tmp_path / "incoming"
+    source.mkdir()
+    row = '{"fileName":"%s","fileSize":1,"mimeType":"text/plain"}'
+    for i, names in enumerate((["a", "a", "known", "b"], ["a", "c"], ["b", "d", "d"])):
+        (source / f"m{i}.json").write_text("\n".join(row % n for n in names) + "\n")
+    known = spark.createDataFrame([("known",)], "fileName string")
+    requests = stream_upload_manifests(spark, str(source), files_per_batch=1)
+    rows = stream_validate_uploads(requests, *places(spark), key="fileName", existing=known).collect()
+    found = sorted((r.fileName, r.outcome) for r in rows)
+    assert found == [("a", "accepted"), ("a", "repeated"), ("a", "repeated"), ("b", "accepted"), ("b", "repeated"),
+                     ("c", "accepted"), ("d", "accepted"), ("d", "repeated"), ("known", "repeated")]
+
+
+def test_state_resumes_and_late_rows_stay(spark, tmp_path):
+    source = tmp_path / "log"
+    path, checkpoint = places(spark)
+    rows = [("a", 1, "x"), ("b", 1, "x"), ("a", 9, "y")], [("a", 5, "late"), ("c", 1, "x")], [("b", 2, "z"), (None, 1, "n")]
+    schema = "id string, seq int, status string"
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
+        log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        found = stream_latest_state(log, path, checkpoint, "id", "seq", compact_every=2)
+        seen = stream_dedup_uploads(log, f"{path}-once", f"{checkpoint}-once", key="id", moment="seq")
+        every = [r for p in rows[: i + 1] for r in p]
+        want = {}
+        for r in sorted(every, key=lambda r: r[1]):
+            want[r[0]] = r
+        assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, want.values()))
+        assert sorted(str(r.id) for r in seen.collect()) == sorted(str(k) for k in want)

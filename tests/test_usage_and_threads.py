@@ -33,6 +33,18 @@ def test_a_quota_carries_over(spark):
     assert rows == {"u": (51, True), "v": (1, False)}
 
 
+def test_events_without_account_or_time_are_counted(spark):
+    events = spark.createDataFrame(
+        [(1, None, T0), (2, "u", None), (3, None, T0), (4, "u", None), (5, None, None), (6, "u", T0)],
+        "id int, userId string, createdAt timestamp_ntz",
+    )
+    rows = {r.id: (r.used, r.overLimit) for r in monthly_quota(events, 1).collect()}
+    assert rows == {1: (1, False), 3: (2, True), 2: (1, False), 4: (2, True), 5: (1, False), 6: (1, False)}
+    before = monthly_quota(events, 1).groupBy("userId", "month").agg(F.max("used").alias("used"))
+    again = {r.id: r.used for r in monthly_quota(events, 1, used_before=before).collect()}
+    assert again == {1: 3, 3: 4, 2: 3, 4: 4, 5: 2, 6: 2}
+
+
 def test_threads(spark):
     turns = spark.range(1_000).select(
         F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("T"), F.col("id").cast("string")).alias("text")

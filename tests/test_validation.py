@@ -139,3 +139,23 @@ def test_account_name(spark):
 def test_utf16_length(spark):
     row = spark.createDataFrame([("a😀é",)], "t string").select(utf16_length(F.col("t"))).head()
     assert row[0] == 4
+
+
+def test_a_repeated_field_keeps_its_last_value(spark):
+    lines = [
+        '{"fileName":"a","fileName":"b","fileSize":"7","fileSize":2}', '{"fileName":"a"} x', '{"fileName":"a"}, {"fileName":"b"}',
+        '[{"fileName":"z"}]', "null", "", None, ' {"fileSize":1.0,"mimeType":null} ', '{"fileName":"a"',
+    ]
+    rows = parse_requests(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert [(r.fileName, r.fileSize, r.malformed) for r in rows] == [
+        ("b", 2.0, False), (None, None, True), (None, None, True), (None, None, True), (None, None, True), (None, None, True),
+        (None, None, True), (None, 1.0, False), (None, None, True),
+    ]
+
+
+def test_whole_sizes_of_any_magnitude(spark):
+    sizes = [1e300, 1e19, 0.5, float("inf"), float("-inf"), float("nan"), None, 2.0, -3.0]
+    rows = spark.createDataFrame([("a", x, "text/plain") for x in sizes], "fileName string, fileSize double, mimeType string")
+    codes = [[e.code for e in r.errors] for r in validate_uploads(rows).collect()]
+    bad = ["invalid_type"]
+    assert codes == [["too_big"], ["too_big"], bad, bad, bad, bad, bad, [], ["too_small"]]
