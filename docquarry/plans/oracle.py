@@ -162,13 +162,19 @@ hits AS (
          CAST(row_number() OVER (PARTITION BY question_id ORDER BY h) AS INTEGER) AS rank FROM best)"""
 
 
-ANSWERS = f"""{_retrieval("SELECT item_id AS question_id, text FROM benchmark", 5)},
-firsts AS (SELECT *, min(rank) OVER (PARTITION BY question_id, doc_id) AS first FROM hits),
+_CITED = """firsts AS (SELECT *, min(rank) OVER (PARTITION BY question_id, doc_id) AS first FROM hits),
 cited AS (
   SELECT question_id, rank, CAST(dense_rank() OVER (PARTITION BY question_id ORDER BY first) AS INTEGER) AS citation,
          doc_id, chunk_no, d.source AS title, start, score, substring(passage, 1, 160) AS snippet, passage
   FROM firsts JOIN chunks USING (doc_id, chunk_no) JOIN documents d USING (doc_id))"""
 
+ANSWERS = f"""{_retrieval("SELECT item_id AS question_id, text FROM benchmark", 5)},
+{_CITED}"""
+
+TWO_CITED = f"""{_retrieval("SELECT item_id AS question_id, text FROM benchmark", 2)},
+{_CITED}"""
+
+
 NEIGHBOURS = """
 SELECT q.vec_id AS question_id, p.vec_id,
        round(list_inner_product(q.embedding::DOUBLE[], p.embedding::DOUBLE[])
@@ -429,6 +435,8 @@ SELECT doc_id, chunk_no, CAST(bucket AS INTEGER) AS bucket, round(w, 4) AS weigh
     "scoped_search": NEIGHBOURS.format(condition="q.label = 0 OR q.label = p.label"),
     "scoped_search_blocks": NEIGHBOURS.format(condition="q.label = 0 OR q.label = p.label"),
     "answer_questions": f"WITH {ANSWERS} SELECT * FROM cited",
+    "answer_from_unstored_texts": f"WITH {ANSWERS} SELECT * FROM cited",
+    "cite_sources": f"WITH {TWO_CITED} SELECT * FROM cited",
     "question_context": f"""
 WITH {ANSWERS},
 summed AS (SELECT *, sum(length(passage)) OVER (PARTITION BY question_id ORDER BY rank) AS so_far FROM cited)

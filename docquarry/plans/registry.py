@@ -12,8 +12,8 @@ from docquarry.operators import answers, catalog, parts, passages, retrieval, se
 from docquarry.operators.vectors import embed_chunks as embed
 from docquarry.plans import standins as given
 from docquarry.plans.accounts import log_in, sign_up
+from docquarry.plans.ask import answer_from_texts, build_passage_table, find_passages
 from docquarry.plans.ask import answer_questions as answer
-from docquarry.plans.ask import find_passages
 from docquarry.plans.intake import initialize_uploads as initialize
 from docquarry.plans.refresh import refresh_sessions as refresh
 from docquarry.plans.standins import NOW
@@ -445,8 +445,8 @@ def semantic_top_k(spark, sf):
 
 @query
 def semantic_top_k_blocks(spark, sf):
-    """The same by the way taken when there are too many questions to send to the tasks."""
-    return _neighbours(spark, sf, max_questions=0)
+    """The same in several passes over the vectors."""
+    return _neighbours(spark, sf, block_questions=200)
 
 
 def _neighbours_in_scope(spark, sf, **options):
@@ -464,12 +464,18 @@ def scoped_search(spark, sf):
 
 @query
 def scoped_search_blocks(spark, sf):
-    """The same by the way taken when there are too many questions to send to the tasks."""
-    return _neighbours_in_scope(spark, sf, max_questions=0)
+    """The same in several passes over the vectors."""
+    return _neighbours_in_scope(spark, sf, block_questions=200)
+
+
+def passage_table(spark, sf):
+    """All documents, cut, embedded and stored."""
+    return build_passage_table(given.texts(spark, sf).select("doc_id", "source", "text"), shared_path(spark, "passages"))
 
 
 def _answers(spark, sf):
-    return answer(given.benchmark_questions(spark, sf), given.table(spark, sf, "documents"), k=5, title="source")
+    passages, weights = passage_table(spark, sf)
+    return answer(given.benchmark_questions(spark, sf), passages, weights, given.table(spark, sf, "documents"), k=5, title="source")
 
 
 @query
@@ -478,6 +484,21 @@ def answer_questions(spark, sf):
     return _answers(spark, sf)
 
 
+@query
+def answer_from_unstored_texts(spark, sf):
+    """The same without a stored table; passages are cut out of the texts again."""
+    return answer_from_texts(given.benchmark_questions(spark, sf), given.table(spark, sf, "documents"), k=5, title="source")
+
+
+@query
+def cite_sources(spark, sf):
+    """The two best stored passages of each benchmark text, the hits sent to the tasks as they are few."""
+    passages, weights = passage_table(spark, sf)
+    hits = find_passages(given.benchmark_questions(spark, sf), passages, 2, weights)
+    bound = 2 * given.benchmark_questions(spark, sf).count()
+    return answers.cite_sources(hits, passages, given.table(spark, sf, "documents"), "source", max_hits=bound)
+
+
 @query
 def question_context(spark, sf):
     """With a budget that some best passages exceed."""
@@ -507,7 +528,8 @@ def recent_conversations(spark, sf):
 def sources_per_conversation(spark, sf):
     """Documents among the three best passages of everything users asked in a conversation."""
     asked = given.conversation_questions(spark, sf)
-    hits = find_passages(asked, given.chunks(spark, sf), k=3)
+    passages, weights = passage_table(spark, sf)
+    hits = find_passages(asked, passages, 3, weights)
     conversation = F.split_part("question_id", F.lit(":"), F.lit(1)).cast("bigint")
     return threads.sources_per_conversation(hits.withColumn("conv_id", conversation))
 

@@ -5,7 +5,7 @@ import datetime as dt
 from docquarry.operators import answers, catalog, parts, passages, sessions, terms, threads, usage
 from docquarry.operators.vectors import embed_chunks, fit_bucket_weights
 from docquarry.plans.accounts import log_in, sign_up
-from docquarry.plans.ask import answer_questions
+from docquarry.plans.ask import answer_from_texts
 from docquarry.schemas import ACCOUNTS, DOCUMENTS, SESSIONS
 
 NOW = dt.datetime(2024, 1, 1)
@@ -49,9 +49,9 @@ def test_texts(spark):
     assert terms.term_search(documents, ["a"], 3).count() == 0
     assert terms.extractive_summaries(documents, 3).count() == 0
     questions = spark.createDataFrame([(1, "what")], "question_id int, text string")
-    found = answer_questions(questions, documents, 3, "source")
+    found = answer_from_texts(questions, documents, 3, "source")
     assert found.count() == 0 and answers.question_context(found, 10).count() == 0
-    assert answer_questions(questions.limit(0), documents, 3, "source").count() == 0
+    assert answer_from_texts(questions.limit(0), documents, 3, "source").count() == 0
 
 
 def test_threads(spark):

@@ -12,7 +12,7 @@ from docquarry.operators.answers import cite_sources, number_sources, question_c
 from docquarry.operators.passages import chunk_documents, chunk_lines, classify_failures, extract_text
 from docquarry.operators.terms import extractive_summaries, term_search
 from docquarry.operators.vectors import embed_chunks, fit_bucket_weights
-from docquarry.plans.ask import answer_questions, build_passage_table, find_passages
+from docquarry.plans.ask import answer_from_texts, answer_questions, build_passage_table, find_passages
 from docquarry.session import shared_path
 
 
@@ -138,6 +138,8 @@ def test_a_stored_passage_table_answers_like_the_text(spark, sf):
     questions = spark.read.parquet(f"{sf}/benchmark.parquet").withColumnRenamed("item_id", "question_id")
     stored, weights = build_passage_table(texts, shared_path(spark, "passages"))
     again = find_passages(questions, stored, 3, weights).toPandas().sort_values(["question_id", "rank"])
-    direct = answer_questions(questions, texts, 3, "source").toPandas().sort_values(["question_id", "rank"])
+    direct = answer_from_texts(questions, texts, 3, "source").toPandas().sort_values(["question_id", "rank"])
     columns = ["question_id", "rank", "doc_id", "chunk_no", "score"]
     pd.testing.assert_frame_equal(again[columns].reset_index(drop=True), direct[columns].reset_index(drop=True))
+    answers = answer_questions(questions, stored, weights, texts, 3, "source").toPandas().sort_values(["question_id", "rank"])
+    pd.testing.assert_frame_equal(answers.reset_index(drop=True)[direct.columns], direct.reset_index(drop=True))
