@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.text import contains_text
 from docquarry.functions.uploads import error_text, interface_status, relative_age, status_label
-from docquarry.schemas import UPLOAD_STATUSES
+from docquarry.schemas import FAILURE_REASONS, UPLOAD_STATUSES
 
 
 # -- filters and projections ------------------------------------------------------------------
@@ -53,6 +53,14 @@ def documents_in_status(documents: DataFrame, statuses: Sequence[str]) -> DataFr
     return documents.where(F.col("status").isin(*statuses))
 
 
+def documents_failed_for(documents: DataFrame, reasons: Sequence[str]) -> DataFrame:
+    """Failed documents with any of these reasons."""
+    unknown = set(reasons) - set(FAILURE_REASONS)
+    if unknown:
+        raise ValueError(f"unknown reason: {sorted(unknown)}")
+    return documents_in_status(documents, ["FAILED"]).where(F.col("failureReason").isin(*reasons))
+
+
 def abort_candidates(documents: DataFrame) -> DataFrame:
     """Failed documents that still hold an open multipart upload."""
     return documents.where((F.col("status") == "FAILED") & F.col("uploadId").isNotNull()).select(

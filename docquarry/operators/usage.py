@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions.uploads import month_start
+from docquarry.schemas import FREE_UPLOADS_PER_MONTH
 from docquarry.session import running_number
 
 
 def monthly_quota(
-    events: DataFrame, limit: int, account: str = "userId", moment: str = "createdAt", key: str = "id",
+    events: DataFrame, limit: int = FREE_UPLOADS_PER_MONTH, account: str = "userId", moment: str = "createdAt", key: str = "id",
     used_before: DataFrame | None = None,
 ) -> DataFrame:
     """Each event with the account's use in its month so far (``used``) and ``overLimit``.
 
-    A running count in one window would put all events of a busy account into one task; here the
+    The default limit is that of free uploads; questions have FREE_QUESTIONS_PER_MONTH. A running count in one window would put all events of a busy account into one task; here the
     events are numbered by range (see running_number), so even a second of one account may hold most
     of them. Events without an account, or without a moment, count among themselves. ``used_before``
     (account, month, ``used``) carries over counts from earlier batches of a stream.

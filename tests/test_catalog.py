@@ -137,6 +137,13 @@ def test_upsert_keeps_rows_without_a_key(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [("a", 3), ("b", None), ("c", 9), (None, 1), (None, 7)]))
 
 
+def test_failed_for(spark):
+    rows = spark.createDataFrame([("a", "FAILED", "EMPTY_DOCUMENT"), ("b", "FAILED", None), ("c", "QUEUED", "EMPTY_DOCUMENT")], "id string, status string, failureReason string")
+    assert ids(catalog.documents_failed_for(rows, ["EMPTY_DOCUMENT"])) == ["a"]
+    with pytest.raises(ValueError):
+        catalog.documents_failed_for(rows, ["NONE"])
+
+
 def test_rows_without_a_key_are_reported(spark):
     rows = spark.createDataFrame([("a", 1), (None, 2), ("a", 0), (None, 2)], "id string, n int")
     assert catalog.new_rows(rows, rows.limit(0), "id", "n").count() + catalog.keyless_rows(rows, "id").count() == 3
