@@ -76,6 +76,18 @@ def test_equal_values_stay_linked(spark):
     assert b == f"{ip} | {mail}" and "bosbt" not in a
 
 
+def test_neighbours_are_told_apart(spark):
+    random.seed(6)
+    a, b = card("4"), card("5")
+    values = [
+        ["+1 (826) 555-4081", "190.137.223.204"], [a, "42"], [a, b], ["+49 30 1234567", "10.1.2.3"], ["+44 20 7183 8750", a],
+        ["42.1.2.3", "+1 (988) 555-2485"], [" ".join(re.findall("....", a)), "7"], ["a.b@x.org", a], ["2024-01-31", "12:30"],
+    ]
+    for row, new in zip(values, masked(spark, [" ".join(v) for v in values])):
+        for v in row:
+            assert (v in new) == (len(v) < 6), (v, new)
+
+
 def test_odd_rows(spark):
     df = with_extra(odd(spark))
     got = mask_private(df)
