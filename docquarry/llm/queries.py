@@ -16,4 +16,4 @@ QUERIES = {
     "op9_first_fit_packing": packing.op9_first_fit_packing,
     "op10_kneser_ney": lm.op10_kneser_ney,
 }
-ORACLE = {"op5_reply_trees": chat.ORACLE, "op8_quality_rules": quality.ORACLE}
+ORACLE = {"op5_reply_trees": chat.ORACLE, "op6_jaccard_join": similarity.ORACLE, "op8_quality_rules": quality.ORACLE}

@@ -329,3 +329,21 @@ def keep_one(documents: DataFrame) -> DataFrame:
     others = stage(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_row")), "copies")
     few = others.count() <= SENT_IDS
     return rows.join(F.broadcast(others) if few else others, "_row", "left_anti").select(*documents.columns)
+
+
+ORACLE = """
+WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+               ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS s
+      FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y
+          FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id AND 85 * greatest(a.n, b.n) <= 100 * least(a.n, b.n)
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 185 * count(*) >= 85 * (a.n + b.n)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT e.y, r.c FROM reach r JOIN edges e ON e.x = r.doc_id)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(c) AS component_id FROM s JOIN reach USING (doc_id) GROUP BY ALL
+"""
