@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import gc
+import os
 import re
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import stage
-from docquarry.llm.pieces import ChunkTable
+from docquarry.llm.pieces import SLICE_CHARS, ChunkTable, slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Documents in a group, on average.
@@ -21,30 +26,62 @@ GROUP = 4096
 SEED = 11
 
 
-def token_bytes(tokenizer_file: str, end_id: int):
-    """A function from a text to its ids and the end id, as little-endian unsigned 32-bit numbers.
+#: Marks that a word may end with; they are tokens of their own after a letter or digit.
+TAIL = ".,;:!?"
+
+
+def token_bytes(tokenizer_file: str, end_id: int) -> Callable[[list[str]], list[bytes]]:
+    """A function from texts to their ids and the end id, as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and no token crosses it, so each distinct word is encoded once and
-    its ids put at each place it stands. Strings of special tokens in a text are ordinary text.
+    its ids put at each place it stands. Words that differ in the case of ASCII letters, or in marks at
+    their end, are encoded together. Strings of special tokens in a text are ordinary text.
     """
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_file)
-    tokenizer.encode_special_tokens = True
-    end = np.array([end_id], "<u4").tobytes()
-
-    def fill(words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    def load() -> Tokenizer:
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
+    whole, letters = load(), load()
+    # For words of small letters, which these steps would leave as they are.
+    letters.normalizer = normalizers.Sequence([])
+    letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    end = array("I", [end_id]).tobytes()
+
+    def plain(word: str) -> bool:
+        return word.isalpha() and max(word) < "\u0250" and word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+    def fill(words: list[str], find: Callable[[str], bytes | None]) -> dict[str, bytes]:
+        found: dict[str, bytes | None] = {"": b""}
+        cut = []
+        for word in words:
+            ascii_ = word.isascii()
+            small = word.lower() if ascii_ else word
+            core = small.rstrip(TAIL)
+            tail = small[len(core):]
+            if tail and not (core and core[-1] < "\u0250" and core[-1].lower()[-1].isalnum()):
+                core, tail = small, ""
+            cut.append((core, tail))
+            if core not in found:
+                found[core] = find(core) if core != word else None
+            if tail not in found:
+                found[tail] = find(tail)
+        new = [p for p, ids in found.items() if ids is None]
+        simple = [p for p in new if (p.isalpha() if p.isascii() else plain(p))]
+        other = list(set(new).difference(simple))
+        for tokenizer, mine in ((letters, simple), (whole, other)):
+            encoded = tokenizer.encode_batch_fast(mine, add_special_tokens=False)
+            found.update((p, array("I", e.ids).tobytes()) for p, e in zip(mine, encoded))
+        found.update([(w, found[core] + found[tail] if tail else found[core]) for w, (core, tail) in zip(words, cut)])
+        return found
 
     table = ChunkTable(fill)
 
-    def encode(text: str) -> bytes:
-        words = WORD.findall(text)
-        table.learn(words)
-        return b"".join(map(table.__getitem__, words)) + end
+    def encode(texts: list[str]) -> list[bytes]:
+        return [ids + end for ids in table.joined([WORD.findall(t) for t in texts])]
 
     return encode
 
@@ -60,21 +97,19 @@ def cut_pieces(documents: DataFrame, tokenizer_file: str, room: int, end_id: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # no cycles are made here, and the collector would walk the tables again and again
         encode = token_bytes(tokenizer_file, end_id)
         for batch in batches:
-            out: list[tuple] = []
-            size = 0
-            for doc_id, row, text in zip(*(batch.column(c) for c in ("doc_id", "_row", "text"))):
-                ids = encode(text.as_py() or "")
-                doc_id, row = doc_id.as_py(), row.as_py()
-                for at in range(0, len(ids), 4 * room):
-                    piece = ids[at: at + 4 * room]
-                    out.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, row, piece if with_ids else None))
-                    size += len(piece) if with_ids else 0
-                if len(out) >= 20_000 or size > 4_000_000:
-                    yield _piece_batch(out, with_ids)
-                    out, size = [], 0
-            yield _piece_batch(out, with_ids)
+            doc_ids, rows, texts = (batch.column(c) for c in ("doc_id", "_row", "text"))
+            lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            for a, b in slices(lengths, SLICE_CHARS):
+                found = encode([t or "" for t in texts[a:b].to_pylist()])
+                out: list[tuple] = []
+                for doc_id, row, ids in zip(doc_ids[a:b].to_pylist(), rows[a:b].to_pylist(), found):
+                    for at in range(0, len(ids), 4 * room):
+                        piece = ids[at: at + 4 * room]
+                        out.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, row, piece))
+                yield _piece_batch(out, with_ids)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("_row"))
     return rows.mapInArrow(run, PIECES + ", _row long" + (", ids array<int>" if with_ids else ""))

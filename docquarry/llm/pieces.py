@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,27 +20,41 @@ MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Marked words held by a worker; twice as many at most, then the older half goes.
 TABLE_SIZE = 300_000
-#: Code points of text after which a worker hands on what it has.
-SLICE_CHARS = 4_000_000
+#: Bytes of text that a worker takes at once; a longer text by itself.
+SLICE_CHARS = 2_000_000
 
 
-class ChunkTable(dict):
-    """Distinct marked words and their ids, filled as needed; bounded, the older half goes first."""
+class ChunkTable:
+    """Distinct chunks of text and the bytes of their ids, filled as needed; bounded, the older half goes first.
 
-    def __init__(self, fill, size: int = TABLE_SIZE):
-        super().__init__()
-        self.fill, self.size, self.older = fill, size, {}
+    ``fill`` gets the chunks that are missing and a function that looks others up, and returns entries.
+    """
 
-    def learn(self, chunks: list[str]) -> None:
-        """Afterwards every one of these chunks is in the table."""
-        if len(self) > self.size:
-            self.older = dict(self)
-            self.clear()
-        new = set(chunks).difference(self)
-        for c in new.intersection(self.older):
-            self[c] = self.older[c]
-        missing = list(new.difference(self.older))
-        self.update(zip(missing, self.fill(missing)))
+    def __init__(self, fill: Callable[[list[str], Callable[[str], bytes | None]], dict[str, bytes]], size: int = TABLE_SIZE):
+        self.fill, self.size = fill, size
+        self.now: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def find(self, chunk: str) -> bytes | None:
+        found = self.now.get(chunk)
+        return self.older.get(chunk) if found is None else found
+
+    def joined(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of each list of chunks, one after the other."""
+        if len(self.now) > self.size:
+            self.older, self.now = self.now, {}
+        chunks = list(chain.from_iterable(lists))
+        ids = list(map(self.now.get, chunks))
+        missing = {c for c, i in zip(chunks, ids) if i is None}
+        if missing:
+            kept = {c: i for c in missing if (i := self.older.get(c)) is not None}
+            self.now.update(kept)
+            if new := list(missing.difference(kept)):
+                self.now.update(self.fill(new, self.find))
+            now = self.now
+            ids = [now[c] if i is None else i for c, i in zip(chunks, ids)]
+        ends = list(accumulate(map(len, lists), initial=0))
+        return [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def _processor(model_file: str):
@@ -50,41 +69,32 @@ def pieces_stay_in_words(model_file: str) -> bool:
     return not any(MARK in sp.id_to_piece(i).lstrip(MARK) for i in range(sp.get_piece_size()))
 
 
-def encoder(model_file: str):
-    """A function from a text to its ids, equal to the library's over the whole text."""
+def encoder(model_file: str) -> Callable[[list[str]], list[bytes]]:
+    """A function from texts to their ids, as 32-bit numbers, equal to the library's over the whole texts."""
     sp = _processor(model_file)
-    alone = [sp.piece_to_id(MARK)]
 
-    def fill(chunks: list[str]) -> list[list[int]]:
+    def fill(chunks: list[str], _) -> dict[str, bytes]:
         # The library puts a mark before every text, so the first mark of a chunk is left out.
-        ids = sp.encode([c[1:] for c in chunks], num_threads=1) if chunks else []
-        return [i if c != MARK else alone for c, i in zip(chunks, ids)]
+        ids = sp.encode([c[1:] for c in chunks], num_threads=1)
+        found = {c: array("i", i).tobytes() for c, i in zip(chunks, ids)}
+        return found | {MARK: array("i", [sp.piece_to_id(MARK)]).tobytes()}
 
     table = ChunkTable(fill)
 
-    def encode(text: str) -> list[int]:
-        if not text:
-            return []
-        chunks = CHUNK.findall(MARK + text.replace(" ", MARK))
-        table.learn(chunks)
-        ids: list[int] = []
-        for chunk in chunks:
-            ids += table[chunk]
-        return ids
+    def encode(texts: list[str]) -> list[bytes]:
+        return table.joined([CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts])
 
     return encode
 
 
-def _slices(column: pa.Array, size) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of bounded size together; a larger row by itself."""
-    start = total = 0
-    for i in range(len(column)):
-        total += size(i)
-        if total >= SLICE_CHARS:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(column):
-        yield start, len(column)
+def slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose lengths come to about ``most`` together; a longer row by itself."""
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    start = 0
+    while start < len(lengths):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
+        yield start, stop
+        start = stop
 
 
 def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -103,13 +113,16 @@ def encode_documents(df: DataFrame, model_file: str, text: str = "text", ids: st
         raise ValueError("pieces of this model cross the start of words; encode whole texts instead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # no cycles are made here, and the collector would walk the table again and again
         encode = encoder(model_file)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            lengths = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-            for a, b in _slices(column, lambda i: int(lengths[i])):
-                found = [encode(t.as_py() or "") for t in column[a:b]]
-                yield _with(batch.slice(a, b - a), ids, pa.array(found, pa.list_(pa.int32())))
+            lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+            for a, b in slices(lengths, SLICE_CHARS):
+                found = encode([t or "" for t in column[a:b].to_pylist()])
+                ends = np.cumsum([0, *(len(f) // 4 for f in found)])
+                values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
+                yield _with(batch.slice(a, b - a), ids, values)
 
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     return df.mapInArrow(run, schema)
@@ -122,8 +135,8 @@ def decode_documents(df: DataFrame, model_file: str, ids: str = "_ids", text: st
         sp = _processor(model_file)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            lengths = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-            for a, b in _slices(column, lambda i: 4 * int(lengths[i])):
+            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            for a, b in slices(lengths, SLICE_CHARS // 4):
                 found = [sp.decode(i.as_py()) if i.is_valid and len(i) else "" for i in column[a:b]]
                 yield _with(batch.slice(a, b - a), text, pa.array(found, pa.string()))
 
