@@ -487,7 +487,7 @@ def answer_questions(spark, sf):
 @query
 def answer_from_unstored_texts(spark, sf):
     """The same without a stored table; passages are cut out of the texts again."""
-    return answer_from_texts(given.benchmark_questions(spark, sf), given.table(spark, sf, "documents"), k=5, title="source")
+    return answer_from_texts(given.benchmark_questions(spark, sf), given.texts(spark, sf), k=5, title="source")
 
 
 @query

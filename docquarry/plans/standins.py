@@ -220,8 +220,8 @@ def manifest_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Dealt out by id, since the work on a text is heavy and a small table is one file."""
-    return table(spark, sf, "documents").repartition("doc_id")
+    """Dealt out by id over all shuffle partitions, since the work on a text is heavy and a small table is one file."""
+    return table(spark, sf, "documents").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
 def received_parts(spark: SparkSession, sf: str) -> DataFrame:

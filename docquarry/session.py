@@ -46,10 +46,11 @@ def settings_for(input_bytes: int) -> dict[str, str]:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path for ``name`` in the folder all executors share, the session's ``spark.checkpoint.dir``."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise RuntimeError("start the session with spark.checkpoint.dir, a folder that every executor can reach")
+    """A new, unused path for ``name`` in the folder all executors share.
+
+    That is the session's ``spark.checkpoint.dir``; where it is unset, the warehouse, which is shared too.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/docquarry/{name}-{uuid.uuid4().hex}"
 
 
