@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,15 +11,16 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import BREAKS, bind, words
 
 SYMBOLS = "#*$%&|<>"
+MEASURED = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals"]
 
 #: Rule by bit: name, and the test that a failing document meets, over the measurements.
-RULES = [
-    ("few_words", "n_words < 50"),
-    ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
-    ("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
-    ("symbols", "10 * n_symbols > n_words"),
-    ("repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
-    ("capitals", "2 * n_capitals > word_chars"),
+RULES: list[tuple[str, Callable[[Column], Column]]] = [
+    ("few_words", lambda m: m["n_words"] < 50),
+    ("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
+    ("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
+    ("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
+    ("repeated_lines", lambda m: 100 * m["n_dup_lines"] > 50 * m["n_lines"]),
+    ("capitals", lambda m: 2 * m["n_capitals"] > m["word_chars"]),
 ]
 BASE = ("few_words", "repeated_windows")
 #: Policy by name and version: the rules it applies. A version, once used, is never changed.
@@ -91,15 +93,20 @@ def ledger(documents: DataFrame) -> DataFrame:
     One row in, one row out, no shuffle. Null, empty and blank texts have no words and fail
     ``few_words``. A column ``_quality`` of the input is replaced; any other name may occur.
     """
-    measured = documents.withColumn("_quality", measurements(F.col("text")))
-    tests = [
-        F.when(F.expr(_over(test, "_quality")), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, (_, test) in enumerate(RULES)
-    ]
-    return measured.withColumn("_quality", F.col("_quality").withField("failed", reduce(Column.bitwiseOR, tests).cast("long")))
+    return documents.withColumn("_quality", judged(F.col("text")))
 
 
-def _over(test: str, struct: str) -> str:
-    return " ".join(f"{struct}.{t}" if t.startswith(("n_", "word_")) else t for t in test.split())
+def judged(text: Column) -> Column:
+    """The measurements and the bits of the failed rules, as one expression that measures once.
+
+    A filter on the bits may be moved below the column; it then still holds one copy of it.
+    """
+
+    def with_bits(m: Column) -> Column:
+        bits = [F.when(test(m), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, (_, test) in enumerate(RULES)]
+        return F.struct(*[m[c].alias(c) for c in MEASURED], reduce(Column.bitwiseOR, bits).cast("long").alias("failed"))
+
+    return bind(measurements(text), with_bits)
 
 
 def passes(failed: Column, policy: tuple[str, int]) -> Column:
