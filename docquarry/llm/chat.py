@@ -59,21 +59,18 @@ def branch_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     paths are spelt out, and every shuffle is on single nodes, so a tree that holds most rows is spread.
     """
     tables = ancestor_tables(nodes)
-    roots = nodes.select("node", F.col("node").alias("root"))
-    # A node's root: as far up as the tables reach, the longest way first.
-    for table in reversed(tables):
-        roots = roots.join(table.withColumnRenamed("node", "root"), "root", "left").select(
-            "node", F.coalesce("up", "root").alias("root")
-        )
+    leaves = nodes.select("node", "score")
     if tables:
         replied = tables[0].select(F.col("up").alias("node")).distinct()
-        leaves = nodes.join(replied, "node", "left_anti")
-    else:
-        leaves = nodes
+        leaves = leaves.join(replied, "node", "left_anti")
     if branches is not None:
+        # A leaf's root: as far up as the tables reach, the longest way first.
+        leaves = leaves.withColumn("root", F.col("node"))
+        for table in reversed(tables):
+            up = table.select(F.col("node").alias("root"), "up")
+            leaves = leaves.join(up, "root", "left").select("node", "score", F.coalesce("up", "root").alias("root"))
         order = Window.partitionBy("root").orderBy(F.col("score").desc_nulls_last(), "node")
-        ranked = leaves.join(roots, "node").withColumn("_rank", F.row_number().over(order))
-        leaves = ranked.where(F.col("_rank") <= branches)
+        leaves = leaves.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= branches)
     paths = leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above"))
     for k, table in enumerate(tables):
         further = paths.join(table, "node").select("leaf", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
