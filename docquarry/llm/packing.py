@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import gc
 import os
-import re
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,23 +17,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import stage
-from docquarry.llm.pieces import SLICE_CHARS, ChunkTable, slices
+from docquarry.llm.pieces import ChunkTable, slices
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Documents in a group, on average.
 GROUP = 4096
 SEED = 11
+#: Bytes of text that a worker takes at once; a longer text by itself.
+SLICE_BYTES = 8_000_000
 
 
 #: Marks that a word may end with; they are tokens of their own after a letter or digit.
 TAIL = ".,;:!?"
+#: Words in which no mark joins the letter before it, and small letters come one for one.
+LATIN = r"^[\x{00}-\x{12F}\x{131}-\x{24F}]*$"
 
 
-def token_bytes(tokenizer_file: str, end_id: int) -> Callable[[list[str]], list[bytes]]:
-    """A function from texts to their ids and the end id, as little-endian unsigned 32-bit numbers.
+@lru_cache(maxsize=1)
+def token_encoder(tokenizer_file: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """A function from texts to all their ids, one text after the other, and where each text's end.
 
-    The tokenizer drops white space and no token crosses it, so each distinct word is encoded once and
-    its ids put at each place it stands. Words that differ in the case of ASCII letters, or in marks at
+    The tokenizer drops white space and no token crosses it, so each distinct word of a batch is looked
+    up once and its ids put at each place it stands. The words known stay with the worker. Words that differ in the case of ASCII letters, or in marks at
     their end, are encoded together. Strings of special tokens in a text are ordinary text.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,42 +49,59 @@ def token_bytes(tokenizer_file: str, end_id: int) -> Callable[[list[str]], list[
         return tokenizer
 
     whole, letters = load(), load()
-    # For words of small letters, which these steps would leave as they are.
+    # For words of small letters, which the other steps would leave as they are, many in one text.
     letters.normalizer = normalizers.Sequence([])
-    letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    end = array("I", [end_id]).tobytes()
-
-    def plain(word: str) -> bool:
-        return word.isalpha() and max(word) < "\u0250" and word == word.lower() and unicodedata.is_normalized("NFC", word)
+    letters.pre_tokenizer = pre_tokenizers.Sequence([
+        pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    ])
+    ends_word = np.zeros(whole.get_vocab_size() + 1, bool)
+    ends_word[[i for t, i in whole.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def encode_letters(words: list[str]) -> list[bytes]:
+        texts = [" ".join(words[i:i + 1000]) for i in range(0, len(words), 1000)]
+        encoded = [np.array(e.ids, "<u4") for e in letters.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *encoded])
+        cuts = [0, *(4 * (np.flatnonzero(ends_word[ids]) + 1)).tolist()]
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def encode_any(words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in whole.encode_batch_fast(words, add_special_tokens=False)]
 
     def fill(words: list[str], find: Callable[[str], bytes | None]) -> dict[str, bytes]:
-        found: dict[str, bytes | None] = {"": b""}
-        cut = []
-        for word in words:
-            ascii_ = word.isascii()
-            small = word.lower() if ascii_ else word
-            core = small.rstrip(TAIL)
-            tail = small[len(core):]
-            if tail and not (core and core[-1] < "\u0250" and core[-1].lower()[-1].isalnum()):
-                core, tail = small, ""
-            cut.append((core, tail))
-            if core not in found:
-                found[core] = find(core) if core != word else None
-            if tail not in found:
-                found[tail] = find(tail)
-        new = [p for p, ids in found.items() if ids is None]
-        simple = [p for p in new if (p.isalpha() if p.isascii() else plain(p))]
-        other = list(set(new).difference(simple))
-        for tokenizer, mine in ((letters, simple), (whole, other)):
-            encoded = tokenizer.encode_batch_fast(mine, add_special_tokens=False)
-            found.update((p, array("I", e.ids).tobytes()) for p, e in zip(mine, encoded))
-        found.update([(w, found[core] + found[tail] if tail else found[core]) for w, (core, tail) in zip(words, cut)])
-        return found
+        given = pa.array(words, pa.string())
+        latin = pc.match_substring_regex(given, LATIN)
+        small = pc.if_else(latin, pc.ascii_lower(given), given)
+        core = pc.utf8_rtrim(small, TAIL)
+        core = pc.if_else(pc.and_(latin, pc.match_substring_regex(core, r"[\pL\pN]$")), core, small)
+        coded = core.dictionary_encode()
+        cores = coded.dictionary.to_pylist()
+        ids = dict(zip(cores, map(find, cores)))
+        tails = [s[len(c):] for s, c in zip(small.to_pylist(), core.to_pylist())]
+        ids.update((t, find(t)) for t in set(tails) if t and t not in ids)
+        new = pa.array([c for c, i in ids.items() if i is None], pa.string())
+        simple = pc.and_(pc.match_substring_regex(new, LATIN), pc.match_substring_regex(new, r"^\p{Ll}+$"))
+        for mine, encode in ((new.filter(simple), encode_letters), (new.filter(pc.invert(simple)), encode_any)):
+            mine = mine.to_pylist()
+            ids.update(zip(mine, encode(mine), strict=True))
+        by_core = [ids[c] for c in cores]
+        places = coded.indices.to_numpy().tolist()
+        ids.update([(w, by_core[i] + ids[t] if t else by_core[i]) for w, i, t in zip(words, places, tails)])
+        return ids
 
     table = ChunkTable(fill)
 
-    def encode(texts: list[str]) -> list[bytes]:
-        return [ids + end for ids in table.joined([WORD.findall(t) for t in texts])]
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        known = table.ids(words.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        pool, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(lengths) - lengths
+        place = words.indices.to_numpy()
+        each = lengths[place]
+        ends = np.cumsum(each)
+        ids = pool[np.repeat(starts[place] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.concatenate(([0], ends))[lists.offsets.to_numpy()[1:]]
 
     return encode
 
@@ -97,18 +117,20 @@ def cut_pieces(documents: DataFrame, tokenizer_file: str, room: int, end_id: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # no cycles are made here, and the collector would walk the tables again and again
-        encode = token_bytes(tokenizer_file, end_id)
+        gc.disable()  # no cycles are made here, and the collector would walk the table again and again
+        encode = token_encoder(tokenizer_file)
         for batch in batches:
             doc_ids, rows, texts = (batch.column(c) for c in ("doc_id", "_row", "text"))
             lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            for a, b in slices(lengths, SLICE_CHARS):
-                found = encode([t or "" for t in texts[a:b].to_pylist()])
+            for a, b in slices(lengths, SLICE_BYTES):
+                ids, ends = encode(pc.fill_null(texts[a:b], ""))
+                ids = np.insert(ids, ends, end_id)
+                ends += np.arange(1, b - a + 1)
                 out: list[tuple] = []
-                for doc_id, row, ids in zip(doc_ids[a:b].to_pylist(), rows[a:b].to_pylist(), found):
-                    for at in range(0, len(ids), 4 * room):
-                        piece = ids[at: at + 4 * room]
-                        out.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, row, piece))
+                for doc_id, row, first, end in zip(doc_ids[a:b].to_pylist(), rows[a:b].to_pylist(), [0, *ends[:-1]], ends):
+                    for at in range(first, end, room):
+                        piece = ids[at: min(at + room, end)]
+                        out.append((doc_id, at - first, len(piece), zlib.crc32(piece), end - first, row, piece))
                 yield _piece_batch(out, with_ids)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("_row"))
@@ -120,7 +142,7 @@ def _piece_batch(out: list[tuple], with_ids: bool) -> pa.RecordBatch:
     columns = [pa.array([o[i] for o in out], pa.int64()) for i in range(6)]
     if with_ids:
         names.append("ids")
-        columns.append(pa.array([np.frombuffer(o[6], "<i4") for o in out], pa.list_(pa.int32())))
+        columns.append(pa.array([o[6].view("<i4") for o in out], pa.list_(pa.int32())))
     return pa.RecordBatch.from_arrays(columns, names)
 
 

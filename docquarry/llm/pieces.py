@@ -39,11 +39,10 @@ class ChunkTable:
         found = self.now.get(chunk)
         return self.older.get(chunk) if found is None else found
 
-    def joined(self, lists: list[list[str]]) -> list[bytes]:
-        """The ids of each list of chunks, one after the other."""
+    def ids(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk."""
         if len(self.now) > self.size:
             self.older, self.now = self.now, {}
-        chunks = list(chain.from_iterable(lists))
         ids = list(map(self.now.get, chunks))
         missing = {c for c, i in zip(chunks, ids) if i is None}
         if missing:
@@ -53,6 +52,11 @@ class ChunkTable:
                 self.now.update(self.fill(new, self.find))
             now = self.now
             ids = [now[c] if i is None else i for c, i in zip(chunks, ids)]
+        return ids
+
+    def joined(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of each list of chunks, one after the other."""
+        ids = self.ids(list(chain.from_iterable(lists)))
         ends = list(accumulate(map(len, lists), initial=0))
         return [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
 
