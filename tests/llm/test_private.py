@@ -88,6 +88,55 @@ def test_neighbours_are_told_apart(spark):
             assert (v in new) == (len(v) < 6), (v, new)
 
 
+def test_what_is_refused_hides_nothing(spark):
+    random.seed(7)
+    be, es, no, de = iban("BE", "539007547034"), iban("ES", "21000418450200051332"), iban("NO", "86011117947"), iban("DE", "370400440532013000")
+    spaced = lambda v: " ".join(re.findall(".{1,4}", v))
+    a, b = card("4"), card("5")
+    wrong = next(f"{n} {spaced(a)}" for n in range(1000, 9999) if not luhn(f"{n}{a[:12]}"))
+    # text, and the values in it that must go; all else must stay
+    rows = [
+        (f"{be} EUR", [be]), (f"{spaced(es)} BIC", [spaced(es)]), (f"{spaced(be)} 12 2024", [spaced(be)]), (f"{spaced(no)} 12", [spaced(no)]),
+        (f"{spaced(de)} {spaced(es)} 7", [spaced(de), spaced(es)]), (f"DE00 {spaced(a)} 12 x", [spaced(a)]), (wrong, [spaced(a)]),
+        (f"{wrong} {spaced(b)} 1", [spaced(a), spaced(b)]), ("1234 5678 9012 2024-01-15", ["2024-01-15"]), (f"BE00 {spaced(be)} X", [spaced(be)]),
+        ("+49 30 1234567 2024-01-15", ["+49 30 1234567", "2024-01-15"]), ("+44 20 7183 8750 12", ["+44 20 7183 8750"]),
+        ("+49 30 1234567 20240115", ["+49 30 1234567"]), (f"+49 30 1234567 {spaced(a)}", ["+49 30 1234567", spaced(a)]),
+        ("+49 30 1234567 (415) 555-0134", ["+49 30 1234567", "(415) 555-0134"]), ("+33 1 23 45 67 89 31.01.2024", ["+33 1 23 45 67 89", "31.01.2024"]),
+        ("x 31/01/2024 y 13/40/2024", ["31/01/2024"]), ("+44 (0)20 7183 8750.", ["+44 (0)20 7183 8750"]),
+        (f"a-{a}@x.org 2024-01-15", [f"a-{a}", "2024-01-15"]),
+    ]
+    for (text, values), found in zip(rows, [r["_found"] for r in pseudonymise(table(spark, [t for t, _ in rows])).orderBy("doc_id").collect()]):
+        assert [f["value"].removesuffix("@x.org") for f in found] == values, (text, found)
+    for (text, values), new in zip(rows, masked(spark, [t for t, _ in rows])):
+        assert "@" in text or shape(new) == shape(text), (text, new)
+        for v in values:
+            assert v not in new, (text, new)
+            text = text.replace(v, "\n", 1)
+        kept = [part for part in text.split("\n") if part.strip()]
+        assert all(part in new for part in kept), (kept, new)
+
+
+def test_the_same_number_before_a_number_stays_linked(spark):
+    a, b = masked(spark, ["+44 20 7183 8750 12", "+44 20 7183 8750"])
+    assert a == f"{b} 12"
+
+
+def test_day_first_dates_are_one_to_one(spark):
+    days = [datetime.date(1999, 1, 1) + datetime.timedelta(days=i) for i in range(0, 4000, 3)]
+    late = [d.strftime("%d/%m/%Y") for d in days if d.day > 12]
+    new = [t.split()[1] for t in masked(spark, [f"on {v} x" for v in late])]
+    assert len(set(new)) == len(late) and sum(a == b for a, b in zip(late, new)) <= 1
+    assert all(datetime.datetime.strptime(t, "%d/%m/%Y").day > 12 and 1600 <= int(t[-4:]) < 2000 or 2000 <= int(t[-4:]) < 2400 for t in new)
+
+
+def test_a_long_run_of_refused_cards(spark):
+    random.seed(8)
+    a = " ".join(re.findall("....", card("4")))
+    text = " ".join(["1000"] * 60_000) + " x " + a
+    row = pseudonymise(table(spark, [text])).collect()[0]
+    assert not luhn("1000" * 4) and [f["value"] for f in row["_found"]] == [a]
+
+
 def test_odd_rows(spark):
     df = with_extra(odd(spark))
     got = mask_private(df)
