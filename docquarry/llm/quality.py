@@ -38,8 +38,9 @@ def mask(rules: tuple[str, ...]) -> int:
 def _repeat_words(w: Column) -> Column:
     """How many words lie in a window of three that occurs twice or more in the text.
 
-    Windows are told apart by hash. Each becomes a long, the upper bits of its hash above its
-    position, so that one sort of longs brings equal windows together.
+    Each window becomes a long, the upper bits of its hash above its position, so that one sort of longs
+    brings equal windows together. The bits are fewer the longer the text, so those found are compared
+    word by word, and the count is exact at any length.
     """
     n = F.size(w)
     last = F.greatest(n - 3, F.lit(0))
@@ -57,7 +58,14 @@ def _repeat_words(w: Column) -> Column:
             twice = lambda i: ((i > 0) & (top(i) == top(i - 1))) | ((i < last) & (top(i) == top(i + 1)))
             found = F.filter(F.sequence(F.lit(0), last), twice)
             low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-            starts = F.transform(found, lambda i: F.get(p, i).bitwiseAND(low))
+            starts = F.transform(found, lambda i: F.get(p, i).bitwiseAND(low).cast("int"))
+            window = lambda s: F.struct(*[F.get(w, s + k).alias(f"w{k}") for k in range(3)])
+            return bind(F.sort_array(F.transform(starts, lambda s: F.struct(window(s).alias("w"), s.alias("s")))), same)
+
+        def same(q: Column) -> Column:
+            at = lambda i: F.get(q, i)["w"]
+            equal = lambda i: ((i > 0) & (at(i) == at(i - 1))) | ((i < F.size(q) - 1) & (at(i) == at(i + 1)))
+            starts = F.transform(F.filter(F.transform(q, lambda x, i: i), equal), lambda i: F.get(q, i)["s"])
             return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda s: F.array(s, s + 1, s + 2)))))
 
         return bind(F.sort_array(packed), repeated)

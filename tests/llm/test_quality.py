@@ -56,3 +56,12 @@ def test_keep_good_keeps_columns_and_rows(spark):
     kept = keep_good(df)
     assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == [1, 1]
     assert keep_good(table(spark, [])).count() == 0
+
+
+def test_millions_of_windows_are_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    # 5 million different words, the last three of which are the first
+    text = "concat_ws(' ', transform(sequence(1, 5000003), x -> conv(if(x > 5000000, x - 5000000, x), 10, 36)))"
+    row = ledger(spark.range(1).select("id", F.expr(text).alias("text"))).select("_quality.n_words", "_quality.n_repeat_words").collect()[0]
+    assert tuple(row) == (5_000_003, 6)
