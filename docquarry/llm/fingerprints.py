@@ -120,7 +120,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, as 16 hex digits, and their likeness.
 
     ``n_near`` counts, for the documents whose doc_id is divisible by 50, the other rows of the whole
-    table within the Hamming radius; for the rest it is null.
+    table within the Hamming radius; for the rest it is null. ``near`` has them by class, nearest first:
+    the distance, the fingerprint, the smallest doc_id that has it, and how many of the other rows have
+    it. The rows of the result with that fingerprint are the class.
     """
     texts = edited_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     versions = F.array(
@@ -139,14 +141,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     next_print = rows.groupBy(F.col("id").alias("next_id")).agg(F.min("fingerprint").alias("next_fingerprint"))
     asked = F.pmod(F.col("id"), F.lit(50)) == 0
-    weights = rows.groupBy("fingerprint").agg(F.sum("copies").alias("weight"))
-    near = near_fingerprints(rows.where(asked & (F.col("id") != NO_ID)), rows).join(weights, "fingerprint")
-    near = near.groupBy(F.col("query").alias("fingerprint")).agg((F.sum("weight") - 1).alias("_near"))
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    named = F.when(F.col("id") != NO_ID, F.col("id"))
+    weights = rows.groupBy("fingerprint").agg(F.sum("copies").alias("weight"), F.min(named).alias("first_id"))
+    near = near_fingerprints(rows.where(asked & (F.col("id") != NO_ID)), rows).join(weights, "fingerprint")
+    others = F.col("weight") - (F.col("distance") == 0).cast("long")
+    one = F.struct("distance", hexed("fingerprint").alias("fingerprint"), F.col("first_id").alias("doc_id"), others.alias("n_rows"))
+    near = near.groupBy(F.col("query").alias("fingerprint")).agg(
+        F.sum(others).alias("_near"), F.sort_array(F.collect_list(F.when(others > 0, one))).alias("_classes")
+    )
     return rows.join(next_print, "next_id").join(near, "fingerprint", "left").select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256",
         hexed("fingerprint").alias("fingerprint"), hexed("edited").alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-        F.when(asked & (F.col("id") != NO_ID), F.col("_near")).alias("n_near"), "copies",
+        F.when(asked & (F.col("id") != NO_ID), F.col("_near")).alias("n_near"),
+        F.when(asked & (F.col("id") != NO_ID), F.col("_classes")).alias("near"), "copies",
     ).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("_copy", "copies")

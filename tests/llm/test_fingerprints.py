@@ -79,6 +79,25 @@ def test_against_plain_python(spark, tmp_path, prose):
     check([(r["doc_id"], r["text"]) for r in df.collect()], op2_simhash(spark, store(with_extra(df), tmp_path)).collect())
 
 
+def test_partners_are_named(spark, tmp_path, prose):
+    df = table(spark, prose + prose[:3] + prose[:1], [*range(0, 430, 10), None])
+    found = op2_simhash(spark, store(df, tmp_path)).collect()
+    classes = {}
+    for r in found:
+        classes.setdefault(r["fingerprint"], []).append(r["doc_id"])
+    for r in found:
+        if r["n_near"] is None:
+            assert r["near"] is None
+            continue
+        a, want = int(r["fingerprint"], 16), []
+        for f, ids in classes.items():
+            n, distance = len(ids) - (f == r["fingerprint"]), (a ^ int(f, 16)).bit_count()
+            if distance <= 3 and n:
+                want.append((distance, f, min(i for i in ids if i is not None), n))
+        assert [tuple(x) for x in r["near"]] == sorted(want) and sum(x[3] for x in want) == r["n_near"]
+    assert {r["doc_id"]: [tuple(x)[2:] for x in r["near"] or []] for r in found}[0] == [(0, 2)]
+
+
 def test_odd_rows(spark, tmp_path):
     df = odd(spark)
     check([(r["doc_id"], r["text"]) for r in df.collect()], op2_simhash(spark, store(df, tmp_path)).collect())
