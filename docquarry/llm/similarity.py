@@ -282,7 +282,7 @@ def connected(postings: DataFrame, sets: DataFrame) -> DataFrame:
         comps = components(links if comps is None else links.unionByName(comps.select(F.col("key").alias("a"), F.col("comp").alias("b"))))
         before, now = now, now * GROWTH
         rest = rest.drop("comp").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    return comps if comps is not None else postings.select("key", F.col("key").alias("comp"))
+    return comps if comps is not None else postings.select("key", F.col("key").alias("comp")).distinct()
 
 
 def words_of(documents: DataFrame) -> DataFrame:

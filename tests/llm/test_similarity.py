@@ -112,3 +112,10 @@ def test_components(spark):
     nodes = {x for a, b in edges if a != b for x in (a, b)}
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in nodes)
+
+
+def test_a_near_miss_alone_repeats_no_row(spark):
+    # 100 shingles of 4 words within 125: similarity 0.80
+    words = [f"w{i}" for i in range(128)]
+    found = link_groups(table(spark, [" ".join(words), " ".join(words[:103])])).collect()
+    assert sorted(tuple(r) for r in found) == [(0, 125, 0), (1, 100, 1)]
