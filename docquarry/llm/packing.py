@@ -23,7 +23,11 @@ from docquarry.llm.pieces import ChunkTable, slices
 GROUP = 4096
 SEED = 11
 #: Bytes of text that a worker takes at once; a longer text by itself.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 3_000_000
+#: Words that a worker's table holds; twice as many at most, then the older half goes.
+TABLE_WORDS = 100_000
+#: New words encoded at once. The library's encodings take some hundred times the room of their ids.
+NEW_WORDS = 16_000
 
 
 #: Marks that a word may end with; they are tokens of their own after a letter or digit.
@@ -37,18 +41,16 @@ def token_encoder(tokenizer_file: str) -> Callable[[pa.Array], tuple[np.ndarray,
     """A function from texts to all their ids, one text after the other, and where each text's end.
 
     The tokenizer drops white space and no token crosses it, so each distinct word of a batch is looked
-    up once and its ids put at each place it stands. The words known stay with the worker. Words that differ in the case of ASCII letters, or in marks at
-    their end, are encoded together. Strings of special tokens in a text are ordinary text.
+    up once and its ids put at each place it stands. The words known stay with the worker, in a table of
+    bounded size. Words that differ in the case of ASCII letters, or in marks at their end, are encoded
+    together. Strings of special tokens in a text are ordinary text.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    def load() -> Tokenizer:
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        tokenizer.encode_special_tokens = True
-        return tokenizer
-
-    whole, letters = load(), load()
+    whole = Tokenizer.from_file(tokenizer_file)
+    whole.encode_special_tokens = True
+    letters = Tokenizer(whole.model)  # one vocabulary for both
     # For words of small letters, which the other steps would leave as they are, many in one text.
     letters.normalizer = normalizers.Sequence([])
     letters.pre_tokenizer = pre_tokenizers.Sequence([
@@ -60,7 +62,7 @@ def token_encoder(tokenizer_file: str) -> Callable[[pa.Array], tuple[np.ndarray,
     def encode_letters(words: list[str]) -> list[bytes]:
         texts = [" ".join(words[i:i + 1000]) for i in range(0, len(words), 1000)]
         encoded = [np.array(e.ids, "<u4") for e in letters.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.concatenate([np.zeros(0, "<u4"), *encoded])
+        ids = np.concatenate(encoded)
         cuts = [0, *(4 * (np.flatnonzero(ends_word[ids]) + 1)).tolist()]
         flat = ids.tobytes()
         return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
@@ -83,13 +85,15 @@ def token_encoder(tokenizer_file: str) -> Callable[[pa.Array], tuple[np.ndarray,
         simple = pc.and_(pc.match_substring_regex(new, LATIN), pc.match_substring_regex(new, r"^\p{Ll}+$"))
         for mine, encode in ((new.filter(simple), encode_letters), (new.filter(pc.invert(simple)), encode_any)):
             mine = mine.to_pylist()
-            ids.update(zip(mine, encode(mine), strict=True))
+            for at in range(0, len(mine), NEW_WORDS):
+                some = mine[at: at + NEW_WORDS]
+                ids.update(zip(some, encode(some), strict=True))
         by_core = [ids[c] for c in cores]
         places = coded.indices.to_numpy().tolist()
         ids.update([(w, by_core[i] + ids[t] if t else by_core[i]) for w, i, t in zip(words, places, tails)])
         return ids
 
-    table = ChunkTable(fill)
+    table = ChunkTable(fill, TABLE_WORDS)
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.ascii_split_whitespace(texts)
@@ -118,7 +122,13 @@ def cut_pieces(documents: DataFrame, tokenizer_file: str, room: int, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # no cycles are made here, and the collector would walk the table again and again
-        encode = token_encoder(tokenizer_file)
+        try:
+            yield from cut(batches, token_encoder(tokenizer_file))
+        finally:
+            gc.enable()
+            pa.default_memory_pool().release_unused()
+
+    def cut(batches: Iterator[pa.RecordBatch], encode) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_ids, rows, texts = (batch.column(c) for c in ("doc_id", "_row", "text"))
             lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

@@ -20,6 +20,8 @@ MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Marked words held by a worker; twice as many at most, then the older half goes.
 TABLE_SIZE = 300_000
+#: Characters of the marked words held, likewise; a few words may be as long as a text.
+TABLE_CHARS = 4_000_000
 #: Bytes of text that a worker takes at once; a longer text by itself.
 SLICE_CHARS = 2_000_000
 
@@ -32,6 +34,7 @@ class ChunkTable:
 
     def __init__(self, fill: Callable[[list[str], Callable[[str], bytes | None]], dict[str, bytes]], size: int = TABLE_SIZE):
         self.fill, self.size = fill, size
+        self.chars = 0
         self.now: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -41,13 +44,14 @@ class ChunkTable:
 
     def ids(self, chunks: list[str]) -> list[bytes]:
         """The ids of each chunk."""
-        if len(self.now) > self.size:
-            self.older, self.now = self.now, {}
+        if len(self.now) > self.size or self.chars > TABLE_CHARS:
+            self.older, self.now, self.chars = self.now, {}, 0
         ids = list(map(self.now.get, chunks))
         missing = {c for c, i in zip(chunks, ids) if i is None}
         if missing:
             kept = {c: i for c in missing if (i := self.older.get(c)) is not None}
             self.now.update(kept)
+            self.chars += sum(map(len, missing))
             if new := list(missing.difference(kept)):
                 self.now.update(self.fill(new, self.find))
             now = self.now
