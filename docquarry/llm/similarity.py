@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import ascii_lower, stage, word_hashes
+from docquarry.llm.common import ascii_lower, free_name, stage, word_hashes
 from docquarry.llm.lm import mixed
 
 SIZE = 4
@@ -321,14 +321,14 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """One row of each group of linked documents, in the columns they came with; of a row's repeats one too.
 
-    The first row in the order in which the stored table is read stays. ``documents`` must be read from
-    stored files, so that its rows are numbered alike each time.
+    The rows are numbered once and written with their numbers, so every later read meets the same ones,
+    however the tasks are split or run again. The row with the smallest number stays.
     """
-    rows = documents.withColumn("_row", F.monotonically_increasing_id())
-    groups = link_groups(rows.select(F.col("_row").alias("doc_id"), "text"))
-    others = stage(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_row")), "copies")
-    few = others.count() <= SENT_IDS
-    return rows.join(F.broadcast(others) if few else others, "_row", "left_anti").select(*documents.columns)
+    row = free_name(documents, "_row")
+    rows = stage(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = link_groups(rows.select(F.col(row).alias("doc_id"), "text"))
+    others = stage(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(row)), "copies")
+    return rows.join(others, row, "left_anti").select(*documents.columns)
 
 
 ORACLE = """

@@ -2,10 +2,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from docquarry.llm import similarity
-from docquarry.llm.similarity import components, link_groups, op6_jaccard_join
-from tests.llm.data import odd, store, table, with_extra
+from docquarry.llm.similarity import components, keep_one, link_groups, op6_jaccard_join
+from tests.llm.data import PROSE, odd, rows, store, table, with_extra
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -119,3 +120,20 @@ def test_a_near_miss_alone_repeats_no_row(spark):
     words = [f"w{i}" for i in range(128)]
     found = link_groups(table(spark, [" ".join(words), " ".join(words[:103])])).collect()
     assert sorted(tuple(r) for r in found) == [(0, 125, 0), (1, 100, 1)]
+
+
+def test_keep_one_keeps_the_same_rows_however_the_scans_are_split(spark, tmp_path):
+    """Rows are numbered once; later reads under another split of the files meet the same numbers."""
+    texts = [f"{PROSE} {i % 50} copy of text {i % 50}" for i in range(400)]
+    df = table(spark, texts).withColumns({"_row": F.lit("mine"), "__row": F.lit("too")})
+    df.repartition(8).write.parquet(f"{tmp_path}/t")
+    kept = keep_one(spark.read.parquet(f"{tmp_path}/t"))
+    found = []
+    for most in ("100", "1000000", "5000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        spark.conf.set("spark.sql.files.openCostInBytes", most)
+        found.append(rows(kept, "doc_id", "text", "_row", "__row"))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found[0] == found[1] == found[2]
+    assert sorted(r[1] for r in found[0]) == sorted(set(texts)) and {r[2:] for r in found[0]} == {("mine", "too")}
