@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import bind, feistel
+from docquarry.llm.common import bind, feistel, free_name
 
 KEY = "pseudonyms-1"
 ROUNDS = 8
@@ -383,25 +383,25 @@ def found_values(text: Column) -> Column:
     return F.flatten(F.zip_with(between, mails, lambda t, v: F.concat(scanned(t), mail(v))))
 
 
-def pseudonymise(documents: DataFrame) -> DataFrame:
-    """All columns and rows, the values in ``text`` replaced, with ``_found``: array<struct<kind, value, new>>, in order.
+def pseudonymise(documents: DataFrame, found: str = "_found") -> DataFrame:
+    """All columns and rows, the values in ``text`` replaced, with ``found``: array<struct<kind, value, new>>, in order.
 
     Each row by itself, no shuffle. Null texts stay null and have found nothing; a text without a valid
     value is unchanged. Values that overlap are taken from the left, after the addresses. Where a phone
     number's country has no one length, a separate number behind it that fits counts as part of it.
-    Only ``_found`` is a reserved name.
+    A column that has the name ``found`` is replaced; any other may occur.
     """
     text = F.col("text")
-    parts = documents.withColumn("_found", F.when(text.rlike(HINT), found_values(text)).otherwise(F.array().cast(SCANNED)))
-    woven = F.concat_ws("", F.flatten(F.transform("_found", lambda m: F.array(F.coalesce(m["new"], m["value"], F.lit("")), m["after"]))))
-    values = F.transform(F.filter("_found", lambda m: m["new"].isNotNull()), lambda m: F.struct(*[m[c].alias(c) for c in ("kind", "value", "new")]))
-    changed = F.exists(F.col("_found"), lambda m: m["new"].isNotNull())
-    return parts.withColumns({"text": F.when(changed, woven).otherwise(text), "_found": values})
+    parts = documents.withColumn(found, F.when(text.rlike(HINT), found_values(text)).otherwise(F.array().cast(SCANNED)))
+    woven = F.concat_ws("", F.flatten(F.transform(found, lambda m: F.array(F.coalesce(m["new"], m["value"], F.lit("")), m["after"]))))
+    values = F.transform(F.filter(found, lambda m: m["new"].isNotNull()), lambda m: F.struct(*[m[c].alias(c) for c in ("kind", "value", "new")]))
+    changed = F.exists(F.col(found), lambda m: m["new"].isNotNull())
+    return parts.withColumns({"text": F.when(changed, woven).otherwise(text), found: values})
 
 
 def mask_private(documents: DataFrame) -> DataFrame:
     """The documents with pseudonyms in their texts, in the columns they came with."""
-    return pseudonymise(documents).select(*documents.columns)
+    return pseudonymise(documents, free_name(documents, "_found")).select(*documents.columns)
 
 
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,8 +144,7 @@ def ablations(ledger_rows: DataFrame, policy: tuple[str, int]) -> DataFrame:
 
 def keep_good(documents: DataFrame, policy: tuple[str, int] = ("standard", 1)) -> DataFrame:
     """The documents that pass the policy, with the columns they came with."""
-    rows = ledger(documents)
-    return rows.where(passes(F.col("_quality.failed"), policy)).select(*documents.columns)
+    return documents.where(passes(judged(F.col("text"))["failed"], policy))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
