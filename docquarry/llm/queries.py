@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from docquarry.llm import chat, fingerprints, lm, packing, pieces, private, quality, secrets, sharding, similarity
+from docquarry.llm import (
+    bestfit, chat, fingerprints, lm, manifest, packing, pieces, private, quality, runs, secrets, sharding, similarity,
+)
 
 QUERIES = {
     "op1_pseudonyms": private.op1_pseudonyms,
@@ -15,5 +17,11 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_first_fit_packing": packing.op9_first_fit_packing,
     "op10_kneser_ney": lm.op10_kneser_ney,
+    "op11_best_fit_packing": bestfit.op11_best_fit_packing,
+    "op12_merkle_manifest": manifest.op12_merkle_manifest,
+    "op13_periodic_runs": runs.op13_periodic_runs,
+}
+ORACLE = {
+    "op5_reply_trees": chat.ORACLE, "op6_jaccard_join": similarity.ORACLE, "op8_quality_rules": quality.ORACLE,
+    "op12_merkle_manifest": manifest.ORACLE,
 }
-ORACLE = {"op5_reply_trees": chat.ORACLE, "op6_jaccard_join": similarity.ORACLE, "op8_quality_rules": quality.ORACLE}
