@@ -82,11 +82,14 @@ def cite_texts(
     return _cited(found.withColumn("passage", F.substring("_text", start + 1, F.lit(size))), question_key, keys)
 
 
-def question_context(cited: DataFrame, budget: int, question_key: str = "question_id") -> DataFrame:
+def question_context(
+    cited: DataFrame, budget: int, question_key: str = "question_id", questions: DataFrame | None = None,
+) -> DataFrame:
     """The best passages of each question, in rank order, up to ``budget`` characters in all.
 
     A question whose best passage is longer than the budget stays, with no passages and an empty
-    context. A passage that fits has a character at least, so only the first ``budget`` ranks can fit:
+    context; so does, where ``questions`` are given, one that has no hit: each of their rows has one
+    here. A passage that fits has a character at least, so only the first ``budget`` ranks can fit:
     filtering on them first changes nothing and bounds what is gathered for a question.
     """
     size = F.coalesce(F.length("passage"), F.lit(0))
@@ -95,8 +98,13 @@ def question_context(cited: DataFrame, budget: int, question_key: str = "questio
     kept = (size > 0) & (F.col("so_far") <= budget)
     entries = F.array_sort(F.collect_list(F.when(kept, F.struct("rank", "citation", "passage"))))
     text = F.transform("entries", lambda e: F.concat(F.lit("["), e["citation"].cast("string"), F.lit("] "), e["passage"]))
-    return (
+    found = (
         ranked.groupBy(question_key)
         .agg(entries.alias("entries"), F.coalesce(F.max(F.when(kept, F.col("so_far"))), F.lit(0)).alias("characters"))
         .select(question_key, F.size("entries").alias("passages"), "characters", F.array_join(text, "\n").alias("context"))
     )
+    if questions is None:
+        return found
+    empty = {"passages": F.lit(0), "characters": F.lit(0).cast("long"), "context": F.lit("")}
+    every = questions.select(question_key).join(found, question_key, "left")
+    return every.select(question_key, *[F.coalesce(c, none).alias(c) for c, none in empty.items()])

@@ -65,7 +65,7 @@ def extractive_summaries(
 ) -> DataFrame:
     """The ``n`` most informative sentences of each document, in text order, as ``summary``.
 
-    A document without sentences has an empty summary. A sentence scores the sum of its term weights
+    A document without sentences, its text null or empty, has an empty summary. A sentence scores the sum of its term weights
     over the square root of its number of terms; the earlier one wins a tie. Weights are hashed, and
     fitted on ``documents`` unless given: an array of fixed size, with which scoring and picking stay
     inside the row.
@@ -87,7 +87,7 @@ def extractive_summaries(
         starts = pa.array((offsets - offsets[0]).astype(np.int32))
         return pa.ListArray.from_arrays(starts, pa.array(scores))
 
-    cut = documents.where(F.col(text).isNotNull()).select(key, sentences(F.col(text)).alias("cut"))
+    cut = documents.select(key, sentences(F.coalesce(F.col(text), F.lit(""))).alias("cut"))
     buckets = F.transform("cut", lambda s: term_buckets(s, len(idf)))
     scored = cut.withColumn("scores", score(buckets))
     ranked = F.array_sort(

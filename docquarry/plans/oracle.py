@@ -168,10 +168,13 @@ cited AS (
          doc_id, chunk_no, d.source AS title, start, score, substring(passage, 1, 160) AS snippet, passage
   FROM firsts JOIN chunks USING (doc_id, chunk_no) JOIN documents d USING (doc_id))"""
 
-ANSWERS = f"""{_retrieval("SELECT item_id AS question_id, text FROM benchmark", 5)},
+QUESTIONS = """SELECT item_id AS question_id,
+  CASE WHEN item_id % 9 = 4 THEN '???' WHEN item_id % 7 <> 3 THEN text END AS text FROM benchmark"""
+
+ANSWERS = f"""{_retrieval(QUESTIONS, 5)},
 {_CITED}"""
 
-TWO_CITED = f"""{_retrieval("SELECT item_id AS question_id, text FROM benchmark", 2)},
+TWO_CITED = f"""{_retrieval(QUESTIONS, 2)},
 {_CITED}"""
 
 
@@ -215,16 +218,17 @@ SELECT doc_id, round({score}, 6) AS score FROM counted, totals WHERE {hit} ORDER
 
 
 SUMMARIES = f"""
-WITH cut AS (
+WITH gappy AS (SELECT doc_id, CASE WHEN doc_id % 11 <> 5 THEN text END AS text FROM documents),
+cut AS (
   SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), lambda s: trim(s)),
-                             lambda s: s <> '') AS cut FROM documents),
+                             lambda s: s <> '') AS cut FROM gappy),
 df AS (
-  SELECT bucket, count(*) AS n FROM (SELECT unnest(list_distinct({_buckets("text", 65536)})) AS bucket FROM documents)
+  SELECT bucket, count(*) AS n FROM (SELECT unnest(list_distinct({_buckets("text", 65536)})) AS bucket FROM gappy)
   GROUP BY bucket),
 sentences AS (SELECT doc_id, unnest(cut) AS sentence, unnest(range(1, len(cut) + 1)) AS pos FROM cut),
 hits AS (SELECT doc_id, pos, unnest({_buckets("sentence", 65536)}) AS bucket FROM sentences),
 scores AS (
-  SELECT doc_id, pos, round(sum(ln(((SELECT count(*) FROM documents) + 1) / (n + 1))) / sqrt(count(*)), 6) AS score
+  SELECT doc_id, pos, round(sum(ln(((SELECT count(text) FROM gappy) + 1) / (n + 1))) / sqrt(count(*)), 6) AS score
   FROM hits JOIN df USING (bucket) GROUP BY ALL),
 best AS (
   SELECT doc_id, pos, sentence FROM sentences LEFT JOIN scores USING (doc_id, pos)
@@ -440,10 +444,10 @@ SELECT doc_id, chunk_no, CAST(bucket AS INTEGER) AS bucket, round(w, 4) AS weigh
     "question_context": f"""
 WITH {ANSWERS},
 summed AS (SELECT *, sum(length(passage)) OVER (PARTITION BY question_id ORDER BY rank) AS so_far FROM cited)
-SELECT question_id, CAST(count(*) FILTER (so_far <= 700) AS INTEGER) AS passages,
+SELECT item_id AS question_id, CAST(count(*) FILTER (so_far <= 700) AS INTEGER) AS passages,
        CAST(coalesce(max(so_far) FILTER (so_far <= 700), 0) AS BIGINT) AS characters,
        coalesce(string_agg('[' || citation || '] ' || passage, chr(10) ORDER BY rank) FILTER (so_far <= 700), '') AS context
-FROM summed GROUP BY question_id""",
+FROM benchmark LEFT JOIN summed ON question_id = item_id GROUP BY item_id""",
     "conversation_threads": """
 SELECT conv_id, turn // 4 AS page, CAST(count(*) OVER (PARTITION BY conv_id, turn // 4) AS INTEGER) AS n_turns,
        turn, role, text FROM conversations""",
@@ -468,7 +472,7 @@ failed AS (SELECT line, doc_id, copy, {MANIFEST_ERRORS} AS fields FROM twice)
 SELECT line, CASE WHEN fields <> '' THEN 'rejected' WHEN copy = 2 OR doc_id % 5 = 0 THEN 'repeated' ELSE 'accepted' END AS outcome,
        fields FROM failed""",
     "stream_latest_state": f"""
-WITH {KEYLESS}, {LOG.replace("FROM events", "FROM keyless WHERE user_id IS NOT NULL").replace('ORDER BY "updatedAt" DESC, seq DESC', 'ORDER BY "updatedAt" DESC NULLS LAST, seq DESC')}
+WITH {KEYLESS}, {LOG.replace("FROM events", "FROM keyless").replace('ORDER BY "updatedAt" DESC, seq DESC', 'ORDER BY "updatedAt" DESC NULLS LAST, seq DESC')}
 SELECT * FROM newest""",
     "stream_dedup_uploads": f"""
 WITH {KEYLESS}

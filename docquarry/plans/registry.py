@@ -414,7 +414,8 @@ def term_search(spark, sf):
 
 @query
 def extractive_summaries(spark, sf):
-    found = terms.extractive_summaries(given.texts(spark, sf), n=3)
+    """Of all texts, some of which are null."""
+    found = terms.extractive_summaries(given.gappy_texts(spark, sf), n=3)
     return found.select(
         "doc_id",
         F.array_join("summary", " ").alias("summary"),
@@ -501,8 +502,8 @@ def cite_sources(spark, sf):
 
 @query
 def question_context(spark, sf):
-    """With a budget that some best passages exceed."""
-    return answers.question_context(_answers(spark, sf), budget=700)
+    """With a budget that some best passages exceed; questions without a word, or null, have an empty context."""
+    return answers.question_context(_answers(spark, sf), budget=700, questions=given.benchmark_questions(spark, sf))
 
 
 # -- conversations and usage -------------------------------------------------------------------------
@@ -569,7 +570,8 @@ def stream_validate_uploads(spark, sf):
 
 @query
 def stream_latest_state(spark, sf):
-    log = given.log_columns(given.event_stream(spark, sf)).where(F.col("id").isNotNull())
+    """Changes without an id are one document of their own, the newest of them its state."""
+    log = given.log_columns(given.event_stream(spark, sf))
     return state.stream_latest_state(log, *_places(spark, "states"), "id", "updatedAt", "seq")
 
 

@@ -242,8 +242,16 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").withColumnRenamed("embedding", "vector")
 
 
+def gappy_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts, every eleventh null."""
+    return texts(spark, sf).withColumn("text", F.when(F.col("doc_id") % 11 != 5, F.col("text")))
+
+
 def benchmark_questions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").withColumnRenamed("item_id", "question_id")
+    """Benchmark texts as questions, every ninth without a word and every seventh null."""
+    number = F.col("item_id")
+    text = F.when(number % 9 == 4, "???").when(number % 7 != 3, F.col("text"))
+    return table(spark, sf, "benchmark").select(number.alias("question_id"), text.alias("text"))
 
 
 def conversation_questions(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +38,14 @@ def drain(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoin
 
 
 def written_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All rows the batches wrote, with their ``batch_id``."""
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
+    """All rows the batches wrote, with their ``batch_id``; none if no batch has run, as the source was empty."""
+    numbered = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    try:
+        return spark.read.schema(numbered).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], numbered)
 
 
 def fold_batches(

@@ -8,6 +8,7 @@ from docquarry.operators.usage import monthly_quota
 from docquarry.plans import standins
 from docquarry.session import shared_path
 from docquarry.streaming.quota import stream_quota, stream_quota_events
+from docquarry.streaming.seen import covering, keep_keys, seen_keys, span
 from docquarry.streaming.state import stream_latest_state
 from docquarry.streaming.uploads import stream_dedup_uploads, stream_upload_manifests, stream_validate_uploads
 
@@ -112,3 +113,57 @@ def test_state_resumes_and_late_rows_stay(spark, tmp_path):
             want[r[0]] = r
         assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, want.values()))
         assert sorted(str(r.id) for r in seen.collect()) == sorted(str(k) for k in want)
+
+
+STREAMS = {
+    "validate": lambda s, p, c: stream_validate_uploads(s.selectExpr("id AS fileName", "seq AS fileSize", "status AS mimeType"), p, c, key="fileName"),
+    "validate_without_key": lambda s, p, c: stream_validate_uploads(s.selectExpr("id AS fileName", "seq AS fileSize", "status AS mimeType"), p, c),
+    "state": lambda s, p, c: stream_latest_state(s, p, c, "id", "seq"),
+    "dedup": lambda s, p, c: stream_dedup_uploads(s, p, c, key="id", moment="seq"),
+    "quota": lambda s, p, c: stream_quota(s, 1, p, c, account="id", moment="ts"),
+    "quota_events": lambda s, p, c: stream_quota_events(s, 1, p, c, account="id", moment="ts", key="seq"),
+}
+
+
+@pytest.mark.parametrize("name", list(STREAMS))
+def test_a_stream_may_start_before_its_first_file(spark, tmp_path, name):
+    """No rows while the folder is empty, then those of the files that have come."""
+    source = tmp_path / "in"
+    source.mkdir()
+    schema = "id string, seq bigint, status string, ts timestamp_ntz"
+    path, checkpoint = places(spark)
+
+    def run():
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        return STREAMS[name](rows, path, checkpoint)
+
+    nothing = run()
+    assert nothing.count() == 0
+    given = [("a", 1, "text/plain", "2024-01-01 00:00:00"), ("b", 2, "text/plain", "2024-01-02 00:00:00")]
+    for row in given:
+        spark.createDataFrame([row], "id string, seq bigint, status string, t string").selectExpr(
+            "id", "seq", "status", "CAST(t AS timestamp_ntz) AS ts").coalesce(1).write.mode("append").parquet(str(source))
+    found = run()
+    assert found.columns == nothing.columns and found.count() == 2
+    assert run().count() == 2
+
+
+def test_folders_hold_each_batch_once():
+    for last in range(0, 1300):
+        held = [b for n in covering(last) for b in range(n - span(n) + 1, n + 1)]
+        assert sorted(held) == list(range(last + 1))
+        assert len(covering(last)) <= 9 * len(str(last)) + 1
+
+
+def test_a_batch_reads_the_buckets_it_meets(spark):
+    path = shared_path(spark, "keys")
+    many = [spark.range(100 * n, 100 * n + 100).select(F.col("id").cast("string").alias("k")) for n in range(12)]
+    for n, keys in enumerate(many):
+        keep_keys(keys, path, n, "k")
+    batch = spark.createDataFrame([("5",), ("1105",), ("new",), (None,)], "k string")
+    found = seen_keys(batch, path, 12, "k")
+    assert {"5", "1105"} <= {r.k for r in found.collect()} and found.count() < 60
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    every = spark.range(1200).select(F.col("id").cast("string").alias("k"))
+    assert sorted(r.k for r in seen_keys(every, path, 12, "k").collect()) == sorted(r.k for r in every.collect())
