@@ -23,7 +23,7 @@ from docquarry.llm.pieces import ChunkTable, slices
 GROUP = 4096
 SEED = 11
 #: Bytes of text that a worker takes at once; a longer text by itself.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 6_000_000
 #: Words that a worker's table holds; twice as many at most, then the older half goes.
 TABLE_WORDS = 100_000
 #: New words encoded at once. The library's encodings take some hundred times the room of their ids.
@@ -76,21 +76,23 @@ def token_encoder(tokenizer_file: str) -> Callable[[pa.Array], tuple[np.ndarray,
         small = pc.if_else(latin, pc.ascii_lower(given), given)
         core = pc.utf8_rtrim(small, TAIL)
         core = pc.if_else(pc.and_(latin, pc.match_substring_regex(core, r"[\pL\pN]$")), core, small)
-        coded = core.dictionary_encode()
-        cores = coded.dictionary.to_pylist()
-        ids = dict(zip(cores, map(find, cores)))
-        tails = [s[len(c):] for s, c in zip(small.to_pylist(), core.to_pylist())]
-        ids.update((t, find(t)) for t in set(tails) if t and t not in ids)
-        new = pa.array([c for c, i in ids.items() if i is None], pa.string())
+        own = pc.equal(core, given)
+        ids: dict[str, bytes | None] = {}
+        others, smalls, cores = (x.filter(pc.invert(own)).to_pylist() for x in (given, small, core))
+        tails = [s[len(c):] for s, c in zip(smalls, cores)]
+        plain = given.filter(own)
+        known = set(plain.to_pylist())
+        for c in {*cores, *tails}.difference(known):
+            if c:
+                ids[c] = find(c)
+        new = pa.chunked_array([plain, pa.array([c for c, i in ids.items() if i is None], pa.string())])
         simple = pc.and_(pc.match_substring_regex(new, LATIN), pc.match_substring_regex(new, r"^\p{Ll}+$"))
         for mine, encode in ((new.filter(simple), encode_letters), (new.filter(pc.invert(simple)), encode_any)):
             mine = mine.to_pylist()
             for at in range(0, len(mine), NEW_WORDS):
                 some = mine[at: at + NEW_WORDS]
                 ids.update(zip(some, encode(some), strict=True))
-        by_core = [ids[c] for c in cores]
-        places = coded.indices.to_numpy().tolist()
-        ids.update([(w, by_core[i] + ids[t] if t else by_core[i]) for w, i, t in zip(words, places, tails)])
+        ids.update([(w, ids[c] + ids[t] if t else ids[c]) for w, c, t in zip(others, cores, tails)])
         return ids
 
     table = ChunkTable(fill, TABLE_WORDS)
