@@ -436,6 +436,9 @@ WITH {CHUNKS}, {WEIGHTS}, {_vectors("cv", "chunks", "doc_id, chunk_no", "passage
 SELECT doc_id, chunk_no, CAST(bucket AS INTEGER) AS bucket, round(w, 4) AS weight FROM cv WHERE w <> 0""",
     "semantic_top_k": NEIGHBOURS.format(condition="TRUE"),
     "semantic_top_k_blocks": NEIGHBOURS.format(condition="TRUE"),
+    "cell_search": f"SELECT * FROM ({NEIGHBOURS.format(condition='TRUE')}) WHERE rank = 1",
+    "cell_search_all": NEIGHBOURS.format(condition="TRUE"),
+    "cell_search_recall": "SELECT count(*) * least(5, count(*)) AS wanted, TRUE AS enough FROM embeddings",
     "scoped_search": NEIGHBOURS.format(condition="q.label = 0 OR q.label = p.label"),
     "scoped_search_blocks": NEIGHBOURS.format(condition="q.label = 0 OR q.label = p.label"),
     "answer_questions": f"WITH {ANSWERS} SELECT * FROM cited",

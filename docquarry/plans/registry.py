@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.uploads import object_key, row_id
-from docquarry.operators import answers, catalog, parts, passages, retrieval, sessions, terms, threads, usage, validation
+from docquarry.operators import answers, catalog, cells, parts, passages, retrieval, sessions, terms, threads, usage, validation
 from docquarry.operators.vectors import embed_chunks as embed
 from docquarry.plans import standins as given
 from docquarry.plans.accounts import log_in, sign_up
@@ -450,6 +450,39 @@ def semantic_top_k_blocks(spark, sf):
     return _neighbours(spark, sf, block_questions=200)
 
 
+#: The given vectors lie nearly at random, so that their neighbours lie in many cells.
+CELLS, PROBES = 32, 20
+
+
+def _cell_index(spark, sf):
+    return cells.build_cells(given.vectors(spark, sf), shared_path(spark, "cells"), CELLS, ["vec_id"])
+
+
+def _cell_hits(spark, sf, probes, **options):
+    index = _cell_index(spark, sf)
+    asked = given.vectors(spark, sf).withColumnRenamed("vec_id", "question_id")
+    return cells.search_cells(asked, index, 5, probes, keys=["vec_id"], **options)
+
+
+@query
+def cell_search(spark, sf):
+    """For every vector, the nearest that its cells hold: itself, or an equal one."""
+    return _cell_hits(spark, sf, PROBES, block_questions=500).where(F.col("rank") == 1)
+
+
+@query
+def cell_search_recall(spark, sf):
+    """How many of every vector's five nearest its cells hold, against the search of all."""
+    found = cells.recall(_cell_hits(spark, sf, PROBES), _neighbours(spark, sf), "question_id", ["vec_id"])
+    return found.select("wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query
+def cell_search_all(spark, sf):
+    """With all cells asked the search is exact."""
+    return _cell_hits(spark, sf, CELLS)
+
+
 def _neighbours_in_scope(spark, sf, **options):
     vectors = given.vectors(spark, sf).withColumnRenamed("label", "workspace")
     place = F.when(F.col("workspace") != 0, F.col("workspace")).alias("workspace")
