@@ -237,6 +237,25 @@ SELECT doc_id, coalesce(string_agg(sentence, ' ' ORDER BY pos), '') AS summary,
        coalesce(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos), '') AS positions
 FROM documents LEFT JOIN best USING (doc_id) GROUP BY doc_id"""
 
+def _term_list(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({text}), '{TERM_BREAK}'), lambda t: t <> '')"
+
+
+BEST_BY_TERMS = f"""
+WITH gappy AS (SELECT doc_id, CASE WHEN doc_id % 11 <> 5 THEN text END AS text FROM documents),
+found AS (SELECT doc_id, coalesce({_term_list("text")}, []) AS found FROM gappy),
+totals AS (SELECT count(*) AS n, avg(len(found)) AS mean FROM found),
+tf AS (SELECT doc_id, len(found) AS length, term, count(*) AS c
+       FROM (SELECT doc_id, found, unnest(found) AS term FROM found) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (SELECT DISTINCT question_id, unnest({_term_list("text")}) AS term FROM ({QUESTIONS})),
+scores AS (
+  SELECT question_id, doc_id,
+         round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+  FROM asked JOIN tf USING (term) JOIN df USING (term), totals GROUP BY question_id, doc_id)
+SELECT question_id, doc_id, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+FROM scores QUALIFY rank <= 10"""
+
 KEYLESS = """keyless AS (
   SELECT event_id, CASE WHEN event_type <> 'purchase' OR value >= 10 THEN user_id END AS user_id,
          CASE WHEN event_type <> 'click' OR value >= 5 THEN ts END AS ts, event_type, value, props FROM events)"""
@@ -430,6 +449,7 @@ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS passage,
              unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents)
 WHERE regexp_matches(passage, '\S')""",
     "term_search": _bm25(),
+    "search_postings": BEST_BY_TERMS,
     "extractive_summaries": SUMMARIES,
     "embed_chunks": f"""
 WITH {CHUNKS}, {WEIGHTS}, {_vectors("cv", "chunks", "doc_id, chunk_no", "passage")}

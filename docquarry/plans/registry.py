@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.uploads import object_key, row_id
-from docquarry.operators import answers, catalog, cells, parts, passages, retrieval, sessions, terms, threads, usage, validation
+from docquarry.operators import answers, catalog, cells, parts, passages, postings, retrieval, sessions, terms, threads, usage, validation
 from docquarry.operators.vectors import embed_chunks as embed
 from docquarry.plans import standins as given
 from docquarry.plans.accounts import log_in, sign_up
@@ -412,6 +412,13 @@ def term_search(spark, sf):
     return terms.term_search(given.texts(spark, sf), WORDS, k=50)
 
 
+@query
+def search_postings(spark, sf):
+    """The ten best documents for the words of each benchmark text, from a stored index of all texts."""
+    index = postings.build_postings(given.gappy_texts(spark, sf), shared_path(spark, "postings"), block=256)
+    return postings.search_postings(given.benchmark_questions(spark, sf), index, 10, query_key="question_id", first=2)
+
+
 @query
 def extractive_summaries(spark, sf):
     """Of all texts, some of which are null."""

@@ -1,0 +1,128 @@
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from docquarry.operators import postings
+from docquarry.operators.postings import build_postings, query_terms, read_postings, search_postings, terms_with_counts
+from docquarry.operators.terms import term_search
+from docquarry.session import shared_path
+
+
+def table(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+
+
+def queries(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+
+
+def words(text):
+    return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+
+
+def brute(docs, asked, k):
+    found = [Counter(words(t)) for t in docs]
+    lengths = [sum(c.values()) for c in found]
+    mean = sum(lengths) / len(docs) or 1.0
+    rows = []
+    for q, text in enumerate(asked):
+        scores = []
+        for d, counts in enumerate(found):
+            s, hit = 0.0, False
+            for w in dict.fromkeys(words(text)):
+                if counts[w]:
+                    df = sum(w in c for c in found)
+                    s += math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * counts[w] * 2.2 / (counts[w] + 1.2 * (0.25 + 0.75 * lengths[d] / mean))
+                    hit = True
+            if hit:
+                scores.append((-round(s, 6), d))
+        rows += [(q, i, d, -s) for i, (s, d) in enumerate(sorted(scores)[:k], 1)]
+    return rows
+
+
+def hits(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def same(found, want):
+    assert [r[:3] for r in found] == [r[:3] for r in want]
+    assert all(a[3] == pytest.approx(b[3], abs=2e-6) for a, b in zip(found, want))
+
+
+def collection(n, seed):
+    rng = random.Random(seed)
+    pick = lambda: f"w{min(int(rng.paretovariate(0.7)), 400)}"
+    return [" ".join(["the"] + [pick() for _ in range(rng.randrange(1, 60))]) for _ in range(n)]
+
+
+@pytest.mark.parametrize("block, first", [(1_000, 1), (16, 1), (16, 3)])
+def test_against_brute_force(spark, block, first):
+    docs = [*collection(240, 1), None, "", "?!", "Only-Here only_here ONLY here", *["the same words"] * 20]
+    asked = ["w1 w2 w3", "the", "w399 w7 w1 the w1", "only here", "nothing known", "", None, "same same words", "W5, W6!"]
+    index = build_postings(table(spark, docs), shared_path(spark, "postings"), block=block)
+    for k in (1, 5, 400):
+        same(hits(search_postings(queries(spark, asked), index, k, first=first)), brute(docs, asked, k))
+
+
+def test_equals_the_search_without_an_index(spark):
+    docs = collection(150, 3)
+    index = build_postings(table(spark, docs), shared_path(spark, "postings"), block=32)
+    found = search_postings(queries(spark, ["w3 w9 the"]), index, 20)
+    plain = term_search(table(spark, docs), ["w3", "w9", "the"], 20)
+    assert sorted((r.doc_id, r.score) for r in found.collect()) == sorted((r.doc_id, r.score) for r in plain.collect())
+
+
+def test_counts_of_terms(spark):
+    rows = [["b", "a", "b", "c", "b"], [], ["x"], ["x", "x"]]
+    df = spark.createDataFrame([(r,) for r in rows], "found array<string>").select("found", terms_with_counts("found").alias("t"))
+    assert all(Counter(r.found) == {t.term: t["count"] for t in r.t} for r in df.collect())
+
+
+def test_blocks_below_the_best_are_not_read(spark):
+    """A rare word in a few documents: their blocks are scored, those that only have the common word are not."""
+    docs = [f"common filler{i % 7}" for i in range(400)] + ["rare common rare"] * 5
+    index = build_postings(table(spark, docs), shared_path(spark, "postings"), block=8)
+    read, blocks = [], index.postings.select("block").distinct().count()
+    original = postings._scored
+
+    def watched(parts, asked, lists):
+        read.append(parts.count())
+        return original(parts, asked, lists)
+
+    postings._scored = watched
+    try:
+        found = hits(search_postings(queries(spark, ["rare common"]), index, 1, first=2))
+    finally:
+        postings._scored = original
+    assert [r[2] for r in found] == [400]
+    assert blocks > 30 and sum(read) <= 8
+
+
+def test_no_text_is_read_and_only_asked_buckets(spark):
+    index = build_postings(table(spark, collection(100, 5)), shared_path(spark, "postings"), block=16)
+    found = search_postings(queries(spark, ["w1 w2"]), index, 3)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in text.split("\n") if "FileScan parquet" in line]
+    assert scans and not any("text:string" in line for line in scans)
+    assert "PartitionFilters: [isnotnull(bucket" in text or "bucket#" in text and "PartitionFilters: [bucket" in text
+
+
+def test_lists_are_bounded_whatever_is_frequent(spark):
+    index = build_postings(table(spark, ["hot"] * 2_000 + ["cold"] * 10), shared_path(spark, "postings"), block=64)
+    sizes = index.postings.where("term = 'hot'").agg(F.max(F.size("list")), F.sum("n"), F.count("*")).first()
+    assert sizes[0] < 128 and sizes[1] == 2_000 and sizes[2] > 20
+
+
+def test_no_documents_and_no_queries(spark):
+    empty = build_postings(table(spark, [None])[["doc_id", "text"]].limit(0), shared_path(spark, "postings"))
+    assert search_postings(queries(spark, ["a"]), empty, 3).count() == 0
+    path = shared_path(spark, "postings")
+    build_postings(table(spark, ["a b"]), path)
+    again = read_postings(spark, path)
+    assert search_postings(queries(spark, ["a"]).limit(0), again, 3).count() == 0
+    assert hits(search_postings(queries(spark, ["b", None]), again, 3)) == [(0, 1, 0, round(math.log(1 + 0.5 / 1.5), 6))]
+    assert query_terms(queries(spark, ["b a B"]), "query_id", "text").count() == 2
