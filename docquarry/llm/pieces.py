@@ -22,6 +22,8 @@ CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 TABLE_SIZE = 300_000
 #: Characters of the marked words held, likewise; a few words may be as long as a text.
 TABLE_CHARS = 4_000_000
+#: Words that are segmented at once.
+NEW = 50_000
 #: Bytes of text that a worker takes at once; a longer text by itself.
 SLICE_CHARS = 2_000_000
 
@@ -52,8 +54,9 @@ class ChunkTable:
             kept = {c: i for c in missing if (i := self.older.get(c)) is not None}
             self.now.update(kept)
             self.chars += sum(map(len, missing))
-            if new := list(missing.difference(kept)):
-                self.now.update(self.fill(new, self.find))
+            new = list(missing.difference(kept))
+            for at in range(0, len(new), NEW):
+                self.now.update(self.fill(new[at: at + NEW], self.find))
             now = self.now
             ids = [now[c] if i is None else i for c, i in zip(chunks, ids)]
         return ids
