@@ -172,8 +172,9 @@ def merkle_manifest(documents: DataFrame) -> DataFrame:
         none = F.lit(None).cast("string")
         return own.select("doc_id", "leaf", none.alias("subroot"), none.alias("root"), none.alias("proof_sha256"),
                           none.alias("folded_root"), F.lit(None).cast("boolean").alias("verified"))
-    ranked = ranked.select(F.lit(0).alias("_all"), F.col("_row").alias("_at"), "_digest", "source")
-    over, roots = tree(ranked, "_all", heights(subroots, F.lit(0)))
+    # written, so that the one group is met as a key like any other
+    ranked = stage(ranked.select(F.lit(0).alias("_all"), F.col("_row").alias("_at"), "_digest", "source"), "subroots")
+    over, roots = tree(ranked, "_all", heights(ranked, F.col("_all")))
     root = roots.first()["_top"]
     start = over[-1].select("_group", F.array().cast(PATH).alias("_path"), F.lit(root).alias("_subroot"))
     high = descend(over, start)
