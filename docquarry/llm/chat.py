@@ -37,12 +37,15 @@ def ancestor_tables(nodes: DataFrame) -> list[DataFrame]:
     """For k = 0, 1, ...: (node, up), up being 2^k replies above node; rows only where there is one.
 
     Each table is the one before joined with itself, so a tree of depth d takes log d joins. A parent
-    that is not among the nodes makes its reply a root.
+    that is not among the nodes makes its reply a root. No way up is longer than the number of replies;
+    replies that go round in a cycle are reported as a ValueError with some of the nodes that don't end.
     """
     known = nodes.select(F.col("node").alias("up"))
     table = stage(nodes.where(F.col("parent").isNotNull()).select("node", F.col("parent").alias("up")).join(known, "up", "left_semi").select("node", "up"), "ancestors")
-    tables = []
+    replies, tables = table.count(), []
     while not table.isEmpty():
+        if 1 << len(tables) > replies:
+            raise ValueError(f"replies go round in a cycle; among others above nodes {[r['node'] for r in table.select('node').take(5)]}")
         tables.append(table)
         above = table.select(F.col("node").alias("up"), F.col("up").alias("_next"))
         table = stage(table.join(above, "up").select("node", F.col("_next").alias("up")), "ancestors")
@@ -53,8 +56,8 @@ def branch_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     """leaf, node, above: the best ``branches`` paths of each tree (None: all); above is 0 at the leaf.
 
     ``nodes``: node and parent (long, null at a root), score (double). Leaves are ranked in their tree
-    by score, the highest first, nulls last, ties by node. A node must be unique and no reply may be
-    above itself. The paths are spelt out by doubling: what is known of a path is joined with the
+    by score, the highest first, nulls last, ties by node. A node must be unique; a reply above itself
+    is an error (see ancestor_tables). The paths are spelt out by doubling: what is known of a path is joined with the
     2^k-th ancestors, for one k after the other, so each node of a path comes up once. Only chosen
     paths are spelt out, and every shuffle is on single nodes, so a tree that holds most rows is spread.
     """

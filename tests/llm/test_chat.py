@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docquarry.llm.chat import (
@@ -97,3 +98,12 @@ def test_odd_rows(spark, tmp_path):
     rows += [(10, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(130)]
     check(rows, op5_reply_trees(spark, store(spark, rows, tmp_path / "a")).collect())
     assert [r["conv_id"] for r in op5_reply_trees(spark, store(spark, [], tmp_path / "b")).collect()] == [-1]
+
+
+def test_a_cycle_of_replies_is_reported(spark):
+    for parents in ([(1, 2), (2, 1)], [(1, 1)], [(1, None), (2, 1), (3, 5), (4, 3), (5, 4), (6, 5)]):
+        df = spark.createDataFrame([(n, p, None) for n, p in parents], "node long, parent long, score double")
+        with pytest.raises(ValueError, match="cycle"):
+            branch_paths(df).count()
+    chain = spark.createDataFrame([(n, n - 1 if n else None, None) for n in range(33)], "node long, parent long, score double")
+    assert branch_paths(chain).count() == 33
