@@ -506,4 +506,12 @@ UNION ALL SELECT NULL FROM keyless WHERE user_id IS NULL""",
 WITH {KEYLESS}
 SELECT user_id, date_trunc('month', ts)::TIMESTAMP AS month, count(*) AS used, count(*) > 50 AS "overLimit" FROM keyless GROUP BY ALL""",
     "stream_quota_events": QUOTA,
+    "stream_quota_crossings": f"""
+WITH {KEYLESS},
+spread AS (SELECT event_id, user_id, TIMESTAMP '2024-01-01' + (ts - TIMESTAMP '2024-01-01') * 4 AS ts FROM keyless WHERE ts IS NOT NULL),
+counted AS (SELECT *, date_trunc('month', ts)::TIMESTAMP AS month,
+                   row_number() OVER (PARTITION BY user_id, date_trunc('month', ts) ORDER BY ts, event_id) AS used FROM spread)
+SELECT user_id, month, 'crossed' AS kind, used, event_id, ts FROM counted WHERE used = 11
+UNION ALL SELECT user_id, month, 'closed', max(used), NULL, NULL FROM counted GROUP BY user_id, month
+HAVING month + INTERVAL 1 MONTH < (SELECT max(ts) - INTERVAL 1 DAY FROM spread)""",
 }

@@ -24,7 +24,7 @@ from docquarry.sources.manifests import read_upload_manifest as read_manifest
 from docquarry.sources.tables import append_documents as append
 from docquarry.sources.tables import read_tables as read_stored
 from docquarry.sources.tables import write_new_version
-from docquarry.streaming import quota, state
+from docquarry.streaming import months, quota, state
 from docquarry.streaming import uploads as upload_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -633,3 +633,11 @@ def stream_quota(spark, sf):
 def stream_quota_events(spark, sf):
     asked = given.event_stream(spark, sf).select("event_id", "user_id", "ts")
     return quota.stream_quota_events(asked, LIMIT, *_places(spark, "quota-events"), account="user_id", moment="ts", key="event_id")
+
+
+@query
+def stream_quota_crossings(spark, sf):
+    """Over four months: which event crosses the limit of a user's month, and each month's use when it is over."""
+    apart = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + (ts - TIMESTAMP_NTZ '2024-01-01 00:00:00') * 4")
+    asked = given.event_stream(spark, sf).select("event_id", "user_id", apart.alias("ts"))
+    return months.stream_quota_crossings(asked, 10, *_places(spark, "crossings"), account="user_id", moment="ts", key="event_id")
