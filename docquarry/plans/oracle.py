@@ -502,6 +502,13 @@ WITH {KEYLESS}
 SELECT DISTINCT 'documents/' || user_id || '/' || event_type AS "r2Key" FROM keyless WHERE user_id IS NOT NULL
 UNION ALL SELECT 'documents/' || user_id || '/late-' || event_id FROM keyless WHERE event_id % 10 = 0
 UNION ALL SELECT NULL FROM keyless WHERE user_id IS NULL""",
+    "stream_dedup_within": f"""
+WITH {KEYLESS},
+sent AS (SELECT 'documents/' || user_id || '/' || event_type AS "r2Key", ts IS NULL AS untimed, FALSE AS late FROM keyless
+         UNION ALL SELECT 'documents/' || user_id || '/late-' || event_id, ts IS NULL, TRUE FROM keyless WHERE event_id % 10 = 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY "r2Key", untimed, late) AS n FROM sent)
+SELECT "r2Key", CASE WHEN untimed THEN 'untimed' WHEN late THEN 'late' WHEN n = 1 OR "r2Key" IS NULL THEN 'kept' ELSE 'repeated' END AS outcome,
+       count(*) AS uploads FROM numbered GROUP BY ALL""",
     "stream_quota": f"""
 WITH {KEYLESS}
 SELECT user_id, date_trunc('month', ts)::TIMESTAMP AS month, count(*) AS used, count(*) > 50 AS "overLimit" FROM keyless GROUP BY ALL""",

@@ -24,7 +24,7 @@ from docquarry.sources.manifests import read_upload_manifest as read_manifest
 from docquarry.sources.tables import append_documents as append
 from docquarry.sources.tables import read_tables as read_stored
 from docquarry.sources.tables import write_new_version
-from docquarry.streaming import months, quota, state
+from docquarry.streaming import late, months, quota, state
 from docquarry.streaming import uploads as upload_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -624,6 +624,16 @@ def stream_dedup_uploads(spark, sf):
     return upload_streams.stream_dedup_uploads(uploads, *_places(spark, "dedup")).select("r2Key")
 
 
+@query
+def stream_dedup_within(spark, sf):
+    """The same keys with a watermark 40 days behind: how many of each key's rows were kept, repeated, late or without a time."""
+    uploads = given.event_stream(spark, sf, with_late=True).select(
+        object_key(F.col("user_id"), F.col("event_type")).alias("r2Key"), F.col("ts").alias("createdAt")
+    )
+    found = late.stream_dedup_within(uploads, *_places(spark, "dedup-within"), delay="40 days")
+    return found.groupBy("r2Key", "outcome").agg(F.count("*").alias("uploads"))
+
+
 @query
 def stream_quota(spark, sf):
     return quota.stream_quota(given.event_stream(spark, sf), LIMIT, *_places(spark, "quota"), account="user_id", moment="ts")

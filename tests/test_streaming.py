@@ -7,6 +7,7 @@ from docquarry.operators.catalog import latest_document_state
 from docquarry.operators.usage import monthly_quota
 from docquarry.plans import standins
 from docquarry.session import shared_path
+from docquarry.streaming.late import split_late, stream_dedup_within
 from docquarry.streaming.quota import stream_quota, stream_quota_events
 from docquarry.streaming.seen import covering, keep_keys, seen_keys, span
 from docquarry.streaming.state import stream_latest_state
@@ -120,6 +121,7 @@ STREAMS = {
     "validate_without_key": lambda s, p, c: stream_validate_uploads(s.selectExpr("id AS fileName", "seq AS fileSize", "status AS mimeType"), p, c),
     "state": lambda s, p, c: stream_latest_state(s, p, c, "id", "seq"),
     "dedup": lambda s, p, c: stream_dedup_uploads(s, p, c, key="id", moment="seq"),
+    "dedup_within": lambda s, p, c: stream_dedup_within(s, p, c, "3 days", key="id", moment="ts"),
     "quota": lambda s, p, c: stream_quota(s, 1, p, c, account="id", moment="ts"),
     "quota_events": lambda s, p, c: stream_quota_events(s, 1, p, c, account="id", moment="ts", key="seq"),
 }
@@ -167,3 +169,35 @@ def test_a_batch_reads_the_buckets_it_meets(spark):
     assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
     every = spark.range(1200).select(F.col("id").cast("string").alias("k"))
     assert sorted(r.k for r in seen_keys(every, path, 12, "k").collect()) == sorted(r.k for r in every.collect())
+
+
+def test_keys_are_forgotten_and_late_rows_set_apart(spark, tmp_path):
+    source, (path, checkpoint) = tmp_path / "in", places(spark)
+    batches = [
+        [("a", "01-10"), ("a", "01-10"), ("b", "01-11"), (None, "01-11"), (None, "01-11"), ("n", None)],
+        [("a", "01-11"), ("c", "01-12"), ("old", "01-08"), ("old", "01-01")],  # the watermark is 01-09 here
+        [("x", "01-30")],
+        [("a", "01-29"), ("b", "01-20"), ("x", "01-29")],  # 01-28: a has been forgotten, b comes too late
+    ]
+    want = []
+    outcomes = [
+        ["kept", "repeated", "kept", "kept", "kept", "untimed"], ["repeated", "kept", "late", "late"], ["kept"], ["kept", "late", "repeated"],
+    ]
+    for rows, names in zip(batches, outcomes):
+        spark.createDataFrame([(k, t and f"2024-{t} 00:00:00") for k, t in rows], "r2Key string, t string").selectExpr(
+            "r2Key", "CAST(t AS timestamp_ntz) AS createdAt").coalesce(1).write.mode("append").parquet(str(source))
+        uploads = spark.readStream.schema("r2Key string, createdAt timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(str(source))
+        found = stream_dedup_within(uploads, path, checkpoint, "2 days")
+        want += [(k or "-", t or "-", name) for (k, t), name in zip(rows, names)]
+        assert sorted((r.r2Key or "-", str(r.createdAt)[5:10] if r.createdAt else "-", r.outcome) for r in found.collect()) == sorted(want)
+    keys = spark.read.format("statestore").load(f"{checkpoint}/kept").select("key.r2Key")
+    assert {r.r2Key for r in keys.collect()} <= {"a", "x"}
+
+
+def test_nothing_on_time_is_late_after_the_split(spark, staged):
+    path, checkpoint = places(spark)
+    rows = split_late(stream(spark, staged), path, checkpoint, "1 hour", "ts")
+    assert rows.count() == spark.read.parquet(staged).count()
+    found = stream_dedup_within(stream(spark, staged), *places(spark), "1 hour", key="event_id", moment="ts")
+    counts = {r.outcome: r["count"] for r in found.groupBy("outcome").count().collect()}
+    assert counts["kept"] == rows.where("arrival = 'on_time'").count() and "repeated" not in counts
