@@ -522,3 +522,17 @@ SELECT user_id, month, 'crossed' AS kind, used, event_id, ts FROM counted WHERE
 UNION ALL SELECT user_id, month, 'closed', max(used), NULL, NULL FROM counted GROUP BY user_id, month
 HAVING month + INTERVAL 1 MONTH < (SELECT max(ts) - INTERVAL 1 DAY FROM spread)""",
 }
+ORACLE |= {
+    "search_indexed_names": ORACLE["search_documents_by_name"],
+    "search_indexed_conversations": ORACLE["search_conversations"],
+    "lookup_stored_keys": f"""
+WITH {ACCOUNTS}
+SELECT id, email, 'batch' AS way FROM accounts WHERE id IN (SELECT CAST(user_id AS VARCHAR) FROM events)
+UNION ALL SELECT id, email, 'literal' FROM accounts WHERE "createdAt" = (SELECT max("createdAt") FROM accounts)""",
+    "upsert_stored_accounts": ORACLE["upsert_accounts"],
+    "delete_stored_accounts": ORACLE["inactive_accounts"],
+    "sketched_totals": f"""
+WITH {KEYLESS}
+SELECT CAST(ts AS DATE) AS day, FALSE AS whole, count(*) AS events, count(DISTINCT user_id) AS accounts FROM keyless GROUP BY day
+UNION ALL SELECT NULL, TRUE, count(*), count(DISTINCT user_id) FROM keyless""",
+}

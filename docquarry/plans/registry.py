@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.uploads import object_key, row_id
-from docquarry.operators import answers, catalog, cells, parts, passages, postings, retrieval, sessions, terms, threads, usage, validation
+from docquarry.operators import answers, catalog, cells, parts, passages, postings, retrieval, sessions, substrings, terms, threads, usage, validation
 from docquarry.operators.vectors import embed_chunks as embed
 from docquarry.plans import standins as given
 from docquarry.plans.accounts import log_in, sign_up
@@ -18,10 +18,12 @@ from docquarry.plans.intake import initialize_uploads as initialize
 from docquarry.plans.refresh import refresh_sessions as refresh
 from docquarry.plans.standins import NOW
 from docquarry.session import shared_path
+from docquarry.sources import changes
 from docquarry.sources.files import key_part
 from docquarry.sources.files import scan_document_files as scan
 from docquarry.sources.manifests import read_upload_manifest as read_manifest
 from docquarry.sources.tables import append_documents as append
+from docquarry.sources.tables import find_by_key
 from docquarry.sources.tables import read_tables as read_stored
 from docquarry.sources.tables import write_new_version
 from docquarry.streaming import late, months, quota, state
@@ -164,6 +166,13 @@ def search_documents_by_name(spark, sf):
     return catalog.search_documents_by_name(named, "MALL R", column="p_name")
 
 
+@query
+def search_indexed_names(spark, sf):
+    """The same through the stored grams of the names."""
+    named = given.table(spark, sf, "part").select("p_partkey", "p_name")
+    return substrings.search_substring(substrings.build_grams(named, shared_path(spark, "grams"), "p_name", 16), "MALL R")
+
+
 @query
 def public_accounts(spark, sf):
     return catalog.public_accounts(given.accounts(spark, sf))
@@ -200,6 +209,19 @@ def lookup_by_key(spark, sf):
     return catalog.lookup_by_key(asked, given.accounts(spark, sf), "id").select("id", "email")
 
 
+@query
+def lookup_stored_keys(spark, sf):
+    """The same from accounts stored with Bloom filters on their keys, and one of them by a literal email."""
+    path = f"{shared_path(spark, 'keyed')}/accounts"
+    rows = given.accounts(spark, sf)
+    write_new_version(rows.repartition(8, "id"), path, keys={"id": 100_000, "email": 100_000})
+    stored = spark.read.schema(rows.schema).parquet(path)
+    asked = given.events(spark, sf).select(F.col("user_id").cast("string").alias("id"))
+    last = rows.agg(F.max_by("email", "createdAt")).first()[0]
+    found = catalog.lookup_by_key(asked, stored, "id").select("id", "email", F.lit("batch").alias("way"))
+    return found.unionByName(find_by_key(stored, "email", last).select("id", "email", F.lit("literal").alias("way")))
+
+
 @query
 def new_accounts(spark, sf):
     requests = given.signup_requests(spark, sf)
@@ -250,8 +272,31 @@ def upsert_accounts(spark, sf):
     base = given.accounts(spark, sf)
     owner = base.select("id", "name", "email", "emailVerified", "createdAt")
     seen = given.events(spark, sf).select(F.col("user_id").cast("string").alias("id"), F.col("ts").alias("updatedAt"), "event_id")
-    changes = seen.join(owner, "id")
-    return catalog.upsert_rows(base, changes, "id", "updatedAt", "event_id").select("id", "name", "emailVerified", "updatedAt")
+    return catalog.upsert_rows(base, seen.join(owner, "id"), "id", "updatedAt", "event_id").select("id", "name", "emailVerified", "updatedAt")
+
+
+BUCKETS = 16
+
+
+@query
+def upsert_stored_accounts(spark, sf):
+    """The same on a stored table, of which only the buckets that changes fall into are written."""
+    base, path = given.accounts(spark, sf), f"{shared_path(spark, 'bucketed')}/accounts"
+    changes.write_bucketed(base, path, "id", BUCKETS)
+    owner = base.select("id", "name", "email", "emailVerified", "createdAt")
+    seen = given.events(spark, sf).select(F.col("user_id").cast("string").alias("id"), F.col("ts").alias("updatedAt"), "event_id")
+    changes.upsert_in_place(spark, path, base.schema, seen.join(owner, "id"), "id", "updatedAt", "event_id", buckets=BUCKETS)
+    return changes.read_bucketed(spark, path, base.schema).select("id", "name", "emailVerified", "updatedAt")
+
+
+@query
+def delete_stored_accounts(spark, sf):
+    """The accounts that no event names, left when all that one names are deleted in place."""
+    base, path = given.accounts(spark, sf), f"{shared_path(spark, 'bucketed')}/accounts"
+    changes.write_bucketed(base, path, "id", BUCKETS)
+    named = given.events(spark, sf).select(F.col("user_id").cast("string").alias("id"))
+    changes.delete_in_place(spark, path, base.schema, named, "id", BUCKETS)
+    return changes.read_bucketed(spark, path, base.schema).select("id", "name")
 
 
 @query
@@ -559,6 +604,15 @@ def search_conversations(spark, sf):
     return threads.search_conversations(given.table(spark, sf, "conversations"), "Estion")
 
 
+@query
+def search_indexed_conversations(spark, sf):
+    """The same through the stored grams of the turns."""
+    turns = given.table(spark, sf, "conversations")
+    index = substrings.build_grams(turns, shared_path(spark, "grams"), "text", 16)
+    found = substrings.search_substring(index, "Estion")
+    return threads.search_conversations(found, "Estion")
+
+
 @query
 def recent_conversations(spark, sf):
     started = given.events(spark, sf, "click").select("event_id", "user_id", "ts")
@@ -588,6 +642,17 @@ def product_totals(spark, sf):
     return usage.product_totals(given.events(spark, sf), processed, asked, account="user_id")
 
 
+@query
+def sketched_totals(spark, sf):
+    """Events and active accounts of each day and of all, from stored sketches; the last day's written again by itself."""
+    path = f"{shared_path(spark, 'sketches')}/days"
+    rows = given.keyless_events(spark, sf)
+    usage.store_day_sketches(rows, path, "user_id", "ts")
+    last = rows.agg(F.max("ts").cast("date").alias("d")).first()["d"]
+    usage.store_day_sketches(rows.where(F.col("ts").cast("date") == F.lit(last)), path, "user_id", "ts")
+    return usage.sketched_totals(usage.read_day_sketches(spark, path))
+
+
 # -- streams -----------------------------------------------------------------------------------------
 
 def _places(spark, name):

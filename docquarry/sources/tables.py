@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +58,25 @@ def append_documents(documents: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("status").parquet(path)
 
 
-def write_new_version(table: DataFrame, path: str) -> None:
-    """Writes a changed table beside the one it was read from; never over it."""
-    table.write.mode("errorifexists").parquet(path)
+def bloom_options(keys: Mapping[str, int]) -> dict[str, str]:
+    """Write options for a Bloom filter on each key column, for so many different values in a file."""
+    options = {}
+    for column, values in keys.items():
+        options[f"parquet.bloom.filter.enabled#{column}"] = "true"
+        options[f"parquet.bloom.filter.expected.ndv#{column}"] = str(values)
+    return options
+
+
+def write_new_version(table: DataFrame, path: str, keys: Mapping[str, int] | None = None) -> None:
+    """Writes a changed table beside the one it was read from; never over it.
+
+    ``keys`` name columns that rows are looked up by, with how many values a file has: ids and tokens
+    are spread over all files, so their least and greatest values rule none out, but a Bloom filter
+    does, for a literal key and for the keys of a join that Spark turns into one.
+    """
+    table.write.mode("errorifexists").options(**bloom_options(keys or {})).parquet(path)
+
+
+def find_by_key(table: DataFrame, key: str, *values: str) -> DataFrame:
+    """The rows with one of a few literal keys; row groups whose filters rule them out are not read."""
+    return table.where(F.col(key).isin(*values) if len(values) != 1 else F.col(key) == values[0])

@@ -1,0 +1,197 @@
+"""What stored forms leave out when they are read, and that their rows are those of a scan."""
+
+import glob
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from docquarry.functions.text import contains_text
+from docquarry.operators.catalog import delete_rows, upsert_rows
+from docquarry.operators.substrings import build_grams, grams_of, parts_with, search_substring
+from docquarry.operators.usage import read_day_sketches, sketched_totals, store_day_sketches
+from docquarry.plans import standins
+from docquarry.session import shared_path
+from docquarry.sources import changes
+from docquarry.sources.tables import find_by_key, write_new_version
+
+
+def bag(df):
+    return sorted(map(str, df.collect()))
+
+
+# -- grams ------------------------------------------------------------------------------------------
+
+TEXTS = ["Small Ring", "tall ring", "RING of ring", "xy", "", None, "a.b%c_d", "Straße der Æ", "İstanbul", "line\nbreak", "😀😀😀 ok", *["equal"] * 40]
+
+
+@pytest.fixture(scope="module")
+def named(spark):
+    rows = spark.createDataFrame([(i, TEXTS[i % len(TEXTS)]) for i in range(3 * len(TEXTS))], "id int, name string")
+    return rows, build_grams(rows, shared_path(spark, "grams"), "name", 8)
+
+
+@pytest.mark.parametrize("query", ["ring", "L R", "RING", "zzz", "xy", "", "b%c", "e\nb", "straße", "😀😀😀", "equal", "istan", "i̇st", "ring of ring of"])
+def test_substrings_as_a_scan_finds_them(named, query):
+    rows, index = named
+    assert bag(search_substring(index, query)) == bag(rows.where(contains_text(F.col("name"), query)))
+
+
+def test_fewer_parts_are_read(spark, sf):
+    rows = standins.table(spark, sf, "part").select("p_partkey", "p_name")
+    index = build_grams(rows, shared_path(spark, "grams"), "p_name", 16)
+    every, some = index.rows.select("part").distinct().count(), parts_with(index, "mall r")
+    assert 0 < len(some) < every / 2 and parts_with(index, "no such") == [] and parts_with(index, "ab") is None
+    found = search_substring(index, "mall r")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan or "PartitionFilters: [part" in plan
+    read = {f.split("part=")[1].split("/")[0] for f in found.inputFiles()}
+    assert {r.part for r in index.rows.where(F.col("p_name").contains("mall r")).select("part").distinct().collect()} <= set(some)
+    assert len(read) <= every
+
+
+def test_equal_texts_are_spread_and_a_gram_is_a_row_a_part(spark):
+    rows = spark.range(3_000).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot name")).otherwise(F.col("id").cast("string")).alias("name"))
+    index = build_grams(rows, shared_path(spark, "grams"), "name", 8)
+    held = [r["n"] for r in index.rows.where("name = 'hot name'").groupBy("part").agg(F.count("*").alias("n")).collect()]
+    assert len(held) >= 4 and sum(held) == 2_000
+    assert index.grams.where("gram = 'hot'").count() == len(held)
+    assert search_substring(index, "T NAM").count() == 2_000
+
+
+def test_grams_of_texts(spark):
+    df = spark.createDataFrame([("AbcD",), ("ab",), (None,), ("aaaa",), ("a\nb c",)], "t string").select(grams_of(F.col("t")).alias("g"))
+    assert [r.g for r in df.collect()] == [["abc", "bcd"], [], [], ["aaa"], ["a\nb", "\nb ", "b c"]]
+
+
+def test_grams_of_no_rows(spark):
+    none = spark.createDataFrame([], "id int, name string")
+    index = build_grams(none, shared_path(spark, "grams"), "name", 4)
+    assert search_substring(index, "abc").count() == 0 == search_substring(index, "").count()
+
+
+# -- Bloom filters ----------------------------------------------------------------------------------
+
+def rows_scanned(df):
+    """Rows that the scans of a collected query gave on."""
+    df.collect()
+    plan, total = df._jdf.queryExecution().executedPlan(), 0
+    leaves = plan.collectLeaves()
+    for i in range(leaves.size()):
+        total += leaves.apply(i).metrics().apply("numOutputRows").value()
+    return total
+
+
+def test_a_literal_key_skips_row_groups_that_least_and_greatest_do_not(spark):
+    rows = spark.range(40_000).select(F.sha2(F.col("id").cast("string"), 256).alias("token"), "id").repartition(8, "id")
+    plain, keyed = shared_path(spark, "plain"), shared_path(spark, "keyed")
+    write_new_version(rows, plain)
+    write_new_version(rows, keyed, keys={"token": 10_000})
+    key = rows.where("id = 77").first()["token"]
+    found = {}
+    for path in (plain, keyed):
+        hit = find_by_key(spark.read.parquet(path), "token", key)
+        assert [r.id for r in hit.collect()] == [77]
+        found[path] = rows_scanned(find_by_key(spark.read.parquet(path), "token", key))
+    assert found[plain] == 40_000 and found[keyed] <= 10_000
+    assert rows_scanned(find_by_key(spark.read.parquet(keyed), "token", "f" * 63 + "x")) <= 10_000
+    several = find_by_key(spark.read.parquet(keyed), "token", key, "no such")
+    assert [r.id for r in several.collect()] == [77]
+
+
+def test_keys_of_a_join_become_a_filter_of_the_scan(spark):
+    """The smaller side's keys reach the larger one's scan as a Bloom filter that Spark makes at run time."""
+    path = shared_path(spark, "keyed")
+    write_new_version(spark.range(50_000).select(F.sha2(F.col("id").cast("string"), 256).alias("token"), "id"), path, keys={"token": 50_000})
+    asked = shared_path(spark, "asked")
+    spark.read.parquet(path).where("id % 5000 = 3").select("token", "id").write.parquet(asked)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        small = spark.read.parquet(asked).where("id > 10").select("token")
+        found = spark.read.parquet(path).join(small, "token")
+        assert "might_contain" in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 9
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
+# -- changes in place -------------------------------------------------------------------------------
+
+def files(path):
+    return {f: os.path.getmtime(f) for f in glob.glob(f"{path}/_bucket=*/*.parquet")}
+
+
+def accounts(spark, ids, name="old"):
+    return spark.createDataFrame([(i, f"{name}-{i}") for i in ids], "id string, name string")
+
+
+def test_only_met_buckets_are_written(spark):
+    path, ids = shared_path(spark, "bucketed"), [str(i) for i in range(200)]
+    base = accounts(spark, ids)
+    changes.write_bucketed(base, path, "id", 16)
+    before = files(path)
+    news = accounts(spark, ["7", "new", "7"], "new").withColumn("seq", F.lit(1))
+    met = changes.upsert_in_place(spark, path, base.schema, news, "id", "seq", buckets=16)
+    after = files(path)
+    same = {f for f in before if f"_bucket={met[0]}/" not in f and (len(met) < 2 or f"_bucket={met[1]}/" not in f)}
+    assert 1 <= len(met) <= 2 and len(same) >= 12 and all(after.get(f) == before[f] for f in same)
+    assert bag(changes.read_bucketed(spark, path, base.schema)) == bag(upsert_rows(base, news, "id", "seq"))
+
+
+def test_deletions_and_buckets_left_empty(spark):
+    path, ids = shared_path(spark, "bucketed"), [str(i) for i in range(40)]
+    base = accounts(spark, ids)
+    changes.write_bucketed(base, path, "id", 8)
+    buckets = {r.id: r.b for r in base.select("id", changes.bucket_of(F.col("id"), 8).alias("b")).collect()}
+    gone = [i for i in ids if buckets[i] == buckets["0"]]
+    keys = spark.createDataFrame([(i,) for i in [*gone, "no such"]] + [(None,)], "id string")
+    before = files(path)
+    changes.delete_in_place(spark, path, base.schema, keys, "id", 8)
+    left = changes.read_bucketed(spark, path, base.schema)
+    assert bag(left) == bag(delete_rows(base, keys, "id")) and left.count() == 40 - len(gone)
+    assert not glob.glob(f"{path}/_bucket={buckets['0']}/*.parquet")
+    assert any(files(path).get(f) == t for f, t in before.items())
+    nothing = spark.createDataFrame([(None,)], "id string")
+    again = files(path)
+    assert changes.delete_in_place(spark, path, base.schema, nothing, "id", 8) == [] and files(path) == again
+    changes.delete_in_place(spark, path, base.schema, accounts(spark, ids), "id", 8)
+    changes.upsert_in_place(spark, path, base.schema, accounts(spark, ["0"]).withColumn("s", F.lit(1)), "id", "s", buckets=8)
+    assert bag(changes.read_bucketed(spark, path, base.schema)) == bag(accounts(spark, ["0"]))
+
+
+# -- sketches ---------------------------------------------------------------------------------------
+
+def test_sketches_merge_within_their_error(spark):
+    rows = spark.range(300_000).select(
+        (F.col("id") % 100_000).cast("string").alias("userId"),
+        (F.lit("2024-01-01").cast("date") + (F.col("id") / 60_000).cast("int")).cast("timestamp_ntz").alias("createdAt"),
+    )
+    path = shared_path(spark, "days")
+    store_day_sketches(rows, path)
+    exact = {r.day: r.n for r in rows.groupBy(F.col("createdAt").cast("date").alias("day")).agg(F.count_distinct("userId").alias("n")).collect()}
+    found = sketched_totals(read_day_sketches(spark, path)).collect()
+    for r in found:
+        want = 100_000 if r.whole else exact[r.day]
+        assert abs(r.accounts - want) <= 0.015 * want
+    assert [(r.events, r.day) for r in found if r.whole] == [(300_000, None)] and len(found) == 6
+
+
+def test_a_new_day_leaves_the_old_ones_alone(spark):
+    path = shared_path(spark, "days")
+    day = lambda d, ids: spark.createDataFrame([(i, d) for i in ids], "userId string, t string").selectExpr(
+        "userId", "CAST(t AS timestamp_ntz) AS createdAt")
+    store_day_sketches(day("2024-01-01 10:00:00", ["a", "b", None]), path)
+    before = {f: os.path.getmtime(f) for f in glob.glob(f"{path}/day=2024-01-01/*.parquet")}
+    store_day_sketches(day("2024-01-02 10:00:00", ["b", "c"]), path)
+    store_day_sketches(day("2024-01-02 11:00:00", ["b", "c", "d"]), path)
+    assert before and all(os.path.getmtime(f) == t for f, t in before.items())
+    found = sorted((str(r.day), r.events, r.accounts) for r in sketched_totals(read_day_sketches(spark, path)).collect())
+    assert found == [("2024-01-01", 3, 2), ("2024-01-02", 3, 3), ("None", 6, 4)]
+    plan = sketched_totals(read_day_sketches(spark, path))._jdf.queryExecution().executedPlan().toString()
+    assert "createdAt" not in plan
