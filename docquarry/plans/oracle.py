@@ -535,4 +535,22 @@ UNION ALL SELECT id, email, 'literal' FROM accounts WHERE "createdAt" = (SELECT
 WITH {KEYLESS}
 SELECT CAST(ts AS DATE) AS day, FALSE AS whole, count(*) AS events, count(DISTINCT user_id) AS accounts FROM keyless GROUP BY day
 UNION ALL SELECT NULL, TRUE, count(*), count(DISTINCT user_id) FROM keyless""",
+    "csv_passages": """
+SELECT doc_id, 1 AS record_no, 'id: ' || doc_id || chr(10) || 'the "note": ' || text || chr(10) || 'lang: ' || lang AS passage FROM documents
+UNION ALL SELECT doc_id, 2, 'id: ' || chr(10) || 'the "note": plain' || chr(10) || 'lang:  x' FROM documents""",
+    "markdown_sections": """
+WITH plain AS (SELECT doc_id, source, lang, translate(text, '#`~', '') AS body FROM documents)
+SELECT doc_id, 1 AS section_no, 1 AS level, source AS path, trim(body, ' ' || chr(9) || chr(10) || chr(13)) AS passage FROM plain
+UNION ALL SELECT doc_id, 2, 2, source || ' > ' || lang, '```' || chr(10) || '# not a heading' || chr(10) || body || chr(10) || '```' FROM plain
+UNION ALL SELECT doc_id, 3, 3, source || ' > ' || lang || ' > Deep', 'end ' || doc_id FROM plain""",
+    "file_passages": """
+WITH records AS (
+  SELECT doc_id, 'record 1' AS place, length('id: ' || doc_id || ' the "note": ' || text || ' lang: ' || lang) AS n FROM documents
+  UNION ALL SELECT doc_id, 'record 2', length('id:  the "note": plain lang:  x') FROM documents),
+pieces AS (SELECT *, greatest(CAST(ceil((n - 100) / 700.0) AS BIGINT), 1) AS k FROM records),
+plain AS (SELECT doc_id, length(text) AS n, greatest(CAST(ceil((length(text) - 100) / 700.0) AS BIGINT), 1) AS k
+          FROM documents WHERE doc_id % 11 <> 5 AND text <> '')
+SELECT doc_id || '.CSV' AS "fileName", place, k AS passages, CAST(n + (k - 1) * 100 AS BIGINT) AS characters FROM pieces
+UNION ALL SELECT doc_id || '.txt', 'character ' || s, 1, CAST(least(800, n - s) AS BIGINT)
+FROM (SELECT *, unnest(range(0, k * 700, 700)) AS s FROM plain)""",
 }

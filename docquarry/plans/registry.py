@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.uploads import object_key, row_id
-from docquarry.operators import answers, catalog, cells, parts, passages, postings, retrieval, sessions, substrings, terms, threads, usage, validation
+from docquarry.operators import answers, catalog, cells, parts, passages, postings, retrieval, sessions, structured, substrings, terms, threads, usage, validation
 from docquarry.operators.vectors import embed_chunks as embed
 from docquarry.plans import standins as given
 from docquarry.plans.accounts import log_in, sign_up
@@ -452,6 +452,26 @@ def chunk_lines(spark, sf):
     return passages.chunk_lines(given.table(spark, sf, "documents").select("doc_id", "text"))
 
 
+@query
+def csv_passages(spark, sf):
+    return structured.csv_passages(given.csv_files(spark, sf))
+
+
+@query
+def markdown_sections(spark, sf):
+    return structured.markdown_sections(given.markdown_files(spark, sf))
+
+
+@query
+def file_passages(spark, sf):
+    """Texts as files of three kinds: how many passages of each place, and their length in all."""
+    named = lambda rows, ending: rows.withColumn("fileName", F.concat(F.col("doc_id").cast("string"), F.lit(ending)))
+    files = named(given.csv_files(spark, sf), ".CSV").unionByName(named(given.markdown_files(spark, sf), ".md"))
+    plain = named(given.gappy_texts(spark, sf).select("doc_id", "text"), ".txt")
+    found = structured.file_passages(files.unionByName(plain)).where(~F.col("place").startswith("src"))
+    return found.groupBy("fileName", "place").agg(F.count("*").alias("passages"), F.sum(F.length("passage")).alias("characters"))
+
+
 @query
 def term_search(spark, sf):
     return terms.term_search(given.texts(spark, sf), WORDS, k=50)

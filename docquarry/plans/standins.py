@@ -224,6 +224,23 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
+def csv_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Each text as a field of a CSV file of two records, its quotes doubled and its line breaks as they are."""
+    quoted = F.replace("text", F.lit('"'), F.lit('""'))
+    return texts(spark, sf).select("doc_id", F.concat(
+        F.lit('id,"the ""note""",lang\r\n'), _text("doc_id"), F.lit(',"'), quoted, F.lit('",'), "lang", F.lit('\r\n\r\n"",plain, x\r\n')
+    ).alias("text"))
+
+
+def markdown_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Each text, without marks of its own, as a section of a Markdown file and as a fenced block of another."""
+    body = F.translate("text", "#`~", "")
+    return texts(spark, sf).select("doc_id", F.concat(
+        F.lit("# "), "source", F.lit("\n\n"), body, F.lit("\n\n## "), "lang", F.lit(" ##\n```\n# not a heading\n"), body,
+        F.lit("\n```\n### Deep\nend "), _text("doc_id"), F.lit("\n# Last\n\n"),
+    ).alias("text"))
+
+
 def received_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as uploaded parts; many are sent more than once, some with a number that cannot be or none."""
     number, quantity = F.col("l_linenumber"), F.col("l_quantity")
