@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.common import bind, feistel, free_name
 
-KEY = "pseudonyms-1"
+#: The key of the query, whose results are compared; a user gives a secret one.
+QUERY_KEY = "pseudonyms-1"
 ROUNDS = 8
 
+#: Calling codes by their first digits (E.164): 1, 7, these of two digits, all others of three.
+CALLING_CODE = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
 #: Length of an IBAN by country (the registry of ISO 13616).
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
@@ -212,8 +216,8 @@ def _late_day(day: Column, key: str) -> Column:
     return bind(before(months) + F.dayofmonth(day) - 13, write)
 
 
-def pseudonym(kind: Column, value: Column, key: str = KEY) -> Column:
-    """The pseudonym of a valid value. Of an address the name changes, of a phone number all but the first group."""
+def pseudonym(kind: Column, value: Column, key: str) -> Column:
+    """The pseudonym of a valid value. Of an address the name changes, of a phone number all but the calling code."""
     number = digits(value)
     padded = lambda n, width: F.lpad(n.cast("string"), width, "0")
 
@@ -269,9 +273,16 @@ def pseudonym(kind: Column, value: Column, key: str = KEY) -> Column:
         return bind(permute_text(account, key, F.concat(F.lit("iban"), country)), write)
 
     def phone(v: Column) -> Column:
-        first = F.regexp_extract(v, r"^\+[0-9]{1,3}", 0)
-        rest = F.substring(v, F.length(first) + 1, F.length(v))
-        return F.concat(first, _refill(rest, permute_text(digits(rest), key, F.concat(F.lit("phone"), first))))
+        # the zero in brackets is no part of the number; one without a calling code is North American
+        spelt = F.replace(v, F.lit("(0)"), F.lit("(~)"))
+        code = F.when(v.startswith("+"), F.regexp_extract(digits(spelt), CALLING_CODE, 1)).otherwise("")
+
+        def write(c: Column) -> Column:
+            own = F.substring(digits(spelt), F.length(c) + 1, F.length(v))
+            tweak = F.concat(F.lit("phone"), F.when(c == "", "1").otherwise(c))
+            return F.replace(_refill(spelt, F.concat(c, permute_text(own, key, tweak))), F.lit("(~)"), F.lit("(0)"))
+
+        return bind(code, write)
 
     def email(v: Column) -> Column:
         return F.concat(
@@ -340,7 +351,7 @@ def _covered(pieces: Column, values: Column) -> Column:
     return bind(width, blocks)
 
 
-def _scanned(text: Column) -> Column:
+def _scanned(text: Column, key: str) -> Column:
     """array<struct<kind, value, new, after>> of a text without addresses: its values, each with the text after it.
 
     The first has no value (null) and the text before all others. The text is cut wherever a value may
@@ -354,7 +365,7 @@ def _scanned(text: Column) -> Column:
             cut = F.coalesce(F.length(value["value"]), F.get(covered, i))
             return F.struct(
                 value["kind"].alias("kind"), value["value"].alias("value"),
-                F.when(value.isNotNull(), pseudonym(value["kind"], value["value"])).alias("new"),
+                F.when(value.isNotNull(), pseudonym(value["kind"], value["value"], key)).alias("new"),
                 F.substring(piece, cut + 1, F.length(piece)).alias("after"),
             )
 
@@ -367,7 +378,7 @@ def _scanned(text: Column) -> Column:
 SCANNED = "array<struct<kind:string,value:string,new:string,after:string>>"
 
 
-def found_values(text: Column) -> Column:
+def found_values(text: Column, key: str) -> Column:
     """array<struct<kind, value, new, after>>: the values of a text in order, and all text between them as ``after``.
 
     Addresses are found first, the others in what lies between them.
@@ -375,38 +386,38 @@ def found_values(text: Column) -> Column:
     none = F.lit(None).cast("string")
     mails = F.regexp_extract_all(text, F.lit(f"({PATTERNS['email']})"), F.lit(1))
     plain = lambda t: F.array(F.struct(none.alias("kind"), none.alias("value"), none.alias("new"), t.alias("after"))).cast(SCANNED)
-    scanned = lambda t: F.when(t.rlike(START), _scanned(t).cast(SCANNED)).otherwise(plain(t))
+    scanned = lambda t: F.when(t.rlike(START), _scanned(t, key).cast(SCANNED)).otherwise(plain(t))
     mail = lambda v: F.when(v.isNotNull(), F.array(F.struct(
-        F.lit("email").alias("kind"), v.alias("value"), pseudonym(F.lit("email"), v).alias("new"), F.lit("").alias("after")
+        F.lit("email").alias("kind"), v.alias("value"), pseudonym(F.lit("email"), v, key).alias("new"), F.lit("").alias("after")
     ))).otherwise(F.array()).cast(SCANNED)
     between = F.split(text, PATTERNS["email"], -1)
     return F.flatten(F.zip_with(between, mails, lambda t, v: F.concat(scanned(t), mail(v))))
 
 
-def pseudonymise(documents: DataFrame, found: str = "_found") -> DataFrame:
+def pseudonymise(documents: DataFrame, key: str, found: str = "_found") -> DataFrame:
     """All columns and rows, the values in ``text`` replaced, with ``found``: array<struct<kind, value, new>>, in order.
 
     Each row by itself, no shuffle. Null texts stay null and have found nothing; a text without a valid
     value is unchanged. Values that overlap are taken from the left, after the addresses. Where a phone
     number's country has no one length, a separate number behind it that fits counts as part of it.
-    A column that has the name ``found`` is replaced; any other may occur.
+    Whoever has ``key`` can undo the pseudonyms, and another key gives others. A column that has the name ``found`` is replaced; any other may occur.
     """
     text = F.col("text")
-    parts = documents.withColumn(found, F.when(text.rlike(HINT), found_values(text)).otherwise(F.array().cast(SCANNED)))
+    parts = documents.withColumn(found, F.when(text.rlike(HINT), found_values(text, key)).otherwise(F.array().cast(SCANNED)))
     woven = F.concat_ws("", F.flatten(F.transform(found, lambda m: F.array(F.coalesce(m["new"], m["value"], F.lit("")), m["after"]))))
     values = F.transform(F.filter(found, lambda m: m["new"].isNotNull()), lambda m: F.struct(*[m[c].alias(c) for c in ("kind", "value", "new")]))
     changed = F.exists(F.col(found), lambda m: m["new"].isNotNull())
     return parts.withColumns({"text": F.when(changed, woven).otherwise(text), found: values})
 
 
-def mask_private(documents: DataFrame) -> DataFrame:
+def mask_private(documents: DataFrame, key: str = QUERY_KEY) -> DataFrame:
     """The documents with pseudonyms in their texts, in the columns they came with."""
-    return pseudonymise(documents, free_name(documents, "_found")).select(*documents.columns)
+    return pseudonymise(documents, key, free_name(documents, "_found")).select(*documents.columns)
 
 
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms, the number of values replaced, and how many of each kind."""
-    rows = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), QUERY_KEY)
     count = lambda kind: F.size(F.filter(F.col("_found"), lambda m: m["kind"] == kind))
     replaced = F.size("_found")
     return rows.select(

@@ -2,7 +2,7 @@ import datetime
 import random
 import re
 
-from docquarry.llm.private import mask_private, op1_pseudonyms, pseudonymise
+from docquarry.llm.private import CALLING_CODE, QUERY_KEY, mask_private, op1_pseudonyms, pseudonymise
 from tests.llm.data import odd, store, table, with_extra
 
 
@@ -22,7 +22,7 @@ def iban(country, account):
 
 
 def masked(spark, texts):
-    return [r["text"] for r in mask_private(table(spark, texts)).orderBy("doc_id").collect()]
+    return [r["text"] for r in mask_private(table(spark, texts), "key").orderBy("doc_id").collect()]
 
 
 def shape(value):
@@ -105,7 +105,7 @@ def test_what_is_refused_hides_nothing(spark):
         ("x 31/01/2024 y 13/40/2024", ["31/01/2024"]), ("+44 (0)20 7183 8750.", ["+44 (0)20 7183 8750"]),
         (f"a-{a}@x.org 2024-01-15", [f"a-{a}", "2024-01-15"]),
     ]
-    for (text, values), found in zip(rows, [r["_found"] for r in pseudonymise(table(spark, [t for t, _ in rows])).orderBy("doc_id").collect()]):
+    for (text, values), found in zip(rows, [r["_found"] for r in pseudonymise(table(spark, [t for t, _ in rows]), QUERY_KEY).orderBy("doc_id").collect()]):
         assert [f["value"].removesuffix("@x.org") for f in found] == values, (text, found)
     for (text, values), new in zip(rows, masked(spark, [t for t, _ in rows])):
         assert "@" in text or shape(new) == shape(text), (text, new)
@@ -133,7 +133,7 @@ def test_a_long_run_of_refused_cards(spark):
     random.seed(8)
     a = " ".join(re.findall("....", card("4")))
     text = " ".join(["1000"] * 60_000) + " x " + a
-    row = pseudonymise(table(spark, [text])).collect()[0]
+    row = pseudonymise(table(spark, [text]), QUERY_KEY).collect()[0]
     assert not luhn("1000" * 4) and [f["value"] for f in row["_found"]] == [a]
 
 
@@ -147,7 +147,7 @@ def test_odd_rows(spark):
 
 def test_counts_in_a_long_text(spark):
     text = " ".join(f"word{i} 42.144.35.{i % 250}" for i in range(3000))
-    row = pseudonymise(table(spark, [text])).collect()[0]
+    row = pseudonymise(table(spark, [text]), QUERY_KEY).collect()[0]
     assert len(row["_found"]) == 3000 and all(f["new"] for f in row["_found"])
     assert re.sub(r"\d+\.\d+\.\d+\.\d+", "", row["text"]) == re.sub(r"\d+\.\d+\.\d+\.\d+", "", text)
 
@@ -164,3 +164,30 @@ def test_query_against_plain_search(spark, sf, tmp_path):
         if not r["n_replaced"]:
             assert r["text"] == t
     assert op1_pseudonyms(spark, store(odd(spark), tmp_path)).count() == 25
+
+
+def test_a_phone_number_in_any_spelling_is_one(spark):
+    """No digit after the calling code stays by rule, and another key gives other values."""
+    groups = [
+        ["+49 30 1234567", "+49301234567", "+49 (0)30 1234567", "+49-30-123-4567", "+49 30 123 45 67"],
+        ["+1 (212) 555-0100", "+12125550100", "(212) 555-0100", "212-555-0100", "+1 212.555.0100"],
+        ["+358 40 1234567", "+358401234567"],
+    ]
+    codes = ["49", "1", "358"]
+    plain = lambda t: re.sub(r"\D", "", t.replace("(0)", "").removeprefix("call "))
+    for spellings, code in zip(groups, codes):
+        new = masked(spark, [f"call {s}" for s in spellings])
+        own = {plain(t).removeprefix(code) if "+" in t else plain(t) for t in new}
+        assert len(own) == 1 and own != {plain(spellings[0]).removeprefix(code)}
+        assert all(shape(a) == shape(f"call {b}") for a, b in zip(new, spellings))
+    df = table(spark, [f"call {s}" for g in groups for s in g])
+    other = [r["text"] for r in mask_private(df, "another").orderBy("doc_id").collect()]
+    assert not set(other) & set(masked(spark, [f"call {s}" for g in groups for s in g]))
+    firsts = {(re.match(r"\+49 (\d\d)", t) or [0, ""])[1] for t in masked(spark, [f"+49 30 12345{i:02d}" for i in range(40)])}
+    assert len(firsts) > 10
+
+
+def test_calling_codes():
+    """Each digit string begins with one code; some known ones."""
+    for number, code in {"12125550100": "1", "74951234567": "7", "49301234567": "49", "358401234": "358", "35312345": "353", "442071838750": "44", "8801234": "880", "2021234": "20", "2121234": "212"}.items():
+        assert re.match(CALLING_CODE, number)[1] == code
