@@ -23,9 +23,13 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return keep_one(docs)
 
 
+#: Session setting with the secret key of the pseudonyms; without it the runs of tests and checks are repeatable.
+KEY_SETTING = "spark.docquarry.pseudonyms.key"
+
+
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with pseudonyms for personal numbers, dates and addresses; n_chars stays that of the source."""
-    return mask_private(docs)
+    return mask_private(docs, spark.conf.get(KEY_SETTING, "no secret"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,14 +146,16 @@ def delete_where(base: DataFrame, condition: Column) -> DataFrame:
 def upsert_rows(base: DataFrame, changes: DataFrame, key: str, *order: str) -> DataFrame:
     """``base`` with the last change of each key, by ``order``, put in or added.
 
-    One join, each side read once. Rows without a key meet nothing: those of ``base`` stay, and the
-    last change without a key is added. Write the result to a new path and switch readers over;
+    One join, each side read once. Rows without a key meet nothing: those of ``base`` stay, spread over
+    the tasks by their values, and the last change without a key is added. Write the result to a new path and switch readers over;
     ``base`` may be a table on disk.
     """
     columns = [F.col(c) for c in base.columns if c != key]
     last = F.max_by(F.struct(*columns), F.struct(*order)).alias("row")
-    held = base.select(key, F.struct(*columns).alias("held"))
-    joined = held.join(changes.groupBy(key).agg(last), key, "full_outer")
+    spread = F.when(F.col(key).isNull(), F.xxhash64(*columns)).otherwise(F.lit(0).cast("long")).alias("_spread")
+    held = base.select(key, spread, F.struct(*columns).alias("held"))
+    lasts = changes.groupBy(key).agg(last).withColumn("_spread", F.lit(0).cast("long"))
+    joined = held.join(lasts, [key, "_spread"], "full_outer")
     return joined.select(key, F.coalesce("row", "held").alias("row")).select(key, "row.*").select(*base.columns)
 
 

@@ -48,9 +48,14 @@ def settings_for(input_bytes: int) -> dict[str, str]:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new, unused path for ``name`` in the folder all executors share.
 
-    That is the session's ``spark.checkpoint.dir``; where it is unset, the warehouse, which is shared too.
+    That is the session's ``spark.checkpoint.dir``. Where it is unset a session on one machine uses the
+    warehouse; one on a cluster is refused, since each machine might write to a folder of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/docquarry/{name}-{uuid.uuid4().hex}"
 
 
