@@ -410,7 +410,7 @@ def pseudonymise(documents: DataFrame, key: str, found: str = "_found") -> DataF
     return parts.withColumns({"text": F.when(changed, woven).otherwise(text), found: values})
 
 
-def mask_private(documents: DataFrame, key: str = QUERY_KEY) -> DataFrame:
+def mask_private(documents: DataFrame, key: str) -> DataFrame:
     """The documents with pseudonyms in their texts, in the columns they came with."""
     return pseudonymise(documents, key, free_name(documents, "_found")).select(*documents.columns)
 
