@@ -139,10 +139,10 @@ def test_a_long_run_of_refused_cards(spark):
 
 def test_odd_rows(spark):
     df = with_extra(odd(spark))
-    got = mask_private(df)
+    got = mask_private(df, "key")
     assert got.columns == df.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
-    assert mask_private(table(spark, [])).count() == 0
+    assert mask_private(table(spark, []), "key").count() == 0
 
 
 def test_counts_in_a_long_text(spark):
