@@ -7,7 +7,7 @@ SCHEMA = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
 ])
 #: Columns of other rows and of the operators' own making, to clash with.
-EXTRA = {"n_words": "7", "shard": "x", "token": "t", "id": "i", "fingerprint": "f", "start": "s", "length": "l", "key": "k"}
+EXTRA = {"n_words": "7", "shard": "x", "token": "t", "id": "i", "fingerprint": "f", "start": "s", "length": "l", "key": "k", "_found": "f", "_quality": "q", "_row": "r"}
 
 PROSE = "the quick brown fox jumps over the lazy dog while nine wise men sing old songs by the river bank at dawn"
 
