@@ -41,6 +41,14 @@ HEADLINE = [
     "document_status_counts",
     "upsert_accounts",
     "stream_quota",
+    "cell_search",
+    "search_postings",
+    "search_indexed_names",
+    "lookup_stored_keys",
+    "upsert_stored_accounts",
+    "sketched_totals",
+    "markdown_sections",
+    "csv_passages",
 ]
 
 

@@ -539,7 +539,7 @@ def _cell_hits(spark, sf, probes, **options):
 @query
 def cell_search(spark, sf):
     """For every vector, the nearest that its cells hold: itself, or an equal one."""
-    return _cell_hits(spark, sf, PROBES, block_questions=500).where(F.col("rank") == 1)
+    return _cell_hits(spark, sf, PROBES).where(F.col("rank") == 1)
 
 
 @query
