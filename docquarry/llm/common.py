@@ -48,13 +48,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the folder all executors share, and read again.
+def stage(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """The rows written to the folder all executors share, in a folder for each value of ``by``, and read again.
 
     It cuts the lineage: a lost executor costs no more than the tasks that run after the write.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -30,6 +30,8 @@ EXTRA = 20
 SENT_IDS = 2_000_000
 #: In each round so many times as many members of a group are compared with the rest of it.
 GROWTH = 8
+#: Members of a group that are compared in one task; larger groups are spread over several.
+TOGETHER = 1000
 
 
 def least_shared(n):
@@ -77,14 +79,27 @@ def gram_sets(values: np.ndarray, sizes: np.ndarray, size: int = SIZE) -> tuple[
     return grams[new], rows[new]
 
 
-def set_keys(grams: np.ndarray, rows: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row a hash of its set, and the set's size."""
+def set_keys(grams: np.ndarray, rows: np.ndarray, count: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row a hash of its set, of ``bits`` bits, another one of 64 bits, and the set's size."""
     sizes = np.bincount(rows, minlength=count)
-    sums = np.zeros(count, np.uint64)
-    if len(grams):
-        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        sums[rows[first]] = np.add.reduceat(mixed(grams ^ np.uint64(0x5851F42D4C957F2D)), first)
-    return mixed(sums + sizes.astype(np.uint64)).view(np.int64), sizes
+    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))) if len(grams) else []
+    hashes = []
+    for seed in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D):
+        sums = np.zeros(count, np.uint64)
+        if len(grams):
+            sums[rows[first]] = np.add.reduceat(mixed(grams ^ np.uint64(seed)), first)
+        hashes.append(mixed(sums + sizes.astype(np.uint64)))
+    return (hashes[0] >> np.uint64(64 - bits)).view(np.int64), hashes[1].view(np.int64), sizes
+
+
+def first_of_each(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Which rows are the first with their pair of hashes."""
+    order = np.lexsort((checks, keys))  # stable, so that equal pairs keep the order of their rows
+    new = np.ones(len(keys), bool)
+    new[1:] = (np.diff(keys[order]) != 0) | (np.diff(checks[order]) != 0)
+    once = np.zeros(len(keys), bool)
+    once[order[new]] = True
+    return once
 
 
 def second_order(grams: np.ndarray) -> np.ndarray:
@@ -97,73 +112,77 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, types[k]) for c, k in zip(columns, kinds)], names)
 
 
-MEMBERS = "doc_id long, key long, n long"
+SCANNED = "kind int, doc_id long, check long, gram long, key long, n long"
+MEMBER, POSTING = 0, 1
 
 
-def members(rows: DataFrame, size: int) -> DataFrame:
-    """Every row's doc_id, the hash of its set, and the set's size."""
+def scanned(rows: DataFrame, size: int, bits: int = 64) -> DataFrame:
+    """What one reading of the texts gives, by ``kind``: the members, and the prefixes under the first order.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, values, sizes in token_slices(batches):
-            keys, n = set_keys(*gram_sets(values, sizes, size), len(sizes))
-            yield _batch(MEMBERS, batch.column("doc_id"), keys, n)
-
-    return rows.mapInArrow(run, MEMBERS)
-
-
-POSTINGS = "gram long, key long, shared long"
-
-
-def first_order_postings(rows: DataFrame, size: int) -> DataFrame:
-    """n-grams of the prefixes under the first order, added up in each task.
+    A member is a row's doc_id, two hashes of its set (``key``, ``check``), and the set's size ``n``.
 
-    An n-gram that one set of a slice has is a row (gram, key, 0); one that several have is a row
-    (gram, null, 0), and is counted for each of them in a row (key, key, shared). So an n-gram that
-    most rows have comes once from each slice.
+    A prefix's n-grams are added up in each task. An n-gram that one set of a slice has is a row
+    (gram, key, 0); one that several have is a row (gram, null, 0), and is counted for each of them in a
+    row (key, key, shared), the last number as ``n``. So an n-gram that most rows have comes once from
+    each slice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, values, sizes in token_slices(batches):
+        for batch, values, sizes in token_slices(batches):
             grams, at = gram_sets(values, sizes, size)
-            keys, n = set_keys(grams, at, len(sizes))
-            once = np.zeros(len(sizes), bool)
-            once[np.unique(keys, return_index=True)[1]] = True
+            keys, checks, n = set_keys(grams, at, len(sizes), bits)
+            yield _batch(SCANNED, np.full(len(n), MEMBER), batch.column("doc_id"), checks, pa.nulls(len(n), pa.int64()), keys, n)
             rank = np.arange(len(grams)) - (np.cumsum(n) - n)[at]
-            kept = once[at] & (rank < (n - least_shared(n) + extra(n))[at])
+            kept = first_of_each(keys, checks)[at] & (rank < (n - least_shared(n) + extra(n))[at])
             grams, at = grams[kept], at[kept]
             found, back, counts = np.unique(grams, return_inverse=True, return_counts=True)
             several = counts[back] > 1
             credit = np.bincount(at[several], minlength=len(sizes))
             single, many, own = grams[~several], found[counts > 1], np.flatnonzero(credit)
             parts = [len(single), len(many), len(own)]
+            none = pa.nulls(sum(parts), pa.int64())
             yield _batch(
-                POSTINGS,
+                SCANNED,
+                np.full(sum(parts), POSTING),
+                none,
+                none,
                 np.concatenate((single.view(np.int64), many.view(np.int64), keys[own])),
                 pa.array(np.concatenate((keys[at[~several]], np.zeros(len(many), np.int64), keys[own])), mask=np.repeat([False, True, False], parts)),
                 np.concatenate((np.zeros(len(single) + len(many), np.int64), credit[own])),
             )
 
-    return rows.mapInArrow(run, POSTINGS)
+    return rows.mapInArrow(run, SCANNED)
+
 
+def told_apart(rows: DataFrame, clashes: DataFrame) -> DataFrame:
+    """The rows with ``raw``, the hash they came with, and ``key``, the other one where different sets share the first."""
+    other = clashes.select("key", F.lit(True).alias("_clash"))
+    key = F.when(F.col("_clash"), F.col("check")).otherwise(F.col("raw"))
+    return rows.join(other, "key", "left").withColumnRenamed("key", "raw").withColumn("key", key).drop("_clash", "check")
 
-def candidates(rows: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """The classes (key, n, rep) that share enough of their first prefix with other classes."""
+
+def candidates(postings: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes (key, n, rep) that share enough of their first prefix with other classes.
+
+    Classes whose first hash is another set's too are all candidates, as their postings can't be told apart.
+    """
     same = Window.partitionBy("gram", "_credit")
-    grams = first_order_postings(rows, size).withColumn("_credit", F.col("shared") > 0).select(
+    grams = postings.select("gram", "key", F.col("n").alias("shared")).withColumn("_credit", F.col("shared") > 0).select(
         "key", "shared", F.min("key").over(same).alias("_low"), F.max("key").over(same).alias("_high"),
         F.max(F.col("key").isNull()).over(same).alias("_many"),
     )
     elsewhere = F.when((F.col("_low") < F.col("_high")) | F.col("_many"), F.lit(1)).otherwise(F.lit(0))
-    credits = grams.where(F.col("key").isNotNull()).select("key", F.greatest("shared", elsewhere.cast("long")).alias("shared"))
+    credits = grams.where(F.col("key").isNotNull()).select(F.col("key").alias("raw"), F.greatest("shared", elsewhere.cast("long")).alias("shared"))
     least = F.greatest(F.floor(F.ceil(F.col("n") * LIKE / OF) / EXTRA), F.lit(1))
-    shared = credits.where(F.col("shared") > 0).groupBy("key").agg(F.sum("shared").alias("shared"))
-    return classes.join(shared, "key").where(F.col("shared") >= least).drop("shared")
+    shared = credits.where(F.col("shared") > 0).groupBy("raw").agg(F.sum("shared").alias("shared"))
+    enough = (F.coalesce("shared", F.lit(0)) >= least) | (F.col("key") != F.col("raw"))
+    return classes.join(shared, "raw", "left").where(enough).select("key", "n", "rep")
 
 
-SETS = "key long, n long, grams array<long>, second array<long>"
+SETS = "key long, check long, n long, grams array<long>, second array<long>"
 
 
-def gram_tables(rows: DataFrame, size: int) -> DataFrame:
+def gram_tables(rows: DataFrame, size: int, bits: int = 64) -> DataFrame:
     """Whole sets: the n-grams in the first order, and the prefix under the second."""
 
     def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -172,17 +191,17 @@ def gram_tables(rows: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, values, sizes in token_slices(batches):
             grams, at = gram_sets(values, sizes, size)
-            keys, n = set_keys(grams, at, len(sizes))
+            keys, checks, n = set_keys(grams, at, len(sizes), bits)
             order = np.lexsort((second_order(grams), at))
             rank = np.arange(len(grams)) - (np.cumsum(n) - n)[at]
             width = np.where(n > 0, n - least_shared(n) + 1, 0)
             first = order[rank < width[at]]
-            yield _batch(SETS, keys, n, lists(grams, n), lists(grams[first], width))
+            yield _batch(SETS, keys, checks, n, lists(grams, n), lists(grams[first], width))
 
     return rows.mapInArrow(run, SETS)
 
 
-def candidate_sets(documents: DataFrame, found: DataFrame, size: int) -> DataFrame:
+def candidate_sets(documents: DataFrame, found: DataFrame, clashes: DataFrame, size: int, bits: int = 64) -> DataFrame:
     """The sets of the candidate classes, made anew from the text of each class's smallest doc_id.
 
     The ids are sent to all tasks if they are few (SENT_IDS), else joined; without an id, all rows
@@ -192,7 +211,8 @@ def candidate_sets(documents: DataFrame, found: DataFrame, size: int) -> DataFra
     few = reps.count() <= SENT_IDS
     own = documents.join(F.broadcast(reps) if few else reps, "doc_id", "left_semi")
     nameless = documents.where(F.col("doc_id").isNull())
-    sets = gram_tables(words_of(own.unionByName(nameless)), size).join(found.select("key"), "key", "left_semi")
+    sets = told_apart(gram_tables(words_of(own.unionByName(nameless)), size, bits), clashes).drop("raw")
+    sets = sets.join(found.select("key"), "key", "left_semi")
     once = Window.partitionBy("key").orderBy("n")
     return sets.withColumn("_copy", F.row_number().over(once)).where(F.col("_copy") == 1).drop("_copy")
 
@@ -260,28 +280,31 @@ def connected(postings: DataFrame, sets: DataFrame) -> DataFrame:
 
     A round compares some members of each n-gram's group, those with the fewest n-grams of their own
     first, with all of the group that is not connected with them yet; the next round takes more. A
-    group is done when it is connected or all its members have been compared with the rest.
+    group is done when it is connected or all its members have been compared with the rest. A large
+    group's rows are spread over as many tasks as its size asks for (TOGETHER); each meets the chosen.
     """
     comps = None
     rest, before, now = postings.withColumn("comp", F.col("key")), 0, 1
     while True:
         group = rest.groupBy("gram").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("_size"))
-        alive = group.where((F.col("_low") < F.col("_high")) & (F.col("_size") > before + 1)).select("gram")
-        rest = stage(rest.join(alive, "gram", "left_semi"), "groups")
+        alive = group.where((F.col("_low") < F.col("_high")) & (F.col("_size") > before + 1))
+        alive = alive.select("gram", F.ceil(F.col("_size") / TOGETHER).cast("int").alias("shares"))
+        rest = stage(rest.join(alive, "gram").withColumn("share", F.pmod(F.hash("key"), "shares")), "groups")
         if rest.isEmpty():
             break
         rank = F.row_number().over(Window.partitionBy("gram").orderBy("alone", "key"))
         chosen = rest.withColumn("_rank", rank).where(F.col("_rank") <= now).where(F.col("_rank") > before)
-        chosen = chosen.select("gram", *[F.col(c).alias(f"_{c}") for c in ("key", "n", "place", "comp")])
+        every = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+        chosen = chosen.select("gram", every, *[F.col(c).alias(f"_{c}") for c in ("key", "n", "place", "comp")])
         longer, shorter = F.greatest("n", "_n"), F.least("n", "_n")
         room = F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place"))
         fits = (F.col("comp") != F.col("_comp")) & (OF * shorter >= LIKE * longer) & alike(room, F.col("n"), F.col("_n"))
-        met = rest.join(chosen, "gram").where(fits)
+        met = rest.join(chosen, ["gram", "share"]).where(fits)
         pairs = met.select(F.least("key", "_key").alias("a"), F.greatest("key", "_key").alias("b")).distinct()
         links = stage(verified(pairs, sets), "links")
         comps = components(links if comps is None else links.unionByName(comps.select(F.col("key").alias("a"), F.col("comp").alias("b"))))
         before, now = now, now * GROWTH
-        rest = rest.drop("comp").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        rest = rest.drop("comp", "share", "shares").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     return comps if comps is not None else postings.select("key", F.col("key").alias("comp")).distinct()
 
 
@@ -289,20 +312,28 @@ def words_of(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(ascii_lower(F.col("text"))).alias("words"))
 
 
-def link_groups(documents: DataFrame, size: int = SIZE) -> DataFrame:
+def link_groups(documents: DataFrame, size: int = SIZE, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of documents (doc_id, text; other columns are ignored).
 
     Texts are lower-cased (A-Z), words are what white space parts, a set holds the distinct n-grams of
     ``size`` words, of a shorter text its whole sequence; a null or blank text has an empty set, which
     is linked with nothing. Two rows link when 100 * shared >= 85 * all. Rows with equal sets are one
     class from the start. A component's id is the smallest doc_id in it, null if all are null. n-grams
-    and sets are told apart by 64-bit hashes.
+    are told apart by 64-bit hashes, sets by two: where the first, of ``bits`` bits, is that of several
+    sets, the second is used.
     """
     rows = words_of(documents)
-    all_members = stage(members(rows, size), "members")
-    classes = all_members.where(F.col("n") > 0).groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"))
-    found = stage(candidates(rows, classes, size), "candidates")
-    sets = stage(candidate_sets(documents.select("doc_id", "text"), found, size), "sets")
+    scan = stage(scanned(rows, size, bits), "scanned", "kind")
+    raw_members = scan.where(F.col("kind") == MEMBER).select("doc_id", "key", "check", "n")
+    postings = scan.where(F.col("kind") == POSTING).select("gram", "key", "n")
+    checks = raw_members.where(F.col("n") > 0).groupBy("key").agg(F.min("check").alias("_low"), F.max("check").alias("_high"))
+    clashes = stage(checks.where(F.col("_low") < F.col("_high")).select("key"), "clashes")
+    all_members = told_apart(raw_members, clashes)
+    classes = all_members.where(F.col("n") > 0).groupBy("key").agg(
+        F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("raw").alias("raw"))
+    found = stage(candidates(postings, classes), "candidates")
+    classes = classes.drop("raw")
+    sets = stage(candidate_sets(documents.select("doc_id", "text"), found, clashes, size, bits), "sets")
     comps = connected(stage(rare_postings(sets), "postings"), sets)
     classes = classes.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     lowest = classes.groupBy("comp").agg(F.min("rep").alias("component_id"))

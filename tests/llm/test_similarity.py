@@ -1,11 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docquarry.llm import similarity
-from docquarry.llm.similarity import components, keep_one, link_groups, op6_jaccard_join
+from docquarry.llm.similarity import components, first_of_each, keep_one, link_groups, op6_jaccard_join
 from tests.llm.data import PROSE, odd, rows, store, table, with_extra
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -86,6 +87,23 @@ def test_small_slices_and_joined_ids(spark, texts, monkeypatch):
     check(df, link_groups(df).collect())
 
 
+@pytest.mark.parametrize("bits", [2, 8])
+def test_sets_that_share_their_first_hash_stay_apart(spark, texts, bits):
+    df = table(spark, texts).repartition(3)
+    check(df, link_groups(df, bits=bits).collect())
+
+
+def test_one_large_group_is_spread_over_tasks(spark, texts, monkeypatch):
+    monkeypatch.setattr(similarity, "TOGETHER", 3)
+    df = table(spark, texts)
+    check(df, link_groups(df).collect())
+
+
+def test_first_of_each():
+    keys, checks = np.array([5, 5, 4, 5, 4]), np.array([1, 2, 1, 1, 1])
+    assert first_of_each(keys, checks).tolist() == [True, True, True, False, False]
+
+
 def test_odd_rows(spark, tmp_path):
     df = odd(spark)
     check(df, op6_jaccard_join(spark, store(df, tmp_path / "a")).collect())
