@@ -80,6 +80,15 @@ def pieces_stay_in_words(model_file: str) -> bool:
     return not any(MARK in sp.id_to_piece(i).lstrip(MARK) for i in range(sp.get_piece_size()))
 
 
+#: Repeated, first and last blanks, and characters that the usual normalisations would replace.
+PROBE = "  a  b\tc\n\u3000\u00a0 A\uff21 \ufb01 e\u0301 \u00e9 \u00bd \u200b "
+
+
+def text_stays(model_file: str) -> bool:
+    """Whether the model only puts a mark first and for each blank, and changes nothing else of a text."""
+    return _processor(model_file).normalize(PROBE) == MARK + PROBE.replace(" ", MARK)
+
+
 def encoder(model_file: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids, as 32-bit numbers, equal to the library's over the whole texts."""
     sp = _processor(model_file)
@@ -117,11 +126,14 @@ def encode_documents(df: DataFrame, model_file: str, text: str = "text", ids: st
 
     Each distinct marked word is segmented once in a task, as long as the worker's table holds it, and
     its ids are put back at each place it stands. Right only for models whose pieces cannot cross the
-    start of a word, which is checked. A null text has no ids, like an empty one. Other columns pass
+    start of a word and which don't change the text, by stripping blanks, normalising characters or leaving
+    out the first mark; other models are refused. A null text has no ids, like an empty one. Other columns pass
     through; ``ids`` names the new one and must not be taken.
     """
     if not pieces_stay_in_words(model_file):
         raise ValueError("pieces of this model cross the start of words; encode whole texts instead")
+    if not text_stays(model_file):
+        raise ValueError("this model strips blanks, normalises characters or puts no mark first; encode whole texts instead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # no cycles are made here, and the collector would walk the table again and again

@@ -1,11 +1,14 @@
 import hashlib
 import random
+import unicodedata
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 
-from docquarry.llm.pieces import ChunkTable, decode_documents, encode_documents, encoder, op3_sentencepiece, pieces_stay_in_words
+from docquarry.llm import pieces
+from docquarry.llm.pieces import ChunkTable, decode_documents, encode_documents, encoder, op3_sentencepiece, pieces_stay_in_words, text_stays
 from tests.llm.data import odd, odd_texts, store, table, with_extra
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -26,6 +29,27 @@ def test_equal_to_the_library_on_random_texts():
         assert np.frombuffer(ids, "<i4").tolist() == sp.encode(t), repr(t)
 
 
+@pytest.mark.parametrize("change", [str.strip, lambda t: " ".join(t.split(" ")).replace("  ", " "), lambda t: unicodedata.normalize("NFKC", t)])
+def test_models_that_change_the_text_are_refused(spark, monkeypatch, change):
+    class Changing:
+        """The library with a model that changes texts before it cuts them."""
+
+        def __init__(self):
+            self.sp = library()
+
+        def normalize(self, text):
+            return self.sp.normalize(change(text))
+
+        def __getattr__(self, name):
+            return getattr(self.sp, name)
+
+    assert text_stays(MODEL)
+    monkeypatch.setattr(pieces, "_processor", lambda model_file: Changing())
+    assert not text_stays(MODEL)
+    with pytest.raises(ValueError, match="strips blanks"):
+        encode_documents(table(spark, ["a"]), MODEL)
+
+
 def test_table_is_bounded_and_complete():
     table_ = ChunkTable(lambda cs, _: {c: c.upper().encode() for c in cs}, size=10)
     for i in range(100):
