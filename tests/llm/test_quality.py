@@ -65,3 +65,8 @@ def test_millions_of_windows_are_told_apart(spark):
     text = "concat_ws(' ', transform(sequence(1, 5000003), x -> conv(if(x > 5000000, x - 5000000, x), 10, 36)))"
     row = ledger(spark.range(1).select("id", F.expr(text).alias("text"))).select("_quality.n_words", "_quality.n_repeat_words").collect()[0]
     assert tuple(row) == (5_000_003, 6)
+
+
+def test_query_over_no_rows(spark, tmp_path):
+    found = op8_quality_rules(spark, store(table(spark, []), tmp_path))
+    assert found.count() == 0 and {"doc_id", "n_words", "base_failed", "kept"} <= set(found.columns)
