@@ -76,7 +76,7 @@ def main() -> None:
     def answer(folder: str):
         passages, weights = built[folder] if folder in built else registry.passage_table(spark, folder)
         documents = given.table(spark, folder, "documents")
-        return answer_questions(given.benchmark_questions(spark, folder), passages, weights, documents, k=5, title="source")
+        return answer_questions(given.all_questions(spark, folder), passages, weights, documents, k=5, title="source")
 
     def run(name: str, folder: str) -> None:
         """The passage table is built once, and answers come from it."""

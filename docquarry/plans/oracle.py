@@ -174,6 +174,9 @@ QUESTIONS = """SELECT item_id AS question_id,
 ANSWERS = f"""{_retrieval(QUESTIONS, 5)},
 {_CITED}"""
 
+ALL_ANSWERS = f"""{_retrieval("SELECT item_id AS question_id, text FROM benchmark", 5)},
+{_CITED}"""
+
 TWO_CITED = f"""{_retrieval(QUESTIONS, 2)},
 {_CITED}"""
 
@@ -461,7 +464,7 @@ SELECT doc_id, chunk_no, CAST(bucket AS INTEGER) AS bucket, round(w, 4) AS weigh
     "cell_search_recall": "SELECT count(*) * least(5, count(*)) AS wanted, TRUE AS enough FROM embeddings",
     "scoped_search": NEIGHBOURS.format(condition="q.label = 0 OR q.label = p.label"),
     "scoped_search_blocks": NEIGHBOURS.format(condition="q.label = 0 OR q.label = p.label"),
-    "answer_questions": f"WITH {ANSWERS} SELECT * FROM cited",
+    "answer_questions": f"WITH {ALL_ANSWERS} SELECT * FROM cited",
     "answer_from_unstored_texts": f"WITH {ANSWERS} SELECT * FROM cited",
     "cite_sources": f"WITH {TWO_CITED} SELECT * FROM cited",
     "question_context": f"""

@@ -13,6 +13,7 @@ from docquarry.operators.passages import chunk_documents, chunk_lines, classify_
 from docquarry.operators.terms import extractive_summaries, term_search
 from docquarry.operators.vectors import embed_chunks, fit_bucket_weights
 from docquarry.plans.ask import answer_from_texts, answer_questions, build_passage_table, find_passages
+from docquarry.plans.registry import QUERIES
 from docquarry.session import shared_path
 
 
@@ -143,3 +144,13 @@ def test_a_stored_passage_table_answers_like_the_text(spark, sf):
     pd.testing.assert_frame_equal(again[columns].reset_index(drop=True), direct[columns].reset_index(drop=True))
     answers = answer_questions(questions, stored, weights, texts, 3, "source").toPandas().sort_values(["question_id", "rank"])
     pd.testing.assert_frame_equal(answers.reset_index(drop=True)[direct.columns], direct.reset_index(drop=True))
+
+
+def test_every_benchmark_text_is_asked(spark, tmp_path):
+    """None is blanked on the way, in the query or in its SQL."""
+    texts = [(i, f"word{i} word{i} other{i}", f"src{i}", 20) for i in range(12)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(i, f"word{i}") for i in range(12)]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {r.question_id: r.doc_id for r in QUERIES["answer_questions"](spark, str(tmp_path)).where("rank = 1").collect()}
+    assert found == {i: i for i in range(12)}
