@@ -17,6 +17,7 @@ from docquarry.functions.uploads import (
 from docquarry.plans.refresh import refresh_sessions
 from docquarry.operators import catalog, parts, sessions
 from docquarry.plans.intake import initialize_uploads
+from docquarry.plans.registry import QUERIES
 from docquarry.schemas import DOCUMENTS, UPLOAD_STATUSES
 from docquarry.session import shared_path
 from docquarry.sources.files import scan_document_files
@@ -289,3 +290,15 @@ def test_scan_of_stored_files(spark, tmp_path):
         ("u2", "d3", 1, b"\xff"),
     ]
     assert "content" not in scan_document_files(spark, str(tmp_path), content=False).columns
+
+
+def test_the_store_is_written_by_several_tasks(spark, tmp_path):
+    """Even if all texts lie in one row group; rows of one id are one file, as before."""
+    rows = [(i, f"text {i}") for i in range(40)] + [(7, "again"), (None, "none"), (3, None)]
+    given = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    given.write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["scan_document_files"](spark, str(tmp_path))
+    sizes = {r.userId: r.fileSize for r in found.collect()}
+    assert len(sizes) == 41 and sizes["doc_id=0"] == 7 and sizes["doc_id=7"] == 13 and sizes["doc_id=3"] == 8
+    tasks = {path.rsplit("/", 1)[1].split("-")[1] for path in found.inputFiles()}
+    assert len(tasks) > 1
