@@ -125,14 +125,14 @@ def search_cells(
 ) -> DataFrame:
     """Like ``semantic_top_k``, over the ``probes`` cells nearest to each question.
 
-    A question is asked once for each of its cells; those of one cell come into one block, and a block
-    reads only the partitions it asks. Questions without a vector have no rows. With all cells asked the
-    result is exact.
+    A question carries the numbers of its cells, and meets the rows of each. Where there are more than a
+    block holds, they meet in the tasks, and none goes through the driver. Questions without a vector
+    have no rows. With all cells asked the result is exact.
     """
     if not index.centroids:
         return semantic_top_k(questions, index.vectors, k, question_key, keys)
     asked = with_cells(questions.select(question_key, "vector"), index.centroids, min(probes, len(index.centroids)))
-    asked = asked.where(F.col("vector").isNotNull()).select(question_key, "vector", F.explode("cells").alias("cell"))
+    asked = asked.where(F.col("vector").isNotNull()).select(question_key, "vector", F.col("cells").alias("cell"))
     return semantic_top_k(asked, index.vectors, k, question_key, keys, scope="cell", block_questions=block_questions)
 
 

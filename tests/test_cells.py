@@ -91,3 +91,16 @@ def test_the_sample_is_bounded_and_the_same_however_split(spark):
     rows = spark.range(20_000).select(F.col("id").alias("p"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("vector"))
     some = [_sampled(rows.repartition(n), ["p"], 500).collect() for n in (1, 7)]
     assert len(some[0]) == 500 and [r["at"] for r in some[0]] == [r["at"] for r in some[1]] and SAMPLE <= 100_000
+
+
+def test_no_questions_through_the_driver(spark, monkeypatch):
+    """More asked cells than a block holds: found in the tasks, exact when all cells are asked."""
+    monkeypatch.setattr(retrieval, "_against_matrix", lambda *_: pytest.fail("a matrix of questions was sent"))
+    rng = np.random.default_rng(11)
+    given = vectors(spark, rng.normal(size=(60, 4)))
+    index = build_cells(given, shared_path(spark, "cells"), 4, ["p"])
+    asked = given.withColumnRenamed("p", "question_id")
+    found = search_cells(asked, index, 3, 4, keys=["p"], block_questions=10)
+    exact = sorted(map(tuple, found.collect()))
+    monkeypatch.undo()
+    assert exact == sorted(map(tuple, retrieval.semantic_top_k(asked, given, 3, keys=["p"]).collect()))
