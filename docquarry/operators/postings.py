@@ -82,13 +82,15 @@ def build_postings(documents: DataFrame, path: str, key: str = "doc_id", text: s
     blocks = max(1, -(-n // block))
     place = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
     posted = stored.select("key", "length", place.alias("block"), F.inline("terms"))
-    posted = posted.withColumn("gain", gain(F.col("count"), F.col("length"), mean_length))
-    lists = posted.groupBy("term", "block").agg(
+    gained = gain(F.col("count"), F.col("length"), mean_length)
+    # dealt out once, as the lists will lie: a bucket's blocks over several tasks
+    slices = max(4, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    dealt = posted.select("key", "term", "block", gained.alias("gain"), bucket_of(F.col("term")).alias("bucket"),
+                          F.pmod("block", F.lit(slices)).alias("slice")).repartition("bucket", "slice")
+    lists = dealt.groupBy("bucket", "slice", "term", "block").agg(
         F.count(F.lit(1)).alias("n"), F.max("gain").alias("most"), F.sort_array(F.collect_list(F.struct("key", "gain"))).alias("list")
-    )
-    lists = lists.withColumn("bucket", bucket_of(F.col("term")))
-    sorted_lists = lists.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
-    sorted_lists.write.partitionBy("bucket").parquet(f"{path}/postings")
+    ).select("term", "block", "n", "most", "list", "bucket")
+    lists.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
     spark.createDataFrame([(n, float(mean_length))], "documents bigint, mean_length double").write.parquet(f"{path}/totals")
     return read_postings(spark, path, lists)
 
@@ -112,14 +114,20 @@ def query_terms(queries: DataFrame, query_key: str, text: str) -> DataFrame:
 
 
 def _scored(parts: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query, key, score) of all documents of some blocks (query, block), in the lists of the queries' words."""
-    wanted = parts.join(asked, "query")
-    met = postings.select("bucket", "term", "block", "list").join(wanted, ["bucket", "term", "block"])
-    gained = met.select("query", "at", "rarity", F.inline("list"))
+    """(query, key, score) of all documents of some blocks (query, block), in the lists of the queries' words.
+
+    A document lies in one block, so the lists of the words asked are moved once, by block, however many
+    queries ask for them, and what their documents gain is added up where they then are.
+    """
+    wanted = parts.groupBy("block").agg(F.collect_set("query").alias("queries"))
+    words = asked.select("bucket", "term").distinct()
+    lists = postings.select("bucket", "term", "block", "list").join(words, ["bucket", "term"], "left_semi")
+    met = lists.join(wanted.hint("shuffle_merge"), "block").join(asked, ["bucket", "term"]).where(F.array_contains("queries", F.col("query")))
+    gained = met.select("block", "query", "at", "rarity", F.inline("list"))
     # added in the order of the query's words, so that equal documents score equally
     each = F.array_sort(F.collect_list(F.struct("at", (F.col("rarity") * F.col("gain")).alias("part"))))
     total = F.aggregate(each, F.lit(0.0), lambda s, p: s + p["part"])
-    return gained.groupBy("query", "key").agg(F.round(total, SCORE_DIGITS).alias("score"))
+    return gained.groupBy("block", "query", "key").agg(F.round(total, SCORE_DIGITS).alias("score")).drop("block")
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:

@@ -126,3 +126,22 @@ def test_no_documents_and_no_queries(spark):
     assert search_postings(queries(spark, ["a"]).limit(0), again, 3).count() == 0
     assert hits(search_postings(queries(spark, ["b", None]), again, 3)) == [(0, 1, 0, round(math.log(1 + 0.5 / 1.5), 6))]
     assert query_terms(queries(spark, ["b a B"]), "query_id", "text").count() == 2
+
+
+def test_lists_are_moved_by_block_and_not_for_each_query(spark, monkeypatch):
+    """What a document gains is added up where its block's lists are: no exchange holds a row for each query and document."""
+    docs = collection(200, 5)
+    index = build_postings(table(spark, docs), shared_path(spark, "postings"), block=16)
+    plans, original = [], postings._scored
+
+    def kept(*given):
+        scored = original(*given)
+        plans.append(scored._jdf.queryExecution().executedPlan().toString())
+        return scored
+
+    monkeypatch.setattr(postings, "_scored", kept)
+    asked = ["w1 w2 w3", "the w1", None, "w7 the"]
+    same(hits(search_postings(queries(spark, asked), index, 3, first=1)), brute(docs, asked, 3))
+    assert len(plans) == 2
+    for plan in plans:
+        assert not [line for line in plan.split("\n") if "Exchange hashpartitioning(query" in line]
