@@ -85,3 +85,40 @@ def test_events_without_a_time_are_left_out(spark, tmp_path):
     put(spark, source, [("a", 1, None), ("a", 2, None), ("a", 3, "2024-01-01 00:00:00")])
     assert run(spark, source, path, checkpoint, limit=0) == [("crossed", "a", "2024-01", 1, 3)]
     assert spark.read.parquet(path).where(F.col("createdAt").isNull()).count() == 0
+
+
+def test_state_and_calls_grow_with_slots_not_with_accounts(spark, tmp_path):
+    source, (path, checkpoint) = tmp_path / "in", places(spark)
+    accounts = [f"u{i}" for i in range(6000)]
+    put(spark, source, [(u, i, "2024-01-05 00:00:00") for i, u in enumerate(accounts)])
+    assert run(spark, source, path, checkpoint, limit=1) == []
+    assert 3000 < state_rows(spark, checkpoint) <= 4096
+    put(spark, source, [(u, 6000 + i, "2024-01-06 00:00:00") for i, u in enumerate(accounts[::3])] + [("z", -1, "2024-06-15 00:00:00")])
+    want = [("crossed", u, "2024-01", 2, 6000 + i) for i, u in enumerate(accounts[::3])]
+    want += [("closed", u, "2024-01", 1 + (i % 3 == 0), None) for i, u in enumerate(accounts)]
+    assert run(spark, source, path, checkpoint, limit=1) == sorted(want, key=lambda r: r[:4])
+    assert state_rows(spark, checkpoint) == 1
+
+
+def test_accounts_of_one_slot(spark, tmp_path):
+    """Each has its own count; large ids stay whole beside an event without one, which is the last of its moment."""
+    source, (path, checkpoint), large = tmp_path / "in", places(spark), 2**60 + 1
+
+    def go():
+        events = spark.readStream.schema("userId bigint, id bigint, createdAt timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(str(source))
+        found = stream_quota_crossings(events, 1, path, checkpoint, slots=1)
+        assert found.schema["userId"].dataType.simpleString() == "bigint"
+        return sorted(((r.kind, r.userId or 0, str(r.month)[:7], r.used, r.id or 0) for r in found.collect()))
+
+    def add(rows):
+        spark.createDataFrame(rows, "userId bigint, id bigint, t string").selectExpr(
+            "userId", "id", "CAST(t AS timestamp_ntz) AS createdAt").coalesce(1).write.mode("append").parquet(str(source))
+
+    add([(large, large, "2024-01-05 00:00:00"), (large, large + 1, "2024-01-05 00:00:00"), (7, None, "2024-01-06 00:00:00"),
+         (7, large + 2, "2024-01-06 00:00:00"), (8, large + 3, "2024-01-07 00:00:00"), (None, large + 4, "2024-01-08 00:00:00")])
+    first = [("crossed", 7, "2024-01", 2, 0), ("crossed", large, "2024-01", 2, large + 1)]
+    assert go() == first
+    assert state_rows(spark, checkpoint) == 2
+    add([(8, large + 5, "2024-01-09 00:00:00"), (large, large + 6, "2024-01-09 00:00:00"), (9, 1, "2024-02-05 00:00:00")])
+    closed = [("closed", 0, "2024-01", 1, 0), ("closed", 7, "2024-01", 2, 0), ("closed", 8, "2024-01", 2, 0), ("closed", large, "2024-01", 3, 0)]
+    assert go() == sorted(closed + first + [("crossed", 8, "2024-01", 2, large + 5)])
