@@ -1,4 +1,6 @@
 import datetime as dt
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from docquarry.plans.intake import initialize_uploads
 from docquarry.plans.registry import QUERIES
 from docquarry.schemas import DOCUMENTS, UPLOAD_STATUSES
 from docquarry.session import shared_path
-from docquarry.sources.files import scan_document_files
+from docquarry.sources.files import scan_document_files, write_text_files
 from docquarry.sources.tables import append_documents
 
 T0 = dt.datetime(2024, 1, 1)
@@ -302,3 +304,40 @@ def test_the_store_is_written_by_several_tasks(spark, tmp_path):
     assert len(sizes) == 41 and sizes["doc_id=0"] == 7 and sizes["doc_id=7"] == 13 and sizes["doc_id=3"] == 8
     tasks = {path.rsplit("/", 1)[1].split("-")[1] for path in found.inputFiles()}
     assert len(tasks) > 1
+
+
+def _stored(root):
+    """Folder and bytes of every file that is no mark or check sum of the writer."""
+    files = [f for f in root.rglob("*") if f.is_file()]
+    return sorted((f.parent.name, f.read_bytes()) for f in files if f.name[0] not in "._")
+
+
+def test_the_store_is_made_by_the_workers(spark, tmp_path):
+    """Hadoop's local file system starts a process for each folder and file; its check sum files tell that it was used."""
+    rows = [(i, f"text {i}") for i in range(20)] + [(7, "text 7"), (None, None), (21, ""), (22, "a\n\u00fc\U0001f600\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/in/documents.parquet")
+    found = QUERIES["scan_document_files"](spark, f"{tmp_path}/in")
+    paths = [unquote(urlparse(p).path) for p in found.inputFiles()]
+    store = Path(paths[0]).parent.parent
+    assert {f.name[0] for f in store.rglob("*") if f.is_file()} == {"p"}
+    by_folder = dict(_stored(store))
+    assert len(by_folder) == len(paths) == 23
+    assert by_folder["doc_id=7"] == b"text 7\ntext 7\n" and by_folder["doc_id=__HIVE_DEFAULT_PARTITION__"] == b"\n"
+    assert by_folder["doc_id=21"] == b"\n" and by_folder["doc_id=22"] == "a\n\u00fc\U0001f600\n\n".encode()
+    assert sorted(r.userId for r in found.collect()) == sorted(by_folder)
+
+
+def test_text_files_are_those_of_sparks_writer(spark, tmp_path):
+    """A store that only Spark opens is left to Spark's writer; the same folders and bytes come out."""
+    rows = [(i % 9, f"text {i % 9}") for i in range(30)] + [(None, "x"), (None, "x"), (-3, None), (40, "\r\n ")]
+    given = spark.createDataFrame(rows, "doc_id long, value string").repartition(3, "doc_id")
+    (tmp_path / "remote").mkdir()
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.files.link./in", f"file://{tmp_path}/remote")
+    write_text_files(given, "doc_id", f"{tmp_path}/mounted")
+    write_text_files(given, "doc_id", "viewfs://files/in/store")
+    given.write.partitionBy("doc_id").text(f"{tmp_path}/plain")
+    mounted, remote, plain = (_stored(tmp_path / at) for at in ("mounted", "remote/store", "plain"))
+    assert mounted == remote == plain and len(plain) == 12
+    none = given.where("doc_id > 100")
+    write_text_files(none, "doc_id", f"{tmp_path}/none/documents")
+    assert scan_document_files(spark, f"{tmp_path}/none").collect() == []
