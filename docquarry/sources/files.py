@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import groupby
 
 import pyarrow as pa
@@ -20,15 +21,28 @@ def key_part(path: Column, part: int) -> Column:
     return F.regexp_extract(path, rf"{OBJECT_ROOT}/([^/]+)/([^/]+)$", part)
 
 
+@contextmanager
+def _listing_tasks(spark: SparkSession, most: int) -> Iterator[None]:
+    """Folders are listed by ``most`` tasks at most: by default there are up to 10,000, and each unpacks the settings anew."""
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def scan_document_files(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     """One row per stored object. An upload is at most 100 MiB, so an object fits a row.
 
-    The folder is listed as a whole, by Spark, which spreads a large listing over tasks; the driver
-    expands no pattern. Files that are not at ``documents/{user}/{document}`` have neither id. Without
+    The folder is listed as a whole, by Spark, which spreads a large listing over tasks, no more than a
+    shuffle has; the driver expands no pattern. Files that are not at ``documents/{user}/{document}`` have neither id. Without
     ``content`` the bytes are not read at all. Spark does not list empty files; the checks on uploads
     let none through.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root.rstrip('/')}/{OBJECT_ROOT}")
+    with _listing_tasks(spark, int(spark.conf.get("spark.sql.shuffle.partitions"))):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root.rstrip('/')}/{OBJECT_ROOT}")
     columns = [
         "path",
         F.nullif(key_part(F.col("path"), 1), F.lit("")).alias("userId"),

@@ -306,6 +306,24 @@ def test_the_store_is_written_by_several_tasks(spark, tmp_path):
     assert len(tasks) > 1
 
 
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """Not by one for each folder; the session's own setting stays."""
+    for n in range(60):
+        (tmp_path / "documents" / f"u{n}").mkdir(parents=True)
+        (tmp_path / "documents" / f"u{n}" / "d").write_bytes(b"x" * (n + 1))
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, status = spark.conf.get(setting), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        rows = scan_document_files(spark, str(tmp_path), content=False)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [s for job in status.getJobIdsForGroup("listing") for s in status.getJobInfo(job).stageIds]
+    assert [status.getStageInfo(s).numTasks for s in stages] == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+    assert spark.conf.get(setting) == before
+    assert sorted((r.userId, r.fileSize) for r in rows.collect()) == sorted((f"u{n}", n + 1) for n in range(60))
+
+
 def _stored(root):
     """Folder and bytes of every file that is no mark or check sum of the writer."""
     files = [f for f in root.rglob("*") if f.is_file()]
